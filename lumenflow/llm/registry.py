@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from lumenflow.llm import bpe, exact_dedup, language_id, mixing
+import corpus_pipeline
+from lumenflow.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 
 
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline, one after the other."""
-    import corpus_pipeline
-
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.query,
+        "op5_near_dedup": near_dedup.query,
         "op6_byte_bpe": bpe.query,
         "op9_mixing": mixing.query,
         "op10_exact_dedup": exact_dedup.query,
