@@ -68,7 +68,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
     slots = stored(pattern(share))
     within = Window.partitionBy("source", "b").orderBy("h")
     placed = rows.withColumn("b", F.substring("h", 1, digits)).withColumn("r", F.row_number().over(within) - 1)
-    blocks = placed.join(stored(offsets), ["source", "b"]).join(F.broadcast(share), "source").withColumn("pos", F.col("first") + F.col("r"))
+    blocks = placed.join(stored(offsets).hint("merge"), ["source", "b"]).join(F.broadcast(share), "source").withColumn("pos", F.col("first") + F.col("r"))
     blocks = blocks.withColumn("block_no", F.expr(f"pos div {block_rows}")).withColumn("block_pos", F.expr(f"pos % {block_rows}"))
     out = blocks.withColumn("k", F.expr("int(block_no % m)")).join(F.broadcast(slots), ["source", "k"])
     return out.select("row", "source", "block_no", "block_pos", F.expr("(block_no div m) * cycle + at").alias("slot"), F.expr("(block_no * cycle) div m").alias("release"), F.expr("((block_no + 1) * cycle + m - 1) div m").alias("deadline"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lumenflow.llm import bpe, exact_dedup, language_id, mixing, near_dedup
+from lumenflow.llm import bpe, exact_dedup, fingerprint, language_id, mixing, near_dedup, quality, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -14,8 +14,11 @@ def pipeline(spark, sf_dir):
 def queries() -> dict:
     return {
         "op1_language_id": language_id.query,
+        "op3_quality": quality.query,
         "op5_near_dedup": near_dedup.query,
         "op6_byte_bpe": bpe.query,
+        "op7_fingerprint": fingerprint.query,
+        "op8_toxicity": toxicity.query,
         "op9_mixing": mixing.query,
         "op10_exact_dedup": exact_dedup.query,
         "pipeline": pipeline,
