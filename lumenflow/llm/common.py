@@ -56,11 +56,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/lumenflow/{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while a table is stored: texts can be long, and a task holds a batch several times over.
+BATCH_ROWS = 1000
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, key = shared_dir(spark), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str, broadcast_rows: int = 500_000) -> DataFrame:
@@ -71,16 +81,26 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str, broadcast_rows:
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts end to end, and n + 1 offsets. Null counts as empty."""
+    """Bytes of all texts end to end, and n + 1 offsets, without copying where there are no nulls. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    if column.null_count:
+        column = column.cast(pa.large_binary()).fill_null(b"")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    kind = np.int64 if wide else np.int32
+    at = np.frombuffer(column.buffers()[1], kind, len(column) + 1, column.offset * kind().itemsize).astype(np.int64) if len(column) else np.zeros(1, np.int64)
     data = column.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def raw_texts(data: np.ndarray, at: np.ndarray, i: int, j: int) -> list[bytes]:
+    """Texts i to j - 1 of :func:`utf8`'s result."""
+    raw = data[at[i] : at[j]].tobytes()
+    cut = (at[i : j + 1] - at[i]).tolist()
+    return [raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def pieces(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Runs of rows of at most ``limit`` bytes together; a longer row is a run of its own."""
     i, n = 0, len(offsets) - 1

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lumenflow.llm import bpe, exact_dedup, fingerprint, language_id, mixing, near_dedup, quality, toxicity
+from lumenflow.llm import bpe, exact_dedup, fingerprint, language_id, lm_scoring, mixing, near_dedup, quality, token_counts, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -14,7 +14,9 @@ def pipeline(spark, sf_dir):
 def queries() -> dict:
     return {
         "op1_language_id": language_id.query,
+        "op2_lm_scoring": lm_scoring.query,
         "op3_quality": quality.query,
+        "op4_token_counts": token_counts.query,
         "op5_near_dedup": near_dedup.query,
         "op6_byte_bpe": bpe.query,
         "op7_fingerprint": fingerprint.query,

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenflow.llm.common import bounded_sample, fold, row_sums, table, utf8
+from lumenflow.llm.common import bounded_sample, fold, raw_texts, row_sums, table, utf8
 from lumenflow.llm.shingles import words
 
 #: Labelled texts that are learned from, about, chosen by a hash of their id.
@@ -26,7 +26,7 @@ TERMS, LEAST = 2048, 6
 RANK = 6
 STEPS, RATE, DECAY = 300, 0.05, 5e-4
 THRESHOLD = 0.7
-WORDS = 1_000_000
+WORDS = 300_000  # entries of a worker's caches
 BEGINNINGS = (3, 4, 5, 6, 7)
 
 
@@ -88,8 +88,7 @@ def _rows(texts: list[bytes], slots: _Slots) -> tuple[np.ndarray, np.ndarray, np
 
 def _raw(column: pa.Array) -> list[bytes]:
     data, at = utf8(column)
-    raw = data.tobytes()
-    return [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return raw_texts(data, at, 0, len(at) - 1)
 
 
 def bucket_counts(labelled: DataFrame) -> DataFrame:
