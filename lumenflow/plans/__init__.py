@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenflow.plans import blocks, pixels
+from lumenflow.plans import bitstreams, blocks, frames, motion, pixels
 
-MODULES = (pixels, blocks)
+MODULES = (pixels, blocks, motion, frames, bitstreams)
 
 
 def queries() -> dict:

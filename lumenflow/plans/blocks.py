@@ -159,7 +159,7 @@ def huffman_text(spark, d):
 
 ACC = "acc(symbol, code) AS (VALUES " + ", ".join(f"({s}, '{c:0{n}b}')" for s, n, c in dims.huffman_codes("ac_luma")) + ")"
 HUFFTEXT = f"""WITH {RUNS}, {ACC}, c AS (SELECT id, pos, k, value, CASE WHEN value = 0 THEN 0 ELSE length(bin(abs(value))) END AS size, run FROM rle),
-b AS (SELECT id, pos, k, code || CASE WHEN size = 0 THEN '' ELSE lpad(bin(CASE WHEN value > 0 THEN value ELSE value + (1 << size) - 1 END), size, '0') END AS b FROM c JOIN acc ON symbol = run * 16 + size),
+b AS (SELECT id, pos, k, code || CASE WHEN size = 0 THEN '' ELSE lpad(bin(CASE WHEN value > 0 THEN value ELSE value + (1 << size) - 1 END), CAST(size AS INT), '0') END AS b FROM c JOIN acc ON symbol = run * 16 + size),
 txt AS (SELECT id, string_agg(b, '' ORDER BY pos, k) AS t FROM b GROUP BY id), f AS (SELECT id, rpad(t, CAST(ceil(length(t) / 8.0) * 8 AS INT), '1') AS t FROM txt)
 SELECT id, array_to_string(list_transform(range(1, length(t), 8), lambda i: CASE WHEN substr(t, i, 8) = '11111111' THEN 'FF00' ELSE
  substr('0123456789ABCDEF', 1 + 8 * CAST(substr(t, i, 1) AS INT) + 4 * CAST(substr(t, i + 1, 1) AS INT) + 2 * CAST(substr(t, i + 2, 1) AS INT) + CAST(substr(t, i + 3, 1) AS INT), 1) ||
