@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenflow.plans import bitstreams, blocks, frames, motion, pixels
+from lumenflow.plans import bitstreams, blocks, frames, motion, pixels, streams
 
-MODULES = (pixels, blocks, motion, frames, bitstreams)
+MODULES = (pixels, blocks, motion, frames, bitstreams, streams)
 
 
 def queries() -> dict:

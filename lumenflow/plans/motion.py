@@ -182,7 +182,15 @@ def residual_added(spark, d):
 ADDED = f"""WITH {T.BLOCKS}, s AS (SELECT b.id, list_transform(range(1, 65), lambda i: greatest(0, least(255, 2 * b.v[i] - n.v[i]))) AS s FROM blocks b JOIN blocks n ON n.id = b.id - 1)
 SELECT id, CAST(list_sum(s) AS INT) AS total, CAST(len(list_filter(s, lambda x: x = 0 OR x = 255)) AS INT) AS clipped FROM s"""
 
+
+def diamond(spark, d):
+    """Diamond search of the same blocks as the full search; its path depends on the data, so SQL has no short form for it."""
+    b = T.blocks(spark, d)
+    return P.diamond_search(b.join(b.select((C("id") + 1).alias("id"), C("v").alias("w")), "id"), 8, 2, 4, 2)
+
+
 QUERIES = {
+    "motion_diamond": (diamond, None),
     "intra_modes": (intra_modes, MODES), "intra_admissible": (intra_admissible, ADMISSIBLE), "intra_most_probable": (most_probable, PROBABLE), "motion_full_search": (full_search, SEARCH), "motion_summary": (search_summary, SUMMARY),
     "motion_half_sample": (half_sample, HALF), "motion_chroma_eighth": (chroma_eighth, EIGHTH), "motion_compensated": (motion_compensated, COMPENSATED), "deblock_edges": (deblocked, _deblock_sql()), "residual_added": (residual_added, ADDED),
 }
