@@ -164,3 +164,48 @@ def diamond_search(rows: DataFrame, side: int, at: int, size: int, reach: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.int32()] * 4), strict=True)], ["id", "dx", "dy", "sad", "points"])
 
     return rows.select("id", "v", "w").mapInArrow(run, "id long, dx int, dy int, sad int, points int")
+
+
+def plane_block(top: list[Column], left: list[Column], corner: Column, size: int, scale: int, down: int) -> list[Column]:
+    """Prediction by a plane through the border, row by row; ``scale`` and ``down`` round its slopes."""
+    half = size // 2
+    line_t, line_l = [corner, *top], [corner, *left]  # index 0 is the corner
+    slope = lambda line: shift(scale * sum(((i + 1) * (line[half + 1 + i] - line[half - 1 - i]) for i in range(1, half)), line[half + 1] - line[half - 1]) + (1 << down - 1), down)
+    b, c = slope(line_t), slope(line_l)
+    a = 16 * (left[-1] + top[-1])
+    return [clip(shift(a + b * (x - half + 1) + c * (y - half + 1) + 16, 5)) for y in range(size) for x in range(size)]
+
+
+def intra16(top: list[Column], left: list[Column], corner: Column) -> dict[int, list[Column]]:
+    """Vertical, horizontal, DC and plane predictions of a 16x16 macroblock."""
+    dc = shift(sum(top[1:], top[0]) + sum(left[1:], left[0]) + 16, 5)
+    grid = [(y, x) for y in range(16) for x in range(16)]
+    return {0: [top[x] for _, x in grid], 1: [left[y] for y, _ in grid], 2: [dc] * 256, 3: plane_block(top, left, corner, 16, 5, 6)}
+
+
+def chroma8(top: list[Column], left: list[Column], corner: Column) -> dict[int, list[Column]]:
+    """DC by quadrant, horizontal, vertical and plane predictions of an 8x8 chroma block."""
+    four = lambda v: sum(v[1:], v[0])
+    a, b, c, d = four(top[:4]), four(top[4:]), four(left[:4]), four(left[4:])
+    quadrant = {(0, 0): shift(a + c + 4, 3), (0, 1): shift(b + 2, 2), (1, 0): shift(d + 2, 2), (1, 1): shift(b + d + 4, 3)}
+    grid = [(y, x) for y in range(8) for x in range(8)]
+    return {0: [quadrant[y // 4, x // 4] for y, x in grid], 1: [left[y] for y, _ in grid], 2: [top[x] for _, x in grid], 3: plane_block(top, left, corner, 8, 34, 6)}
+
+
+def translated(rows: DataFrame, dx: int, dy: int, size: int, noise: int = 0) -> DataFrame:
+    """(id, y, x, s): planes moved by whole samples, borders repeated, with noise of at most ``noise`` that a hash of the place fixes."""
+    moved = clamped(rows, -dx, -dy, size, "s")
+    extra = F.pmod(F.xxhash64("id", "y", "x"), F.lit(2 * noise + 1)).cast("int") - noise
+    return moved.select("id", "y", "x", clip(F.col("s") + extra).cast("int").alias("s"))
+
+
+def i420(pictures: DataFrame) -> DataFrame:
+    """(path, content): planar frames of pixels (path, y, x, r, g, b) with integer matrices; chroma of the mean of four pixels."""
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    luma = pictures.select("path", F.lit(0).alias("plane"), "y", "x", clip(shift(77 * r + 150 * g + 29 * b, 8)).alias("v"))
+    cells = pictures.groupBy("path", F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x")).agg(*[F.expr(f"sum({c}) div count(1)").cast("int").alias(c) for c in "rgb"])
+    cb, cr = shift(-43 * r - 84 * g + 127 * b, 8) + 128, shift(127 * r - 106 * g - 21 * b, 8) + 128
+    chroma = [cells.select("path", F.lit(k).alias("plane"), "y", "x", clip(v).alias("v")) for k, v in ((1, cb), (2, cr))]
+    rows = luma.unionByName(chroma[0]).unionByName(chroma[1])
+    ordered = F.array_sort(F.collect_list(F.struct("plane", "y", "x", "v")))
+    return rows.groupBy("path").agg(F.unhex(F.array_join(F.transform(ordered, lambda e: F.lpad(F.hex(e["v"].cast("long")), 2, "0")), "")).alias("content"))
