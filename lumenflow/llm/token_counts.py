@@ -170,24 +170,26 @@ def attach(kept: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFra
 
 
 def recount(kept: DataFrame, id_col: str = "doc_id", path: str | None = None) -> DataFrame:
-    """(id_col, n_chars, n_tokens, edited_chars, edited_tokens, pretokens, reencoded) of rows with ``edits``.
+    """(id_col, n_chars, n_tokens, edited_chars, edited_tokens, pretokens, reencoded) of rows with ``text`` and ``edits``.
 
-    ``reencoded`` counts the pre-tokens that the edits had encoded. An empty text can be edited; repeated rows give repeated
-    results; a null replacement is empty."""
+    Rows of :func:`trees` bring the leaves of their trees; for others the tree is made here, once, before the edits follow.
+    ``reencoded`` counts the pre-tokens that the edits had encoded. A null text counts as empty and can be edited; repeated rows
+    give repeated results; a null replacement is empty."""
+    held = {"chars", "tokens"} <= set(kept.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
             out = []
-            for i, text, chars, tokens, edits in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                tree = Tree(c, text, (chars, tokens))
+            for text, edits, *leaves in zip(*(col.to_pylist() for col in batch.columns[1:]), strict=True):
+                tree = Tree(c, text or "", tuple(leaves) if held else None)
                 n, t = tree.n_chars, tree.n_tokens
                 again = sum(tree.edit(e["start"], e["length"], e["replacement"] or "") for e in edits)
-                out.append((i, n, t, tree.n_chars, tree.n_tokens, sum(map(len, tree.chars)), again))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in list(zip(*out, strict=True))[1:])], NAMES)
+                out.append((n, t, tree.n_chars, tree.n_tokens, sum(map(len, tree.chars)), again))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in zip(*out, strict=True))] if out else [batch.column(0)] + [pa.array([], pa.int64())] * 6, NAMES)
 
     kind = kept.schema[id_col].dataType.simpleString()
-    rows = kept.select(F.col(id_col).alias("id"), "text", "chars", "tokens", "edits").mapInArrow(run, f"id {kind}, " + ", ".join(f"{x} long" for x in NAMES[1:]))
+    rows = kept.select(F.col(id_col).alias("id"), "text", "edits", *(["chars", "tokens"] if held else [])).mapInArrow(run, f"id {kind}, " + ", ".join(f"{x} long" for x in NAMES[1:]))
     return rows.withColumnRenamed("id", id_col)
 
 
@@ -204,5 +206,5 @@ def sample_edits(text: str = "text"):
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: token counts of every document before and after three edits."""
-    kept = trees(table(spark, sf_dir, "documents"))
-    return recount(kept.withColumn("edits", sample_edits()))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return recount(docs.withColumn("edits", sample_edits()))
