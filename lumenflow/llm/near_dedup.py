@@ -6,7 +6,7 @@ exhaustively; a node with many compares all with its first document and branches
 the recall is as wanted. Every link is confirmed on the full sets. Equal sets are one class from the start, so copies cost nothing.
 
 Nodes that are still large at the last level (a large group of near copies) are finished exactly: whatever is not yet in one
-component with the rest of its node is compared with all of the node.
+component with the rest of its node is compared with all of the node that an exact bound leaves.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenflow.llm.common import by_ids, pieces, stored, table, utf8
+from lumenflow.llm.common import by_ids, pieces, raw_texts, stored, table, utf8
 from lumenflow.llm.shingles import common, mix, shingle_sets
 
 SIMILARITY = 75  # in hundredths
@@ -29,7 +29,7 @@ POSITIONS = 64
 TREES = 12
 #: Positions that a node picks on average: 1 / 0.6, more than 1 / 0.75, so that a similar pair survives each level.
 SECOND = 0.667
-LEVELS = 4
+LEVELS = 3
 NODE = 32  # documents that a node compares exhaustively
 #: Equal tokens that a candidate needs: of 64, a pair of similarity 0.75 has 34 or more with probability over 0.9999.
 MATCHES = 34
@@ -58,9 +58,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(1))
-            raw = data.tobytes()
             for i, j in pieces(at, 1 << 20):
-                sets = shingle_sets([raw[at[k] : at[k + 1]] for k in range(i, j)])
+                sets = shingle_sets(raw_texts(data, at, i, j))
                 tokens = sketch(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -76,8 +75,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
-    data, _ = utf8(column)
-    return np.frombuffer(data.tobytes(), np.uint32).reshape(-1, POSITIONS)
+    return np.frombuffer(utf8(column)[0].tobytes(), np.uint32).reshape(-1, POSITIONS)
 
 
 def _ids(a: np.ndarray) -> pa.Array:
@@ -88,17 +86,40 @@ def _child(node: np.ndarray, position: np.ndarray, token: np.ndarray) -> np.ndar
     return mix(mix(node ^ (position.astype(np.uint64) << np.uint64(40))) + token.astype(np.uint64))
 
 
+#: Positions that the roots pick, a tree after the other.
+SPOTS = np.random.default_rng(7).permutation(POSITIONS)[: round(TREES * (1 + SECOND))]
+
+
+def _root_nodes(t: np.ndarray) -> np.ndarray:
+    """The children of the trees' roots that documents are in, a column for each pick."""
+    return np.stack([_child(np.full(len(t), k % TREES, np.uint64), np.full(len(t), p), t[:, p]) for k, p in enumerate(SPOTS.tolist())], 1)
+
+
+def _picks(node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The one or two positions that nodes pick, and whether there are two."""
+    x = mix(node + np.uint64(99))
+    first, second = (x & np.uint64(63)).astype(np.int64), ((x >> np.uint64(6)) & np.uint64(63)).astype(np.int64)
+    return first, second, ((x >> np.uint64(32)) % np.uint64(1000) < np.uint64(round(1000 * SECOND))) & (first != second)
+
+
+def _leaves(t: np.ndarray, levels: int) -> np.ndarray:
+    """The nodes of the last level that documents are in if all nodes above branch: a column for each way down, 0 where there is
+    none. Two documents are in one node if and only if they have it in the same column."""
+    nodes, every = _root_nodes(t), np.arange(len(t))[:, None]
+    for _ in range(levels - 1):
+        first, second, two = _picks(nodes)
+        a, b = (_child(nodes, p, t[every, p]) for p in (first, second))
+        nodes = np.concatenate([np.where(nodes == 0, 0, a), np.where((nodes != 0) & two, b, 0)], 1).astype(np.uint64)
+    return nodes
+
+
 def roots(tokens: DataFrame) -> DataFrame:
     """(node, id): the children of each tree's root that a document is in."""
-    order = np.random.default_rng(7)
-    spots = order.permutation(POSITIONS)[: round(TREES * (1 + SECOND))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, t = batch.column(0).to_numpy(), _tokens(batch.column(1))
-            for k, p in enumerate(spots.tolist()):
-                node = _child(np.full(len(ids), k % TREES, np.uint64), np.full(len(ids), p), t[:, p])
-                yield pa.RecordBatch.from_arrays([_ids(node), _ids(ids)], ["node", "id"])
+            ids, nodes = batch.column(0).to_numpy(), _root_nodes(_tokens(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([_ids(nodes.reshape(-1)), _ids(np.repeat(ids, nodes.shape[1]))], ["node", "id"])
 
     return tokens.select("id", "sketch").mapInArrow(run, "node long, id long")
 
@@ -110,9 +131,7 @@ def branches(rows: DataFrame) -> DataFrame:
         for batch in batches:
             node = batch.column(0).to_numpy().view(np.uint64)
             ids, t = batch.column(1).to_numpy(), _tokens(batch.column(2))
-            x = mix(node + np.uint64(99))
-            first, second = (x & np.uint64(63)).astype(np.int64), ((x >> np.uint64(6)) & np.uint64(63)).astype(np.int64)
-            two = ((x >> np.uint64(32)) % np.uint64(1000) < np.uint64(round(1000 * SECOND))) & (first != second)
+            first, second, two = _picks(node)
             every = np.arange(len(ids))
             for position, ok in ((first, np.ones(len(ids), bool)), (second, two)):
                 child = _child(node[ok], position[ok], t[every[ok], position[ok]])
@@ -172,7 +191,7 @@ def similar(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def candidates(tokens: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Candidate pairs (a, b) of documents with different sets, and (node, id) of what is left in large nodes at the last level."""
-    frontier, found, rest = roots(tokens), [], None
+    frontier, found, stars, rest = roots(tokens), [], [], None
     for level in range(LEVELS):
         frontier = stored(frontier)
         size = stored(frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).filter("n > 1"))
@@ -181,42 +200,49 @@ def candidates(tokens: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         found.append(stored(node_pairs(small.join(tokens, "id")).distinct()))
         if large.isEmpty():
             break
-        star = large.filter("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        found.append(stored(similar(star, tokens)))
+        stars.append(large.filter("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         if level == LEVELS - 1:
             rest = large.select("node", "id")
         else:
             frontier = branches(large.join(tokens, "id"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return stored(out.distinct()), rest
+    if stars:  # documents of nested nodes meet the same first documents again and again
+        found.append(similar(stored(_all(stars).distinct()), tokens))
+    return stored(_all(found).distinct()), rest
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar."""
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def overlaps(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, na, nb, both): sizes of the full sets of pairs (a, b) and of their intersections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
             a_ids = batch.column(0).to_pylist()
             (da, ata), (db, atb) = utf8(batch.column(2)), utf8(batch.column(3))
-            ra, rb = da.tobytes(), db.tobytes()
-            good = []
+            out = []
             for i, j in pieces(atb, 1 << 20):
-                theirs = shingle_sets([rb[atb[k] : atb[k + 1]] for k in range(i, j)])
+                theirs = shingle_sets(raw_texts(db, atb, i, j))
                 for k in range(i, j):
                     if last is None or a_ids[k] != last:
-                        last, held = a_ids[k], shingle_sets([ra[ata[k] : ata[k + 1]]])[0]
-                    other = theirs[k - i]
-                    both = common(held, other)
-                    good.append(100 * both >= SIMILARITY * (len(held) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+                        last, held = a_ids[k], shingle_sets(raw_texts(da, ata, k, k + 1))[0]
+                    out.append((len(held), len(theirs[k - i]), common(held, theirs[k - i])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), (), ())))], ["a", "b", "na", "nb", "both"])
 
     ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     texts = by_ids(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), ids, "id", "left_semi")
     of = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, na long, nb long, both long")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of pairs (a, b), those whose full sets are similar."""
+    return overlaps(pairs, docs, id_col, text_col).filter(f"100 * both >= {SIMILARITY} * (na + nb - both)").select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -244,15 +270,101 @@ def _across(pairs: DataFrame, roots_: DataFrame) -> DataFrame:
     return out.filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
 
 
-def _leftover(rest: DataFrame, roots_: DataFrame) -> DataFrame:
-    """Pairs (a, b) that finish large nodes: each document outside its node's largest component with all of other components."""
+def _mixed(rest: DataFrame, roots_: DataFrame) -> DataFrame:
+    """(node, id, root, main) of the nodes that hold more than one component; main is the largest of a node."""
     held = stored(rest.join(roots_, "id", "left").select("node", "id", F.coalesce("root", "id").alias("root")))
     share = held.groupBy("node", "root").count()
-    most = stored(share.groupBy("node").agg(F.max(F.struct("count", "root")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("node", F.col("m.root").alias("main")))
-    mixed = stored(held.join(most, "node"))
-    outside = mixed.filter("root <> main").select("node", F.col("id").alias("x"), F.col("root").alias("rx"))
-    met = outside.join(mixed.select("node", "id", "root"), "node").filter("rx <> root")
-    return met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    most = share.groupBy("node").agg(F.max(F.struct("count", "root")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return stored(held.join(stored(most.select("node", F.col("m.root").alias("main"))), "node"))
+
+
+def _shared(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, alone): of the documents ``ids``, how many shingles of each no other of them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = utf8(batch.column(1))
+            who = batch.column(0).to_numpy()
+            for i, j in pieces(at, 1 << 20):
+                sets = shingle_sets(raw_texts(data, at, i, j))
+                yield pa.RecordBatch.from_arrays([_ids(np.repeat(who[i:j], [len(s) for s in sets])), _ids(np.concatenate(sets))], ["id", "shingle"])
+
+    texts = by_ids(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), ids, "id", "left_semi")
+    each = texts.mapInArrow(run, "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    alone = each.filter("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    return ids.join(alone, "id", "left").select("id", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+#: Rows of a block of a large node, about.
+BLOCK = 256
+
+
+def _block_pairs(known: DataFrame) -> DataFrame:
+    """(a, b): from (node, id, root, main, n, p, r, sketch), the documents outside the largest component of their node with those of
+    other components, as far as the bound and MATCHES equal tokens leave them. Works on pairs of blocks of a node, so that only what
+    is left becomes rows; blocks are dealt by a hash of the id."""
+
+    levels = LEVELS
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        size = stored(rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")))
+        dealt = rows.join(size, "node").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        return dealt.groupBy("node", "part").agg(F.collect_list(F.struct("id", "root", "n", "p", "r", "sketch")).alias(name)).select("node", name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sides = batch.column(0).to_numpy().view(np.uint64), []
+            for c in batch.columns[1:]:
+                flat = c.flatten()
+                numbers = [flat.field(f).to_numpy() for f in ("id", "root", "n", "p", "r")]
+                sides.append((c.offsets.to_numpy() - c.offsets[0].as_py(), numbers, _tokens(flat.field("sketch"))))
+            (ao, an, at), (bo, bn, bt) = sides
+            for k in range(batch.num_rows):
+                x, y = slice(ao[k], ao[k + 1]), slice(bo[k], bo[k + 1])
+                (i, root, n, p, r), (j, root2, n2, p2, r2) = ([v[x, None] for v in an], [v[None, y] for v in bn])
+                most = np.minimum(p, p2) + np.maximum(0, np.minimum(r, r2))
+                u, v = np.nonzero((root != root2) & (100 * most >= SIMILARITY * (n + n2 - most)))
+                left, right, mine = _leaves(at[x], levels), _leaves(bt[y], levels), []
+                for m in range(0, len(u), 16384):
+                    f, g = u[m : m + 16384], v[m : m + 16384]
+                    good = (at[x][f] == bt[y][g]).sum(1) >= MATCHES
+                    f, g = f[good], g[good]
+                    first = ((left[f] == right[g]) & (left[f] != 0)).argmax(1)  # a pair counts in the first node of the two only
+                    here = left[f, first] == nodes[k]
+                    mine.append((f[here], g[here]))
+                f, g = (np.concatenate([z[w] for z in mine]) if mine else np.zeros(0, np.int64) for w in (0, 1))
+                a, b = i[f, 0], j[0, g]
+                yield pa.RecordBatch.from_arrays([_ids(np.minimum(a, b)), _ids(np.maximum(a, b))], ["a", "b"])
+
+    pairs = stored(blocks(known.filter("root <> main"), "o")).join(stored(blocks(known, "e")), "node")
+    return pairs.select("node", "o", "e").repartition(max(1, known.sparkSession.sparkContext.defaultParallelism * 4)).mapInArrow(run, "a long, b long")
+
+
+def _finish(rest: DataFrame, links: DataFrame, roots_: DataFrame, sizes: DataFrame, tokens: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Components after large nodes of the last level are finished.
+
+    A node's pivot is the document with the fewest shingles that no other document of these nodes has. Two documents share at most
+    the lesser of what each shares with the pivot, and of what each has beside it that is not its own alone. This bound leaves few
+    pairs of the documents outside a node's largest component with those of other components; they are compared."""
+    held = _mixed(rest, roots_)
+    if held.isEmpty():
+        return roots_
+    ids = stored(held.select("id").distinct())
+    alone = stored(_shared(ids, docs, id_col, text_col).join(sizes, "id").select("id", "n", "alone"))
+    pivot = held.join(alone, "id").groupBy("node").agg(F.min(F.struct("alone", "id")).alias("p")).select("node", F.col("p.id").alias("pivot"))
+    pivot = stored(pivot)
+    rows = stored(held.select("node", "id").join(pivot, "node"))
+    tried = stored(overlaps(rows.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), docs, id_col, text_col))
+    links = stored(links.unionByName(tried.filter(f"100 * both >= {SIMILARITY} * (na + nb - both)").select("a", "b")))
+    roots_ = components(links)
+    held = _mixed(rest, roots_)
+    both = tried.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "both")
+    known = stored(held.join(pivot, "node").join(both, ["pivot", "id"], "left").join(alone, "id").selectExpr("node", "id", "root", "main", "n", "coalesce(both, n) as p", "n - alone - coalesce(both, n) as r"))
+    left = stored(_block_pairs(known.join(tokens, "id")).distinct())
+    left = stored(left.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    if left.isEmpty():
+        return roots_
+    return components(stored(links.unionByName(confirmed(left, docs, id_col, text_col))))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,10 +392,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = stored(links.unionByName(confirmed(left, docs, id_col, text_col)))
         roots_ = components(links)
     if rest is not None:
-        left = stored(similar(_leftover(rest, roots_), tokens))
-        left = stored(left.join(pairs, ["a", "b"], "left_anti"))
-        if not left.isEmpty():
-            roots_ = components(stored(links.unionByName(confirmed(left, docs, id_col, text_col))))
+        roots_ = _finish(rest, links, roots_, sets.groupBy("id").agg(F.max("n_shingles").alias("n")), tokens, docs, id_col, text_col)
     of_copies = copies.join(roots_.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     # An id that stands in two classes (a repeated id) goes with the smallest.
     labels = stored(of_copies.unionByName(roots_).groupBy("id").agg(F.min("root").alias("root")))
