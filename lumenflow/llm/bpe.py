@@ -1,7 +1,7 @@
 """Operator 6: byte-level BPE encoding and decoding.
 
-Bytes are mapped to Latin-1 so that an Aho-Corasick automaton over the vocabulary lists, in one pass over a pre-token, every
-token that matches at every position. The encoder takes the longest match and goes back to shorter ones where two adjacent
+Bytes are mapped to Latin-1 so that the automaton's trie over the vocabulary says how far a token can reach from any position. The
+encoder takes the longest match and goes back to shorter ones where two adjacent
 tokens could not stand side by side after the merges; whether they can is memoised. A position that led nowhere is never tried
 again, so the work is linear in the pre-token's length.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of the caches of one Python worker; a full cache starts anew.
-WORDS, PAIRS = 1_000_000, 2_000_000
+WORDS, PAIRS = 250_000, 250_000
 
 
 def vocabulary(path: str | None = None) -> list[bytes]:
@@ -70,6 +70,7 @@ class Codec:
         self.merges: dict[int, int] = {}
         self.memo: dict[int, bool] = {}
         self.words = _Words(self.encode_piece)
+        self.matches: dict[str, int] = {}  # tokens that merging can make, by their bytes as Latin-1
         self.automaton = ahocorasick.Automaton()
         for i, t in enumerate(tokens):
             if len(t) > 1:
@@ -78,8 +79,10 @@ class Codec:
                     continue
                 left, right = self.halves[i]
                 self.merges[left << 20 | right] = i
-            self.automaton.add_word(t.decode("latin-1"), i)
-        self.automaton.make_automaton()
+            self.matches[t.decode("latin-1")] = i
+        for t, i in self.matches.items():
+            self.automaton.add_word(t, i)
+        self.most = max(map(len, self.matches), default=1)
 
     def _split(self, token: int) -> tuple[int, int] | None:
         """Called in the order of ids, when the merges of all lower ranks are known and no others."""
@@ -120,28 +123,30 @@ class Codec:
         whole = self.ids.get(piece)
         if whole is not None:
             return [whole]
-        n, lengths, adjacent = len(piece), self.lengths, self.adjacent
-        starts: list[list[int]] = [[] for _ in range(n)]  # the tokens that match at each position, short before long
-        for end, token in self.automaton.iter(piece.decode("latin-1")):
-            starts[end - lengths[token] + 1].append(token)
-        dead = bytearray(n + 1)
+        s, n, most = piece.decode("latin-1"), len(piece), self.most
+        get, prefix, memo, adjacent = self.matches.get, self.automaton.longest_prefix, self.memo.get, self.adjacent
         out: list[int] = []
-        where: list[int] = []  # of each token in out: its place in the list of its position
-        at, k, last = 0, len(starts[0]) - 1, -1
+        dead: set[int] = set()  # positions from which no way leads to the end
+        at, last, k = 0, -1, prefix(s[:most])
         while at < n:
-            here = starts[at]
-            while k >= 0 and (dead[at + lengths[here[k]]] or last >= 0 and not adjacent(last, here[k])):
+            # The longest match that leads on: the automaton says how far a match can reach, shorter ones are its prefixes.
+            while k:
+                token = get(s[at : at + k])
+                if token is not None and at + k not in dead:
+                    if last < 0:
+                        break
+                    good = memo(last << 20 | token)
+                    if good or good is None and adjacent(last, token):
+                        break
                 k -= 1
-            if k >= 0:
-                last = here[k]
-                out.append(last)
-                where.append(k)
-                at += lengths[last]
-                k = len(starts[at]) - 1 if at < n else -1
+            if k:
+                out.append(token)
+                last, at = token, at + k
+                k = prefix(s[at : at + most]) if at < n else 0
             else:
-                dead[at] = 1
-                at -= lengths[out.pop()]
-                k = where.pop() - 1
+                dead.add(at)
+                k = self.lengths[out.pop()]
+                at, k = at - k, k - 1
                 last = out[-1] if out else -1
         return out
 

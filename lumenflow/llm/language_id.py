@@ -24,6 +24,8 @@ PER_LANGUAGE = 1500
 CONTEXTS = 12_000
 LINE = 10  # a text is coded as if three line ends came before it
 UNKNOWN = "und"
+#: Bits by which a text must exceed 8 bits a byte to count as noise; a short text never does by chance.
+NOISE = 64
 
 
 def _context(symbols: np.ndarray, offsets: np.ndarray, first: int) -> tuple[np.ndarray, ...]:
@@ -147,8 +149,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte, reliable) of every whole text.
 
     ``lang_pred`` is ``und`` with score 0 where the text is null or has no letter, and where the model knows no language. Ties go
-    to the first language by name. ``score`` is the posterior of the language for equal priors; ``reliable`` says that the
-    language codes the text shorter than 8 bits a byte, which noise and unknown scripts do not. Repeated rows give repeated
+    to the first language by name. ``score`` is the posterior of the language for equal priors; ``reliable`` is false where no
+    language codes the text in 8 bits a byte (and NOISE more), as for noise and unknown scripts. Repeated rows give repeated
     results; other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -168,7 +170,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             known = letter & bool(m.languages)
             rate = shortest / np.maximum(np.diff(at), 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names[np.where(known, best, len(m.languages))], pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(rate), pa.array(known & (rate < 8))],
+                [batch.column(0), pa.array(names[np.where(known, best, len(m.languages))], pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(rate), pa.array(known & (shortest < 8.0 * np.diff(at) + NOISE))],
                 ["doc_id", "lang_pred", "score", "bits_per_byte", "reliable"],
             )
 
@@ -185,15 +187,16 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            data, at = utf8(batch.column(1))
-            keep = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
+            data, at = utf8(batch.column(0).field(place))
+            keep = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
             if m.languages:
                 for i, j in pieces(at, 1 << 20):
                     bits = m.code_lengths(data[at[i] : at[j]], at[i : j + 1] - at[i]).min(1)
-                    keep[i:j] &= bits < 8.0 * np.diff(at[i : j + 1])
+                    keep[i:j] &= bits < 8.0 * np.diff(at[i : j + 1]) + NOISE
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], ["row"])
 
-    rows = docs.select(row, F.col("text").alias("t"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    place = docs.columns.index("text")
+    rows = docs.select(row, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     kept = rows.mapInArrow(run, rows.select("row").schema)
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 

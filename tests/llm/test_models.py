@@ -1,5 +1,6 @@
 """Operators 1, 2, 3 and 8: models against plain versions and on held-out rows."""
 
+import dataclasses
 import math
 import re
 import zlib
@@ -97,9 +98,11 @@ def plain_log_probs(m, ids):
         q = m.q[read[i]] + m.pq[i - first]
         s = np.exp(np.minimum((m.k[read[a]] + m.pk[a - first]) @ q, 40))
         h = (s / s.sum()) @ m.v[read[a]]
-        z = h @ m.out + m.skip[read[i]] + m.skip2[read[i - 1] if i else 0]
-        z = z - np.log(np.exp(z).sum())
-        out.append(z[m.cls[ids[i]]] + m.share[ids[i]])
+        last, before = read[i], read[i - 1] if i else 0
+        g, j = divmod(m.cls[ids[i]], attention.MEMBERS)
+        z = h @ m.out + m.skip[last] + m.skip2[before]
+        w = h @ m.inner[g] + m.inner_skip[last, g] + m.inner_skip2[before, g]
+        out.append(z[g] - np.log(np.exp(z).sum()) + w[j] - np.log(np.exp(w).sum()) + m.share[ids[i]])
     return np.array(out)
 
 
@@ -138,7 +141,7 @@ def plain_base(docs, training):
 def test_base_score(spark, small, edges, none, model, monkeypatch, frequent):
     """Also with few broadcast counts, so that most words go through the join."""
     monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
-    wide = attention.Attention(*[np.zeros(50257, np.int32), np.zeros(50257, np.int32), np.full(50257, -10.0, np.float32), *[getattr(model, f)[:2] * 0 for f in ("q", "k", "v")], model.pq, model.pk, model.out, model.skip[:2], model.skip2[:2]])
+    wide = dataclasses.replace(model, known=np.zeros(50257, np.int32), cls=np.zeros(50257, np.int32), share=np.full(50257, -10.0, np.float32))
     counts = stored(lm_scoring.word_counts(small))
     for docs in (small, edges, none):
         got = sorted(map(tuple, lm_scoring.score(docs, counts, wide).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score").collect()), key=str)
