@@ -155,6 +155,11 @@ class Codec:
         words = self.words
         return b"".join([words[w] for w in self.find(text)])
 
+    def forget(self) -> None:
+        """Empties the caches, so that an idle worker holds little."""
+        self.words.clear()
+        self.memo.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -195,6 +200,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 first.append(hashlib.sha256(ids).hexdigest())
                 second.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first), pa.array(second)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

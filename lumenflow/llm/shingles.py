@@ -8,7 +8,7 @@ import xxhash
 #: Lower-cases A-Z in UTF-8 bytes. bytes.split() then splits at exactly 0x20 and 0x09 to 0x0D.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WIDTH = 5
-WORDS = 200_000  # entries of a worker's cache of word hashes; a full cache starts anew
+WORDS = 100_000  # entries of a worker's cache of word hashes; a full cache starts anew
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
