@@ -98,8 +98,8 @@ p AS (SELECT bucket, CASE WHEN mse <> 0 THEN 10 * log10(65025 / mse) END AS p FR
 
 
 def region(spark, d):
-    """A window of a plane, 0 outside: rows 6 to 9 and columns 6 to 9 of the first blocks."""
-    rows = T.block_rows(T.blocks(spark, d).filter("id < 50"))
+    """A window of a plane, 0 outside: rows 6 to 9 and columns 6 to 9 of every block."""
+    rows = T.block_rows(T.blocks(spark, d))
     grid = spark.range(16).selectExpr("int(6 + id div 4) as y", "int(6 + id % 4) as x")
     ids = rows.select("id").distinct()
     return ids.crossJoin(F.broadcast(grid)).join(rows, ["id", "y", "x"], "left").select("id", "y", "x", F.coalesce("s", F.lit(0)).alias("s"))

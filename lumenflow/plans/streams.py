@@ -12,7 +12,7 @@ C = F.col
 
 
 def _stream(spark, d):
-    p = T.read(spark, d, "part").filter("p_partkey <= 300").select(C("p_partkey").cast("string").alias("path"), C("p_partkey").alias("k"), "p_size")
+    p = T.read(spark, d, "part").select(C("p_partkey").cast("string").alias("path"), C("p_partkey").alias("k"), "p_size")
     sps = {"profile_idc": F.lit(66), "constraints": F.lit(0), "level_idc": F.lit(30), "sps_id": F.lit(0), "log2_max_frame_num_minus4": C("k") % 5, "poc_type": F.when(C("k") % 3 == 0, 2).otherwise(0), "log2_max_poc_lsb_minus4": C("k") % 4, "max_num_ref_frames": F.lit(1)}
     sps |= {"gaps_allowed": F.lit(0), "width_mbs_minus1": C("p_size"), "height_units_minus1": C("k") % 40, "frame_mbs_only": F.lit(1), "mb_adaptive": F.lit(0), "direct_8x8": F.lit(1), "cropping": C("k") % 2, "crop_left": F.lit(0), "crop_right": C("k") % 7, "crop_top": F.lit(0), "crop_bottom": C("k") % 5, "vui": F.lit(0)}
     pps = {f: F.lit(0) for f, _, _ in H.PPS} | {"init_qp_minus26": C("k") % 21 - 10, "chroma_qp_offset": C("k") % 5 - 2, "deblocking_control": C("k") % 2}
