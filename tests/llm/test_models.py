@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from lumenflow.llm import attention, language_id, lm_scoring, quality, toxicity
+from lumenflow.llm.bpe import codec
 from lumenflow.llm.common import stored
 
 DIR = "/root/testdata/sf0.001"
@@ -156,6 +157,25 @@ def test_scores_beat_counts(spark, monkeypatch):
     assert sum(r.score for r in held) > 1.05 * sum(r.base_score for r in held)
 
 
+def test_counts_cover_all_texts(spark, small, monkeypatch):
+    """Shares, classes and bigrams come from all texts, however few are sampled for the gradient steps."""
+    monkeypatch.setattr(attention, "STEPS", 0)
+    monkeypatch.setattr(lm_scoring, "KEYS", 5000)
+    m = lm_scoring.fit(small, sample=3)
+    c = codec()
+    find = re.compile("[^\x20\x09-\x0d]+").findall
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [[*(i for w in find((r.text or "").translate(low)) for i in c.encode_piece(b" " + w.encode())), len(c.tokens)] for r in small.collect()]
+    count = Counter(i for t in texts for i in t)
+    smooth = np.array([count[i] + 0.01 for i in range(len(c.tokens) + 1)])
+    assert np.allclose(m.share, np.log(smooth / np.bincount(m.cls, smooth)[m.cls]), atol=1e-5)
+    assert set(np.flatnonzero(m.known)) <= {i for i, n in count.items() if n > 2} and (m.known > 0).sum() == min(attention.KNOWN, sum(n > 2 for n in count.values()))
+    bigram = Counter((m.known[a] if a is not None else 1, m.cls[b] // attention.MEMBERS) for t in texts for a, b in zip([None, *t], t))
+    groups = np.array([[bigram[r, g] for g in range(attention.GROUPS)] for r in range(len(m.skip))])
+    prior = np.bincount(m.cls // attention.MEMBERS, smooth) / smooth.sum()
+    assert np.allclose(m.skip, np.log((groups + 4 * prior) / (groups.sum(1, keepdims=True) + 4)), atol=1e-4)
+
+
 def test_scoring_without_training(spark, edges, none):
     m = lm_scoring.fit(none)
     rows = lm_scoring.score(edges, stored(lm_scoring.word_counts(none)), m).collect()
