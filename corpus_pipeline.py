@@ -29,8 +29,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids."""
-    return bpe.digests(docs)
+    """Token counts and digests of the ids, and the place in the mix that the order of the files gives."""
+    return bpe.digests(mixing.placed(docs, "doc_id", "text"))
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("byte_bpe", tokens)]

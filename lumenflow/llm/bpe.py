@@ -188,7 +188,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Digest columns of :func:`encode`, made where the ids are made, so that ids never leave the worker."""
+    """Digest columns of :func:`encode`, made where the ids are made, so that ids never leave the worker. A column ``place`` stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -199,11 +199,12 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 n.append(len(ids) // 4)
                 first.append(hashlib.sha256(ids).hexdigest())
                 second.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first), pa.array(second)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first), pa.array(second), *batch.columns[2:]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *place])
         c.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    place = [c for c in docs.columns if c == "place"]
+    return docs.select("doc_id", "text", *place).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in place))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

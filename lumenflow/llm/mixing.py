@@ -8,6 +8,10 @@ windows repeat after M slots, so the schedule of M slots is made once, in one sm
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,9 +79,24 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
 
 
 def mixed(docs: DataFrame, slots_per_run: int = 64, **options) -> DataFrame:
-    """The rows of ``docs`` in files that each hold runs of the mix in its order."""
+    """The rows of ``docs`` in the order of the mix, within each partition and from one to the next: written, the files follow it."""
     plan = schedule(docs, **options).withColumn("part", F.expr(f"slot div {slots_per_run}"))
-    return plan.repartition("part").sortWithinPartitions("slot", "source", "block_pos").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return plan.repartitionByRange("part").sortWithinPartitions("slot", "source", "block_pos").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def placed(docs: DataFrame, *columns: str, name: str = "place") -> DataFrame:
+    """Columns of ``docs`` as read from files and the number of each row, from 0 on, in the order in which the files were written.
+    Rows that do not come from Parquet files have no such order, and no such column."""
+    try:
+        rows = docs.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth"))
+    except AnalysisException:
+        return docs.select(*columns)
+    counts = [(r[0], r[1]) for r in rows.groupBy("file").count().collect()]  # a row for each file
+    part = lambda path: (int((re.findall(r"part-(\d+)", path) or ["0"])[-1]), path)
+    counts.sort(key=lambda c: part(c[0]))
+    first = list(accumulate((n for _, n in counts), initial=0))
+    starts = docs.sparkSession.createDataFrame([(f, i) for (f, _), i in zip(counts, first, strict=False)], "file string, start long")
+    return rows.join(F.broadcast(starts), "file").select(*columns, (F.col("start") + F.col("nth")).alias(name))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

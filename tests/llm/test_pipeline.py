@@ -4,10 +4,11 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lumenflow.llm import bpe, registry
+from lumenflow.llm import bpe, mixing, registry
 from tests.llm.test_dedup import plain_components, plain_groups
 
 DIR = "/root/testdata/sf0.001"
@@ -58,3 +59,36 @@ def test_sql(spark, name):
     found = con.execute(registry.oracle_sql()[name])
     names = [c[0] for c in found.description]
     assert sorted(str(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(str(tuple(r[names.index(c)] for c in columns)) for r in found.fetchall())
+
+
+def test_mix_takes_effect(spark, table, tmp_path):
+    """The last stage tells the place in the mix; at any place each source has its share, less than two blocks off."""
+    docs, orders = table([f"text {i}" for i in range(700)]), []
+    source = {r.doc_id: r.source for r in docs.collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for k, weights in enumerate(({"s0": 0.7, "s1": 0.2, "s2": 0.1}, {"s0": 0.1, "s1": 0.2, "s2": 0.7})):
+            path = str(tmp_path / f"{k}")
+            mixing.mixed(docs, slots_per_run=4, weights=weights, block_rows=4, units=50).write.parquet(path)
+            assert len(list((tmp_path / f"{k}").glob("part-*"))) > 1
+            rows = sorted(corpus_pipeline.tokens(spark, spark.read.parquet(path), DIR).collect(), key=lambda r: r.place)
+            assert [r.place for r in rows] == list(range(700))
+            orders.append([source[r.doc_id] for r in rows])
+            seen, total = Counter(), Counter(orders[-1])
+            for n, s in enumerate(orders[-1], 1):
+                seen[s] += 1
+                assert all(abs(seen[x] - n * w) < 2 * 4 for x, w in weights.items())
+                if seen[s] > total[s] - 4:
+                    break
+            assert n > 250
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert orders[0] != orders[1]
+
+
+def test_run(spark):
+    rows = corpus_pipeline.run(spark, DIR).collect()
+    assert rows and sorted(r.place for r in rows) == list(range(len(rows)))
+    kept = spark.read.parquet(f"{DIR}/documents.parquet").filter(F.col("doc_id").isin([r.doc_id for r in rows]))
+    plan = sorted(mixing.schedule(kept).collect(), key=lambda r: (r.slot, r.block_pos))
+    assert [r.row.doc_id for r in plan] == [r.doc_id for r in sorted(rows, key=lambda r: r.place)]
