@@ -178,14 +178,25 @@ def huffman_table(spark, d):
 HUFFTABLE = "WITH t(\"table\", symbol, len, code) AS (VALUES " + ", ".join(f"('{t}', {s}, {n}, {c})" for t in dims.HUFFMAN for s, n, c in dims.huffman_codes(t)) + ") SELECT \"table\", symbol, len, CAST(code AS BIGINT) AS code, true AS canonical FROM t"
 
 
+#: Ids of blocks that are ranked together.
+RANGE = 4096
+
+
 def dc_dpcm(spark, d):
     """Differences of DC values in scan order, and their running sum within restart segments of eight blocks."""
-    dc = quantized(spark, d).filter("u = 0 and v = 0").select((C("id") % 4).alias("component"), "id", C("q").alias("dc"))
-    w = Window.partitionBy("component").orderBy("id")
-    seg = dc.withColumn("segment", F.expr("(row_number() over (partition by component order by id) - 1) div 8"))
-    s = Window.partitionBy("component", "segment").orderBy("id")
-    diff = seg.withColumn("diff", C("dc") - F.coalesce(F.lag("dc").over(s), F.lit(0)))
-    return diff.select("component", "id", "segment", (C("dc") - F.coalesce(F.lag("dc").over(w), F.lit(0))).alias("whole"), "diff", F.sum("diff").over(s).alias("again"))
+    bucket = F.expr(f"id div {RANGE}").alias("bucket")
+    dc = quantized(spark, d).filter("u = 0 and v = 0").select((C("id") % 4).alias("component"), bucket, "id", C("q").alias("dc"))
+    # A block's rank is its rank in a range of ids and the number of blocks before that range.
+    counts = T.blocks(spark, d).select((C("id") % 4).alias("component"), bucket).groupBy("component", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("component").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("component", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("component", "bucket").orderBy("id")
+    ranked = dc.withColumn("r", F.row_number().over(within) - 1).join(first, ["component", "bucket"]).withColumn("rank", C("first") + C("r"))
+    seg = ranked.withColumn("segment", F.expr("rank div 8")).withColumn("shifted", F.expr("(rank + 4) div 8"))
+    # The block before the first of a segment is in the same segment when these are shifted by half.
+    s, h = (Window.partitionBy("component", x).orderBy("id") for x in ("segment", "shifted"))
+    diff = seg.withColumn("across", F.lag("dc").over(h)).withColumn("last", F.lag("dc").over(s)).withColumn("diff", C("dc") - F.coalesce("last", F.lit(0)))
+    return diff.select("component", "id", "segment", (C("dc") - F.coalesce("last", "across", F.lit(0))).alias("whole"), "diff", F.sum("diff").over(s).alias("again"))
 
 
 DPCM = f"""WITH {QUANT}, dc AS (SELECT id % 4 AS component, id, q AS dc, (row_number() OVER (PARTITION BY id % 4 ORDER BY id) - 1) // 8 AS segment FROM quant WHERE u = 0 AND v = 0)
