@@ -93,16 +93,16 @@ SELECT quality, round(sqrt(avg((round(round(coef, 3) / s) * s - round(coef, 3))
 
 
 def scanned(spark, d):
-    """(id, z): quantised coefficients of a block in zigzag order."""
+    """(id, a, z): quantised coefficients of a block, row by row and in zigzag order."""
     q = quantized(spark, d).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((C("v") * 8 + C("u")).alias("i"), "q"))).alias("a"))
-    return q.select("id", F.transform("a", lambda e: e["q"]).alias("a")).select("id", X.zigzag("a").alias("z"))
+    return q.select("id", F.transform("a", lambda e: e["q"]).alias("a")).select("id", "a", X.zigzag("a").alias("z"))
 
 
 SCAN = f"{QUANT}, scan AS (SELECT id, list_transform({ZZ}, lambda i: a[i]) AS z FROM (SELECT id, list(q ORDER BY v, u) AS a FROM quant GROUP BY id))"
 
 
 def zigzag(spark, d):
-    return scanned(spark, d).select("id", F.array_join(F.transform("z", lambda x: x.cast("string")), " ").alias("scan"), (X.unzigzag("z") == X.unzigzag("z")).alias("same"), F.size(F.filter("z", lambda x: x != 0)).alias("nonzero"))
+    return scanned(spark, d).select("id", F.array_join(F.transform("z", lambda x: x.cast("string")), " ").alias("scan"), (X.unzigzag("z") == C("a")).alias("same"), F.size(F.filter("z", lambda x: x != 0)).alias("nonzero"))
 
 
 ZIGZAG = f"WITH {SCAN} SELECT id, array_to_string(z, ' ') AS scan, true AS same, CAST(len(list_filter(z, lambda x: x <> 0)) AS INT) AS nonzero FROM scan"

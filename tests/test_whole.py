@@ -48,3 +48,10 @@ def test_ranges_of_blocks(spark, monkeypatch):
     want = con.execute(f"SELECT {', '.join(names)} FROM ({blocks.DPCM})").fetchall()
     got = plans.queries()["blk_dc_dpcm"](spark, "/root/testdata/sf0.001").select(names).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_wrong_inverse_scan_shows(spark, monkeypatch):
+    """``same`` holds the inverse scan against the coefficients themselves."""
+    assert all(r.same for r in plans.queries()["blk_zigzag"](spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(blocks.X, "unzigzag", lambda z: F.reverse(z))
+    assert not all(r.same for r in plans.queries()["blk_zigzag"](spark, "/root/testdata/sf0.001").collect())
