@@ -180,7 +180,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose language is known and reliable. All columns stay, under any names."""
+    """The rows of ``docs`` whose language is known and reliable; all with letters where the model knows no language. All columns
+    stay, under any names."""
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -193,7 +194,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
                 for i, j in pieces(at, 1 << 20):
                     bits = m.code_lengths(data[at[i] : at[j]], at[i : j + 1] - at[i]).min(1)
                     keep[i:j] &= bits < 8.0 * np.diff(at[i : j + 1]) + NOISE
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], ["row"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], ["row"])
 
     place = docs.columns.index("text")
     rows = docs.select(row, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))

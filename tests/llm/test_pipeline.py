@@ -92,3 +92,9 @@ def test_run(spark):
     kept = spark.read.parquet(f"{DIR}/documents.parquet").filter(F.col("doc_id").isin([r.doc_id for r in rows]))
     plan = sorted(mixing.schedule(kept).collect(), key=lambda r: (r.slot, r.block_pos))
     assert [r.row.doc_id for r in plan] == [r.doc_id for r in sorted(rows, key=lambda r: r.place)]
+
+
+def test_unlabelled_corpus(spark, table):
+    """Where no language is known, the language stage keeps every document with letters."""
+    docs = table(["a clean text", "123 456", None, "another one"]).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, DIR).collect()) == [0, 3]
