@@ -11,14 +11,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(block, x, s): the lines of an order are the samples of a block, eight at most."""
+    """(block, part, x, s): the lines of an order are the samples of a block, eight for each part of it."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")) - 1
-    return lines.select(F.col("l_orderkey").alias("block"), at.alias("x"), F.round("l_quantity").cast("int").alias("s")).filter("x < 8")
+    rows = lines.select(F.col("l_orderkey").alias("block"), at.alias("i"), F.round("l_quantity").cast("int").alias("s"))
+    return rows.select("block", F.expr("i div 8").alias("part"), (F.col("i") % 8).alias("x"), "s")
 
 
-SAMPLES = """samples AS (SELECT * FROM (SELECT l_orderkey AS block, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS x,
-  CAST(round(l_quantity) AS INT) AS s FROM lineitem) WHERE x < 8)"""
+SAMPLES = """samples AS (SELECT block, i // 8 AS part, CAST(i % 8 AS INT) AS x, s FROM (SELECT l_orderkey AS block, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS i,
+  CAST(round(l_quantity) AS INT) AS s FROM lineitem))"""
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,41 @@ def idct_block(coefficients: DataFrame, basis_: DataFrame) -> DataFrame:
     return out.select("id", "y", "x", clip(F.round(F.round("s", 6) + 128)).cast("int").alias("s"))
 
 
+def _cosines(size: int) -> list[list[float]]:
+    return [[math.cos((2 * x + 1) * u * math.pi / (2 * size)) * math.sqrt((1 if u == 0 else 2) / size) for x in range(size)] for u in range(size)]
+
+
+def cosine_line(r: list[Column]) -> list[Column]:
+    """Cosine transform of a line of samples."""
+    return [total([x * F.lit(c) for x, c in zip(r, row, strict=True)]) for row in _cosines(len(r))]
+
+
+def inverse_cosine_line(r: list[Column]) -> list[Column]:
+    """Samples of a line of coefficients."""
+    return [total([x * F.lit(row[k]) for x, row in zip(r, _cosines(len(r)), strict=True)]) for k in range(len(r))]
+
+
+def _square(df: DataFrame, array: str, line, keep: list[str], size: int) -> DataFrame:
+    """A function of a line along the rows of a square array column, then along its columns. The line is written out once and mapped
+    over rows, which keeps expressions small. Each projection names the one before it several times, so that they stay apart and
+    nothing is computed again."""
+    along = lambda rows: F.transform(rows, lambda r: F.array(*line([F.get(r, F.lit(x)) for x in range(size)])))
+    turned = lambda rows: F.array(*[F.transform(rows, (lambda j: lambda r: F.get(r, F.lit(j)))(j)) for j in range(size)])
+    across = df.select(*keep, along(F.array(*[F.slice(array, i * size + 1, size) for i in range(size)])).alias(array))
+    return across.select(*keep, along(turned(array)).alias(array)).select(*keep, F.flatten(turned(array)).alias(array))
+
+
+def dct(df: DataFrame, array: str, keep: list[str], size: int = 8) -> DataFrame:
+    """Cosine transform of blocks of level-shifted samples, row by row in one array column: no rows are made of samples, and nothing
+    is shuffled. Entry v * size + u of the result has vertical frequency v."""
+    return _square(df, array, cosine_line, keep, size)
+
+
+def idct(df: DataFrame, array: str, keep: list[str], size: int = 8) -> DataFrame:
+    """The inverse of :func:`dct`, before rounding."""
+    return _square(df, array, inverse_cosine_line, keep, size)
+
+
 def permute(array: str, order: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(i) for i in order]), lambda i: F.get(F.col(array), i))
 
@@ -73,24 +108,39 @@ def expand_runs(symbols: DataFrame, key: list[str]) -> DataFrame:
     return symbols.withColumn("at", at).filter("value <> 0").select(*key, F.col("at").cast("int").alias("pos"), "value")
 
 
-def _rows4(m: list[Column]) -> list[list[Column]]:
-    return [m[4 * i : 4 * i + 4] for i in range(4)]
+def run_symbols(df: DataFrame, array: str, keep: list[str], last: int = 63) -> DataFrame:
+    """(keep, symbols): as :func:`run_lengths`, of scanned coefficients in one array; symbols is an array of (pos, k, run, value)."""
+    at = F.filter(F.sequence(F.lit(1), F.lit(last)), lambda i: F.get(F.col(array), i) != 0)
+    rows = df.select(*keep, F.col(array).alias("_z"), at.alias("_at"))
+    rows = rows.select("*", F.slice(F.concat(F.array(F.lit(0)), "_at"), 1, F.size("_at")).alias("_before"))
+    symbol = lambda pos, k, run, value: F.struct(pos.cast("int").alias("pos"), k.cast("int").alias("k"), run.cast("int").alias("run"), value.cast("int").alias("value"))
+
+    def of(pos: Column, before: Column) -> Column:
+        run = pos - before - 1
+        final = div(run, 16).cast("int")
+        return F.transform(F.sequence(F.lit(0), final), lambda k: symbol(pos, k, F.when(k == final, run % 16).otherwise(15), F.when(k == final, F.get(F.col("_z"), pos)).otherwise(0)))
+
+    zero = F.lit(0)
+    end = F.filter(F.array(symbol(F.lit(last + 1), zero, zero, zero)), lambda _: F.coalesce(F.array_max("_at"), F.lit(0)) < last)
+    return rows.select(*keep, F.concat(F.flatten(F.zip_with("_at", "_before", of)), end).alias("symbols"))
+
+
+def run_values(symbols: str) -> Column:
+    """The (pos, value) that an array of symbols (pos, k, run, value) places: the inverse of :func:`run_symbols`, from runs alone."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,value:int>>").alias("out"))
 
+    def step(acc: Column, e: Column) -> Column:
+        at = acc["at"] + e["run"] + 1
+        return F.struct(at.alias("at"), F.when(e["value"] == 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(at.alias("pos"), e["value"].alias("value"))))).alias("out"))
 
-def _both(m: list[Column], line) -> list[Column]:
-    """A 4-point function along rows, then along columns."""
-    rows = [line(r) for r in _rows4(m)]
-    cols = [line([rows[i][j] for i in range(4)]) for j in range(4)]
-    return [cols[j][i] for i in range(4) for j in range(4)]
+    return F.aggregate(symbols, start, step, lambda acc: acc["out"])
 
 
-def stage(df: DataFrame, array: str, line, keep: list[str], transpose: bool = True) -> DataFrame:
+def stage(df: DataFrame, array: str, line, keep: list[str]) -> DataFrame:
     """One pass of a 4-point function over the rows of a 4x4 array column; the result is transposed, so that a second call works
     on columns and restores the order. Passes are separate projections to keep expressions small."""
-    a = [F.get(F.col(array), F.lit(i)) for i in range(16)]
-    rows = [line(r) for r in _rows4(a)]
-    out = [rows[i][j] for j in range(4) for i in range(4)] if transpose else [x for r in rows for x in r]
-    return df.select(*keep, F.array(*out).alias(array))
+    rows = [line([F.get(F.col(array), F.lit(4 * i + j)) for j in range(4)]) for i in range(4)]
+    return df.select(*keep, F.array(*[rows[i][j] for j in range(4) for i in range(4)]).alias(array))
 
 
 def both_ways(df: DataFrame, array: str, line, keep: list[str]) -> DataFrame:

@@ -27,14 +27,14 @@ SELECT event_id, repeat('0', length(bin(k + 1)) - 1) || bin(k + 1) AS code, CAST
 
 def magnitudes(spark, d):
     """Category and magnitude bits of differences between samples, and the differences read back."""
-    w = Window.partitionBy("block").orderBy("x")
-    v = T.samples(spark, d).select("block", "x", (C("s") - F.coalesce(F.lag("s").over(w), F.lit(0))).cast("long").alias("v"))
+    w = Window.partitionBy("block").orderBy("part", "x")
+    v = T.samples(spark, d).select("block", "part", "x", (C("s") - F.coalesce(F.lag("s").over(w), F.lit(0))).cast("long").alias("v"))
     size, bits = S.category(C("v")), S.magnitude_bits(C("v"))
-    return v.select("block", "x", size.alias("size"), bits.alias("bits"), S.from_magnitude(bits, size).alias("back"))
+    return v.select("block", "part", "x", size.alias("size"), bits.alias("bits"), S.from_magnitude(bits, size).alias("back"))
 
 
-MAGNITUDES = f"""WITH {T.SAMPLES}, v AS (SELECT block, x, s - coalesce(lag(s) OVER (PARTITION BY block ORDER BY x), 0) AS v FROM samples), c AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE length(bin(abs(v))) END AS size FROM v)
-SELECT block, x, CAST(size AS INT) AS size, CAST(CASE WHEN v >= 0 THEN v ELSE v + (1 << size) - 1 END AS BIGINT) AS bits, CAST(v AS BIGINT) AS back FROM c"""
+MAGNITUDES = f"""WITH {T.SAMPLES}, v AS (SELECT block, part, x, s - coalesce(lag(s) OVER (PARTITION BY block ORDER BY part, x), 0) AS v FROM samples), c AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE length(bin(abs(v))) END AS size FROM v)
+SELECT block, part, x, CAST(size AS INT) AS size, CAST(CASE WHEN v >= 0 THEN v ELSE v + (1 << size) - 1 END AS BIGINT) AS bits, CAST(v AS BIGINT) AS back FROM c"""
 
 #: Payload bytes that are mostly small: hexadecimal digits become bytes 0 to 3.
 DIGITS = "translate(md5(text) || md5(text || 'x'), '0123456789abcdef', '0000000111122233')"

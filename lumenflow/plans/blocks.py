@@ -18,28 +18,32 @@ STEPS = "steps(v, u, step) AS (VALUES " + ", ".join(f"({i // 8}, {i % 8}, {s})"
 ZZ = "[" + ", ".join(str(i + 1) for i in dims.zigzag()) + "]"
 
 
-def transform_bits(spark, d):
-    """Cosine transform, quantisation at quality 75, non-zero count and bits of magnitude of every order's samples."""
-    coef = X.dct_line(T.samples(spark, d), X.basis(spark))
-    step = X_steps(spark).filter("v = 0").select("u", S.scaled_step(C("step"), 75).alias("step"))
-    q = coef.join(F.broadcast(step), "u").withColumn("q", S.quantize(F.round("coef", 6), C("step")))
-    return q.groupBy("block").agg(F.count_if(C("q") != 0).alias("nonzero"), F.sum(S.category(C("q"))).alias("bits"), F.max(F.abs("q")).alias("largest"))
+def _steps(quality, table: str = "luma"):
+    """Scaled steps of a quality, row by row, as an array of fixed numbers."""
+    return F.array(*[S.scaled_step(F.lit(s), quality) for s in (dims.LUMA_STEPS if table == "luma" else dims.CHROMA_STEPS)])
 
 
-def X_steps(spark):
-    return dims.steps(spark).filter("table = 'luma'").select(C("u").alias("v"), C("v").alias("u"), "step")
+def transform_bits(spark, d):
+    """Cosine transform, quantisation at quality 75, non-zero count and bits of magnitude of eight of an order's samples each."""
+    held = T.samples(spark, d).groupBy("block", "part").agg(F.array_sort(F.collect_list(F.struct("x", "s"))).alias("a"))  # eight at most
+    line = [F.coalesce(F.get(C("a"), F.lit(x))["s"] - 128, F.lit(0)) for x in range(8)]
+    coef = held.select("block", "part", F.array(*X.cosine_line(line)).alias("coef"))
+    q = coef.select("block", "part", F.zip_with("coef", F.slice(_steps(75), 1, 8), lambda c, step: S.quantize(F.round(c, 6), step)).alias("q"))
+    bits = F.aggregate("q", F.lit(0).cast("long"), lambda n, v: n + S.category(v))
+    return q.select("block", "part", F.size(F.filter("q", lambda v: v != 0)).cast("long").alias("nonzero"), bits.alias("bits"), F.array_max(F.transform("q", F.abs)).alias("largest"))
 
 
 SCALED75 = "greatest(1, least(255, (step * 50 + 50) // 100))"
-BITS = f"""WITH {T.SAMPLES}, {BASIS}, {STEPS}, coef AS (SELECT block, u, sum((s - 128) * c) AS coef FROM samples JOIN basis USING (x) GROUP BY ALL),
-q AS (SELECT block, CAST(round(round(coef, 6) / {SCALED75}) AS BIGINT) AS q FROM coef JOIN steps ON steps.u = coef.u AND v = 0)
-SELECT block, count_if(q <> 0) AS nonzero, CAST(sum(CASE WHEN q = 0 THEN 0 ELSE length(bin(abs(q))) END) AS BIGINT) AS bits, max(abs(q)) AS largest FROM q GROUP BY block"""
+BITS = f"""WITH {T.SAMPLES}, {BASIS}, {STEPS}, coef AS (SELECT block, part, u, sum((s - 128) * c) AS coef FROM samples JOIN basis USING (x) GROUP BY ALL),
+q AS (SELECT block, part, CAST(round(round(coef, 6) / {SCALED75}) AS BIGINT) AS q FROM coef JOIN steps ON steps.u = coef.u AND v = 0)
+SELECT block, part, count_if(q <> 0) AS nonzero, CAST(sum(CASE WHEN q = 0 THEN 0 ELSE length(bin(abs(q))) END) AS BIGINT) AS bits, max(abs(q)) AS largest FROM q GROUP BY block, part"""
 
 
 def quantized(spark, d, quality=75):
-    coef = X.dct_block(T.block_rows(T.blocks(spark, d)), X.basis(spark))
-    steps = X_steps(spark).select("v", "u", S.scaled_step(C("step"), quality).alias("step"))
-    return coef.join(F.broadcast(steps), ["v", "u"]).withColumn("q", S.quantize(F.round("coef", 6), C("step")).cast("int"))
+    """(id, v, coef, q): samples, coefficients of every block and their levels, row by row; a block stays one row. Arrays made of these are never
+    empty: outer generators spare the optimizer a filter that repeats the transform."""
+    shifted = T.blocks(spark, d).select("id", "v", F.transform("v", lambda s: (s - 128).cast("double")).alias("coef"))
+    return X.dct(shifted, "coef", ["id", "v"]).select("id", "v", "coef", F.zip_with("coef", _steps(quality), lambda c, step: S.quantize(F.round(c, 6), step).cast("int")).alias("q"))
 
 
 QUANT = f"""{T.BLOCKS}, {T.ROWS}, {BASIS}, {STEPS},
@@ -49,7 +53,8 @@ quant AS (SELECT id, coef.v, coef.u, coef, {SCALED75} AS step, CAST(round(round(
 
 
 def dct8(spark, d):
-    return quantized(spark, d).select("id", "v", "u", (F.round("coef", 3) + 0.0).alias("coef"), "q")
+    each = quantized(spark, d).select("id", "coef", F.posexplode_outer("q").alias("i", "q"))
+    return each.select("id", S.div(C("i"), 8).cast("int").alias("v"), (C("i") % 8).alias("u"), (F.round(F.get("coef", "i"), 3) + 0.0).alias("coef"), "q")
 
 
 DCT8 = f"WITH {QUANT} SELECT id, v, u, round(coef, 3) + CAST(0 AS DOUBLE) AS coef, q FROM quant"
@@ -57,10 +62,10 @@ DCT8 = f"WITH {QUANT} SELECT id, v, u, round(coef, 3) + CAST(0 AS DOUBLE) AS coe
 
 def idct8(spark, d):
     """Worst and total error of blocks after quantisation and back."""
-    q = quantized(spark, d).select("id", "v", "u", (C("q") * C("step")).cast("double").alias("coef"))
-    back = X.idct_block(q, X.basis(spark)).withColumnRenamed("s", "t")
-    j = T.block_rows(T.blocks(spark, d)).join(back, ["id", "y", "x"])
-    return j.groupBy("id").agg(F.max(F.abs(C("s") - C("t"))).alias("worst"), F.sum(F.abs(C("s") - C("t"))).alias("total"))
+    levels = quantized(spark, d).select("id", "v", F.zip_with("q", _steps(75), lambda q, step: (q * step).cast("double")).alias("back"))
+    back = X.idct(levels, "back", ["id", "v"])
+    err = F.zip_with("v", "back", lambda s, t: F.abs(s - S.clip(F.round(F.round(t, 6) + 128)).cast("int")))
+    return back.select("id", err.alias("e")).select("id", F.array_max("e").alias("worst"), F.aggregate("e", F.lit(0).cast("long"), lambda n, e: n + e).alias("total"))
 
 
 IDCT8 = f"""WITH {QUANT}, a AS (SELECT id, v, x, sum(CAST(q * step AS DOUBLE) * c) AS t FROM quant JOIN basis USING (u) GROUP BY ALL),
@@ -70,8 +75,10 @@ SELECT id, max(abs(s - t)) AS worst, CAST(sum(abs(s - t)) AS BIGINT) AS total FR
 
 def energy(spark, d):
     """Total energy of coefficients and the shares of DC and of the lowest sixteen."""
-    q = quantized(spark, d).withColumn("e", F.round("coef", 3) * F.round("coef", 3))
-    return q.groupBy("id").agg(F.round(F.sum("e"), 1).alias("total"), F.round(F.sum(F.when((C("u") == 0) & (C("v") == 0), C("e"))) / F.sum("e"), 6).alias("dc"), F.round(F.sum(F.when((C("u") < 4) & (C("v") < 4), C("e"))) / F.sum("e"), 6).alias("low"))
+    e = quantized(spark, d).select("id", F.transform("coef", lambda c: F.round(c, 3) * F.round(c, 3)).alias("e"))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda n, x: n + x)
+    low = add(F.filter("e", lambda x, i: (i % 8 < 4) & (i < 32)))
+    return e.select("id", add(C("e")).alias("all"), low.alias("low"), F.get("e", F.lit(0)).alias("dc")).select("id", F.round("all", 1).alias("total"), F.round(C("dc") / C("all"), 6).alias("dc"), F.round(C("low") / C("all"), 6).alias("low"))
 
 
 ENERGY = f"""WITH {QUANT}, e AS (SELECT id, u, v, round(coef, 3) * round(coef, 3) AS e FROM quant)
@@ -79,23 +86,24 @@ SELECT id, round(sum(e), 1) AS total, round(sum(e) FILTER (WHERE u = 0 AND v = 0
 
 
 def rmse_sweep(spark, d):
-    """Root mean square error of quantisation at qualities from 10 to 90."""
-    coef = quantized(spark, d).select("v", "u", F.round("coef", 3).alias("coef"))
-    qualities = spark.range(1, 10).selectExpr("int(id * 10) as quality")
-    steps = X_steps(spark).crossJoin(qualities).withColumn("step", S.scaled_step(C("step"), C("quality")))
-    j = coef.join(F.broadcast(steps), ["v", "u"])
-    err = F.round(C("coef") / C("step")) * C("step") - C("coef")
-    return j.groupBy("quality").agg(F.round(F.sqrt(F.avg(err * err)), 5).alias("rmse"))
-
-
-SWEEP = f"""WITH {QUANT}, k AS (SELECT unnest(range(10, 100, 10)) AS quality), st AS (SELECT v, u, CAST(quality AS INT) AS quality, greatest(1, least(255, (step * (CASE WHEN quality < 50 THEN 5000 // quality ELSE 200 - 2 * quality END) + 50) // 100)) AS s FROM steps CROSS JOIN k)
+    """Root mean square error of quantisation at qualities from 1 to 100. A block gives its squared errors of all qualities as one
+    array, so that sums are made before anything is shuffled."""
+    coef = quantized(spark, d).select(F.transform("coef", lambda c: F.round(c, 3)).alias("coef"))
+    scaled = [[max(1, min(255, (s * (5000 // q if q < 50 else 200 - 2 * q) + 50) // 100)) for s in dims.LUMA_STEPS] for q in range(1, 101)]
+    steps = F.from_json(F.lit(str(scaled)), "array<array<int>>")  # folded to one constant
+    error = lambda c, s: (F.round(c / s) * s - c) * (F.round(c / s) * s - c)
+    sums = F.transform(steps, lambda its: F.aggregate(F.zip_with("coef", its, error), F.lit(0.0), lambda n, e: n + e))
+    each = coef.select(F.posexplode_outer(sums).alias("i", "e")).groupBy((C("i") + 1).alias("quality"))
+    return each.agg(F.round(F.sqrt(F.sum("e") / (64 * F.count(F.lit(1)))), 5).alias("rmse"))
+
+
+SWEEP = f"""WITH {QUANT}, k AS (SELECT unnest(range(1, 101)) AS quality), st AS (SELECT v, u, CAST(quality AS INT) AS quality, greatest(1, least(255, (step * (CASE WHEN quality < 50 THEN 5000 // quality ELSE 200 - 2 * quality END) + 50) // 100)) AS s FROM steps CROSS JOIN k)
 SELECT quality, round(sqrt(avg((round(round(coef, 3) / s) * s - round(coef, 3)) ** 2)), 5) AS rmse FROM quant JOIN st ON st.u = quant.u AND st.v = quant.v GROUP BY quality"""
 
 
 def scanned(spark, d):
     """(id, a, z): quantised coefficients of a block, row by row and in zigzag order."""
-    q = quantized(spark, d).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((C("v") * 8 + C("u")).alias("i"), "q"))).alias("a"))
-    return q.select("id", F.transform("a", lambda e: e["q"]).alias("a")).select("id", "a", X.zigzag("a").alias("z"))
+    return quantized(spark, d).select("id", C("q").alias("a")).select("id", "a", X.zigzag("a").alias("z"))
 
 
 SCAN = f"{QUANT}, scan AS (SELECT id, list_transform({ZZ}, lambda i: a[i]) AS z FROM (SELECT id, list(q ORDER BY v, u) AS a FROM quant GROUP BY id))"
@@ -108,12 +116,13 @@ def zigzag(spark, d):
 ZIGZAG = f"WITH {SCAN} SELECT id, array_to_string(z, ' ') AS scan, true AS same, CAST(len(list_filter(z, lambda x: x <> 0)) AS INT) AS nonzero FROM scan"
 
 
-def positions(spark, d):
-    return scanned(spark, d).select("id", F.posexplode("z").alias("pos", "value"))
+def symbols(spark, d):
+    """(id, symbols): run lengths of the coefficients but DC."""
+    return X.run_symbols(scanned(spark, d), "z", ["id"])
 
 
 def run_lengths(spark, d):
-    return X.run_lengths(positions(spark, d), ["id"])
+    return symbols(spark, d).select("id", F.inline_outer("symbols"))
 
 
 RUNS = f"""{SCAN}, p AS (SELECT id, CAST(i AS INT) AS pos, z[i + 1] AS value FROM scan, (SELECT unnest(range(64)) AS i)),
@@ -126,18 +135,24 @@ RLE = f"WITH {RUNS} SELECT id, pos, k, run, value FROM rle"
 
 def run_expand(spark, d):
     """Run lengths expanded again: the places and values of all coefficients but DC."""
-    return X.expand_runs(run_lengths(spark, d), ["id"])
+    return symbols(spark, d).select("id", X.run_values("symbols").alias("v")).select("id", F.inline_outer("v")).filter("pos is not null")
 
 
 EXPAND = f"WITH {RUNS} SELECT id, pos, value FROM p WHERE pos > 0 AND value <> 0"
 
 
+def _ac(of):
+    """An entry for each of the 256 AC symbols from the standard luma codes (symbol, len, code); null where there is no code."""
+    made = {s: of(n, c) for s, n, c in dims.huffman_codes("ac_luma")}
+    return F.array(*[F.lit(made.get(s)) for s in range(256)])
+
+
 def huffman_bits(spark, d):
     """Entropy-coded bits of every block's AC symbols by the standard luma table, and the ratio to 8 bits a sample."""
-    sym = run_lengths(spark, d).withColumn("symbol", (C("run") * 16 + S.category(C("value"))).cast("int"))
-    table = dims.huffman(spark).filter("table = 'ac_luma'").select("symbol", "len")
-    bits = sym.join(F.broadcast(table), "symbol").groupBy("id").agg(F.sum(C("len") + S.category(C("value"))).alias("bits"), F.count(F.lit(1)).alias("symbols"))
-    return bits.withColumn("ratio", F.round(512 / C("bits"), 6))
+    lengths = _ac(lambda n, c: n)
+    size = lambda e: S.category(e["value"])
+    bits = F.aggregate("symbols", F.lit(0).cast("long"), lambda n, e: n + F.get(lengths, e["run"] * 16 + size(e)) + size(e))
+    return symbols(spark, d).select("id", bits.alias("bits"), F.size("symbols").cast("long").alias("symbols")).withColumn("ratio", F.round(512 / C("bits"), 6))
 
 
 AC = "ac(symbol, len) AS (VALUES " + ", ".join(f"({s}, {n})" for s, n, _ in dims.huffman_codes("ac_luma")) + ")"
@@ -147,11 +162,14 @@ SELECT id, CAST(sum(len + size) AS BIGINT) AS bits, count(*) AS symbols, round(5
 
 def huffman_text(spark, d):
     """Coded AC symbols of a block as text of zeros and ones, padded with ones to whole bytes, FF bytes stuffed."""
-    sym = run_lengths(spark, d).withColumn("size", S.category(C("value"))).withColumn("symbol", (C("run") * 16 + C("size")).cast("int"))
-    table = dims.huffman(spark).filter("table = 'ac_luma'")
-    extra = F.when(C("size") == 0, "").otherwise(F.lpad(F.bin(S.magnitude_bits(C("value").cast("long"))), C("size"), F.lit("0")))
-    bits = sym.join(F.broadcast(table), "symbol").select("id", "pos", "k", F.concat(F.lpad(F.bin(C("code").cast("long")), C("len"), F.lit("0")), extra).alias("b"))
-    whole = bits.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "k", "b"))), lambda e: e["b"]), "").alias("t"))
+    codes = _ac(lambda n, c: f"{c:0{n}b}")
+
+    def coded(e):
+        size = S.category(e["value"])
+        extra = F.when(size == 0, "").otherwise(F.lpad(F.bin(S.magnitude_bits(e["value"].cast("long"))), size, F.lit("0")))
+        return F.concat(F.get(codes, e["run"] * 16 + size), extra)
+
+    whole = symbols(spark, d).select("id", F.array_join(F.transform("symbols", coded), "").alias("t"))
     padded = whole.select("id", F.rpad("t", (F.ceil(F.length("t") / 8) * 8).cast("int"), F.lit("1")).alias("t"))
     nbytes = F.transform(F.sequence(F.lit(1), F.length("t") - 7, F.lit(8)), lambda i: F.conv(F.call_function("substring", C("t"), i, F.lit(8)), 2, 16))
     return padded.select("id", F.array_join(F.transform(nbytes, lambda b: F.when(b == "FF", "FF00").otherwise(F.lpad(b, 2, "0"))), "").alias("coded"))
@@ -185,7 +203,7 @@ RANGE = 4096
 def dc_dpcm(spark, d):
     """Differences of DC values in scan order, and their running sum within restart segments of eight blocks."""
     bucket = F.expr(f"id div {RANGE}").alias("bucket")
-    dc = quantized(spark, d).filter("u = 0 and v = 0").select((C("id") % 4).alias("component"), bucket, "id", C("q").alias("dc"))
+    dc = quantized(spark, d).select((C("id") % 4).alias("component"), bucket, "id", F.get("q", F.lit(0)).alias("dc"))
     # A block's rank is its rank in a range of ids and the number of blocks before that range.
     counts = T.blocks(spark, d).select((C("id") % 4).alias("component"), bucket).groupBy("component", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("component").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -59,16 +59,14 @@ BOX = f"""WITH {T.BLOCKS}, {T.ROWS} SELECT id, y // 2 AS y, x // 2 AS x, CAST((s
 
 def chroma_upsample(spark, d):
     """Twice the width, centre-aligned: a quarter of the neighbour before or after, borders repeated."""
-    from lumenflow.operators.prediction import clamped
-
-    rows = T.block_rows(T.blocks(spark, d))
-    a, b = clamped(rows, -1, 0, 8, "before"), clamped(rows, 1, 0, 8, "after")
-    j = rows.join(a, ["id", "y", "x"]).join(b, ["id", "y", "x"])
-    return j.select("id", "y", "x", S.shift(3 * C("s") + C("before") + 2, 2).alias("even"), S.shift(3 * C("s") + C("after") + 2, 2).alias("odd"))
+    each = T.blocks(spark, d).select("id", "v", F.posexplode("v").alias("i", "s"))
+    x = C("i") % 8
+    before, after = F.get("v", C("i") - F.when(x == 0, 0).otherwise(1)), F.get("v", C("i") + F.when(x == 7, 0).otherwise(1))
+    return each.select("id", S.div(C("i"), 8).cast("int").alias("y"), x.alias("x"), S.shift(3 * C("s") + before + 2, 2).alias("even"), S.shift(3 * C("s") + after + 2, 2).alias("odd"))
 
 
-UPSAMPLE = f"""WITH {T.BLOCKS}, {T.ROWS} SELECT c.id, c.y, c.x, (3 * c.s + p.s + 2) >> 2 AS even, (3 * c.s + n.s + 2) >> 2 AS odd
-FROM rows_ c JOIN rows_ p ON p.id = c.id AND p.y = c.y AND p.x = greatest(0, c.x - 1) JOIN rows_ n ON n.id = c.id AND n.y = c.y AND n.x = least(7, c.x + 1)"""
+UPSAMPLE = f"""WITH {T.BLOCKS}, {T.ROWS} SELECT id, y, x, (3 * s + coalesce(lag(s) OVER w, s) + 2) >> 2 AS even, (3 * s + coalesce(lead(s) OVER w, s) + 2) >> 2 AS odd
+FROM rows_ WINDOW w AS (PARTITION BY id, y ORDER BY x)"""
 
 
 def psnr(spark, d):
@@ -99,13 +97,12 @@ p AS (SELECT bucket, CASE WHEN mse <> 0 THEN 10 * log10(65025 / mse) END AS p FR
 
 def region(spark, d):
     """A window of a plane, 0 outside: rows 6 to 9 and columns 6 to 9 of every block."""
-    rows = T.block_rows(T.blocks(spark, d))
-    grid = spark.range(16).selectExpr("int(6 + id div 4) as y", "int(6 + id % 4) as x")
-    ids = rows.select("id").distinct()
-    return ids.crossJoin(F.broadcast(grid)).join(rows, ["id", "y", "x"], "left").select("id", "y", "x", F.coalesce("s", F.lit(0)).alias("s"))
+    inside = lambda y, x: F.get("v", F.lit(8 * y + x)) if y < 8 and x < 8 else F.lit(0)
+    cells = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), inside(y, x).alias("s")) for y in range(6, 10) for x in range(6, 10)])
+    return T.blocks(spark, d).select("id", F.inline(cells))
 
 
-REGION = f"""WITH {T.BLOCKS}, {T.ROWS}, g AS (SELECT CAST(6 + i // 4 AS INT) AS y, CAST(6 + i % 4 AS INT) AS x FROM (SELECT unnest(range(16)) AS i)), ids AS (SELECT DISTINCT id FROM rows_ WHERE id < 50)
+REGION = f"""WITH {T.BLOCKS}, {T.ROWS}, g AS (SELECT CAST(6 + i // 4 AS INT) AS y, CAST(6 + i % 4 AS INT) AS x FROM (SELECT unnest(range(16)) AS i)), ids AS (SELECT DISTINCT id FROM rows_)
 SELECT ids.id, g.y, g.x, coalesce(r.s, 0) AS s FROM ids CROSS JOIN g LEFT JOIN rows_ r ON r.id = ids.id AND r.y = g.y AND r.x = g.x"""
 
 
@@ -119,23 +116,22 @@ TEXT = f"""WITH {T.BLOCKS} SELECT id, CAST(y AS INT) AS y, array_to_string(v[y *
 
 
 def bits_per_pixel(spark, d):
-    """Orders as streams: price as bitrate over a frame size by priority, sorted reports are left to the reader."""
+    """Orders as streams: price as bitrate over a frame size by priority, the fewest bits first."""
     o = T.read(spark, d, "orders")
     rows = o.groupBy("o_orderpriority").agg(F.sum(F.round("o_totalprice").cast("long")).alias("bits"))
-    return rows.select("o_orderpriority", "bits", F.round(S.bits_per_pixel(C("bits").cast("double"), F.lit(640), F.lit(360), F.lit(30)), 6).alias("bpp"))
+    return rows.select("o_orderpriority", "bits", F.round(S.bits_per_pixel(C("bits").cast("double"), F.lit(640), F.lit(360), F.lit(30)), 6).alias("bpp")).orderBy("bpp")
 
 
 BPP = "SELECT o_orderpriority, bits, round(CAST(bits AS DOUBLE) / (640 * 360 * 30), 6) AS bpp FROM (SELECT o_orderpriority, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS bits FROM orders GROUP BY 1)"
 
 
 def level_limits(spark, d):
-    """The first H.264 level whose frame size and rate admit a part's dimensions."""
+    """The first H.264 level whose frame size and rate admit a part's dimensions; null where none does."""
     from lumenflow.functions import dims
 
-    levels = spark.createDataFrame([(i, *row) for i, row in enumerate(dims.LEVELS)], "rank int, level string, max_fs int, max_mbps int")
     parts = T.read(spark, d, "part").select("p_partkey", F.expr("p_size * 2 * (p_size + 1)").alias("fs"), F.expr("24 + p_partkey % 37").alias("fps"))
-    fits = parts.join(F.broadcast(levels), F.expr("fs <= max_fs and fs * fps <= max_mbps"))
-    return fits.groupBy("p_partkey", "fs", "fps").agg(F.min_by("level", "rank").alias("level"))
+    first = F.filter(F.array(*[F.struct(F.lit(n).alias("level"), F.lit(f).alias("fs"), F.lit(m).alias("mbps")) for n, f, m in dims.LEVELS]), lambda e: (C("fs") <= e["fs"]) & (C("fs") * C("fps") <= e["mbps"]))
+    return parts.select("p_partkey", "fs", "fps", F.get(first, F.lit(0))["level"].alias("level"))
 
 
 def _levels() -> str:
@@ -145,7 +141,7 @@ def _levels() -> str:
 
 
 LEVEL = f"""WITH l(rank, level, max_fs, max_mbps) AS (VALUES {_levels()}), p AS (SELECT p_partkey, p_size * 2 * (p_size + 1) AS fs, 24 + p_partkey % 37 AS fps FROM part)
-SELECT p_partkey, fs, fps, arg_min(level, rank) AS level FROM p JOIN l ON fs <= max_fs AND fs * fps <= max_mbps GROUP BY ALL"""
+SELECT p_partkey, fs, fps, arg_min(level, rank) AS level FROM p LEFT JOIN l ON fs <= max_fs AND fs * fps <= max_mbps GROUP BY ALL"""
 
 QUERIES = {
     "px_ycbcr": (ycbcr, YCBCR), "px_rgb_back": (rgb_back, RGB_BACK), "px_luma_variants": (luma_variants, LUMA), "px_box_downsample": (box_downsample, BOX), "px_chroma_upsample": (chroma_upsample, UPSAMPLE),

@@ -30,7 +30,7 @@ def parameter_sets(spark, d):
 
 
 SETS = """SELECT p_partkey AS k, 30::BIGINT AS level_idc, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END::BIGINT AS poc_type, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 4 END AS poc_bits, p_size::BIGINT + 1 AS mb_width, p_partkey % 40 + 1 AS mb_height,
-(p_size::BIGINT + 1) * 16 - CASE WHEN p_partkey % 2 = 1 THEN 2 * (p_partkey % 7) ELSE 0 END AS width, (p_partkey % 40 + 1) * 16 - CASE WHEN p_partkey % 2 = 1 THEN 2 * (p_partkey % 5) ELSE 0 END AS height, '' AS error FROM part WHERE p_partkey <= 300"""
+(p_size::BIGINT + 1) * 16 - CASE WHEN p_partkey % 2 = 1 THEN 2 * (p_partkey % 7) ELSE 0 END AS width, (p_partkey % 40 + 1) * 16 - CASE WHEN p_partkey % 2 = 1 THEN 2 * (p_partkey % 5) ELSE 0 END AS height, '' AS error FROM part"""
 
 
 def slices(spark, d):
@@ -41,6 +41,6 @@ def slices(spark, d):
 
 SLICES = """SELECT p_partkey AS k, i AS idx, CASE i WHEN 2 THEN 7 ELSE 0 END::BIGINT AS slice_type, p_partkey % 16 AS frame_num, CASE i WHEN 2 THEN p_partkey % 9 END AS idr_pic_id, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 16 END AS poc_lsb,
 26 + p_partkey % 21 - 10 + p_size % 9 - 4 AS qp, CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 3 END AS disable_deblocking, CASE WHEN p_partkey % 2 = 1 AND p_partkey % 3 <> 1 THEN p_partkey % 5 - 2 END AS alpha, '' AS error
-FROM part, (SELECT CAST(unnest([2, 3]) AS INT) AS i) WHERE p_partkey <= 300"""
+FROM part, (SELECT CAST(unnest([2, 3]) AS INT) AS i)"""
 
 QUERIES = {"h264_parameter_sets": (parameter_sets, SETS), "h264_slice_headers": (slices, SLICES)}
