@@ -1,9 +1,9 @@
 """Operator 6: byte-level BPE encoding and decoding.
 
-Bytes are mapped to Latin-1 so that the automaton's trie over the vocabulary says how far a token can reach from any position. The
-encoder takes the longest match and goes back to shorter ones where two adjacent
-tokens could not stand side by side after the merges; whether they can is memoised. A position that led nowhere is never tried
-again, so the work is linear in the pre-token's length.
+Bytes are mapped to Latin-1 so that an Aho-Corasick automaton over the vocabulary lists, in one pass, all tokens that start at each
+position. The encoder takes the longest and goes back to shorter ones where two adjacent tokens could not stand side by side after
+the merges; whether they can is memoised. A position that led nowhere is never tried again, so the work is linear in the
+pre-token's length. Long pre-tokens are passed piece by piece, so that the lists of matches stay short.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of the caches of one Python worker; a full cache starts anew.
 WORDS, PAIRS = 250_000, 250_000
+#: Positions of a pre-token whose matches are listed at a time.
+SPAN = 4096
 
 
 def vocabulary(path: str | None = None) -> list[bytes]:
@@ -70,8 +72,8 @@ class Codec:
         self.merges: dict[int, int] = {}
         self.memo: dict[int, bool] = {}
         self.words = _Words(self.encode_piece)
-        self.matches: dict[str, int] = {}  # tokens that merging can make, by their bytes as Latin-1
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton()  # tokens that merging can make, by their bytes as Latin-1
+        self.most = 1
         for i, t in enumerate(tokens):
             if len(t) > 1:
                 self.halves[i] = self._split(i)
@@ -79,10 +81,9 @@ class Codec:
                     continue
                 left, right = self.halves[i]
                 self.merges[left << 20 | right] = i
-            self.matches[t.decode("latin-1")] = i
-        for t, i in self.matches.items():
-            self.automaton.add_word(t, i)
-        self.most = max(map(len, self.matches), default=1)
+            self.automaton.add_word(t.decode("latin-1"), i)
+            self.most = max(self.most, len(t))
+        self.automaton.make_automaton()
 
     def _split(self, token: int) -> tuple[int, int] | None:
         """Called in the order of ids, when the merges of all lower ranks are known and no others."""
@@ -118,35 +119,56 @@ class Codec:
             good = self.memo[key] = self._adjacent(left, right)
         return good
 
+    def _starts(self, s: str, first: int) -> list[list[int]]:
+        """Of the SPAN positions from ``first`` on, the tokens that match there, the longest last."""
+        end = min(first + SPAN, len(s))
+        starts: list[list[int]] = [[] for _ in range(first, end)]
+        lengths = self.lengths
+        for last, token in self.automaton.iter(s, first, min(len(s), end + self.most - 1)):
+            at = last + 1 - lengths[token]
+            if at < end:
+                starts[at - first].append(token)
+        return starts
+
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         whole = self.ids.get(piece)
         if whole is not None:
             return [whole]
-        s, n, most = piece.decode("latin-1"), len(piece), self.most
-        get, prefix, memo, adjacent = self.matches.get, self.automaton.longest_prefix, self.memo.get, self.adjacent
+        s, n, lengths = piece.decode("latin-1"), len(piece), self.lengths
+        memo, adjacent = self.memo.get, self.adjacent
         out: list[int] = []
         dead: set[int] = set()  # positions from which no way leads to the end
-        at, last, k = 0, -1, prefix(s[:most])
+        first, starts = 0, self._starts(s, 0)
+        at, last, k = 0, -1, len(starts[0]) if n else 0
         while at < n:
-            # The longest match that leads on: the automaton says how far a match can reach, shorter ones are its prefixes.
+            # The longest match that leads on; ``k`` counts those of this position that are still to be tried.
+            fits = starts[at - first]
             while k:
-                token = get(s[at : at + k])
-                if token is not None and at + k not in dead:
+                k -= 1
+                token = fits[k]
+                if at + lengths[token] not in dead:
                     if last < 0:
                         break
                     good = memo(last << 20 | token)
                     if good or good is None and adjacent(last, token):
                         break
-                k -= 1
-            if k:
+            else:
+                token = -1
+            if token >= 0:
                 out.append(token)
-                last, at = token, at + k
-                k = prefix(s[at : at + most]) if at < n else 0
+                last, at = token, at + lengths[token]
+                if at < n:
+                    if at >= first + SPAN:
+                        first, starts = at - at % SPAN, self._starts(s, at - at % SPAN)
+                    k = len(starts[at - first])
             else:
                 dead.add(at)
-                k = self.lengths[out.pop()]
-                at, k = at - k, k - 1
+                token = out.pop()
+                at -= lengths[token]
+                if at < first:
+                    first, starts = at - at % SPAN, self._starts(s, at - at % SPAN)
+                k = starts[at - first].index(token)
                 last = out[-1] if out else -1
         return out
 
