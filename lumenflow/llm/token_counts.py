@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenflow.llm.bpe import Codec, codec
-from lumenflow.llm.common import table
+from lumenflow.llm.common import stored, table
 
 #: Pre-tokens of a new block; a block of eight times as many makes the tree be built anew.
 BLOCK = 64
@@ -142,22 +143,21 @@ class Tree:
 
 
 def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(id_col, text, chars, tokens): every whole text with its tree's leaves, to be kept as a table; null counts as empty."""
+    """(id_col, text, chars, tokens): every whole text with its tree's leaves, to be kept as a table; null counts as empty. The
+    characters and tokens of all pre-tokens are little-endian 32-bit integers end to end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            chars, tokens, at = [], [], [0]
+            chars, tokens = [], []
             for t in batch.column(1).to_pylist():
                 found = c.find(t)
-                chars += map(len, found)
-                tokens += [len(c.words[w]) // 4 for w in found]
-                at.append(len(chars))
-            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32())) for x in (chars, tokens)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], ["id", "text", "chars", "tokens"])
+                chars.append(np.fromiter(map(len, found), "<i4", len(found)).tobytes())
+                tokens.append((np.fromiter(map(len, map(c.words.__getitem__, found)), "<i4", len(found)) // 4).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chars, pa.binary()), pa.array(tokens, pa.binary())], ["id", "text", "chars", "tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, text string, chars array<int>, tokens array<int>")
+    out = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, text string, chars binary, tokens binary")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -182,7 +182,7 @@ def recount(kept: DataFrame, id_col: str = "doc_id", path: str | None = None) ->
         for batch in batches:
             out = []
             for text, edits, *leaves in zip(*(col.to_pylist() for col in batch.columns[1:]), strict=True):
-                tree = Tree(c, text or "", tuple(leaves) if held else None)
+                tree = Tree(c, text or "", tuple(np.frombuffer(x, "<i4").tolist() for x in leaves) if held else None)
                 n, t = tree.n_chars, tree.n_tokens
                 again = sum(tree.edit(e["start"], e["length"], e["replacement"] or "") for e in edits)
                 out.append((n, t, tree.n_chars, tree.n_tokens, sum(map(len, tree.chars)), again))
@@ -205,6 +205,6 @@ def sample_edits(text: str = "text"):
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op4: token counts of every document before and after three edits."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return recount(docs.withColumn("edits", sample_edits()))
+    """op4: token counts of every document before and after three edits. The trees are kept as a table, which the edits open again."""
+    kept = stored(trees(table(spark, sf_dir, "documents")))
+    return recount(kept.withColumn("edits", sample_edits()))
