@@ -60,9 +60,13 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_ROWS = 1000
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, and survives lost executors."""
+def stored(df: DataFrame, even: bool = False) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts lineage, and survives lost executors.
+
+    ``even`` says that an aggregation has spread the rows: they are written as no more than four files for each core."""
     spark = df.sparkSession
+    if even:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path, key = shared_dir(spark), "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
@@ -73,11 +77,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str, broadcast_rows: int = 500_000) -> DataFrame:
-    """Semi or anti join on ``key``. ``ids`` is a stored table: it is broadcast only if it has at most ``broadcast_rows`` rows
-    (8 bytes each); beyond, both sides are shuffled."""
-    small = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return rows.join(F.broadcast(ids) if small else ids, key, how)
+#: Rows of a few numbers each that are broadcast, at most.
+BROADCAST_ROWS = 500_000
+
+
+def small(rows: DataFrame) -> bool:
+    """Whether a stored table has few enough rows to be broadcast."""
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join on ``key``. ``ids`` is a stored table: it is broadcast only if it is small; beyond, both sides are
+    shuffled."""
+    return rows.join(F.broadcast(ids) if small(ids) else ids, key, how)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

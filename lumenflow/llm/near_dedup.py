@@ -5,8 +5,9 @@ token positions, and documents go on together while they have the same token the
 exhaustively; a node with many compares all with its first document and branches further. Independent trees are repeated until
 the recall is as wanted. Every link is confirmed on the full sets. Equal sets are one class from the start, so copies cost nothing.
 
-Nodes that are still large at the last level (a large group of near copies) are finished exactly: whatever is not yet in one
-component with the rest of its node is compared with all of the node that an exact bound leaves.
+A large node whose documents nearly all resemble its first one (a large group of near copies) would not fall apart by branching.
+It is finished exactly, as are nodes that are still large at the last level: whatever is not yet in one component with the rest of
+its node is compared with all of the node that an exact bound leaves.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenflow.llm.common import by_ids, pieces, raw_texts, stored, table, utf8
+from lumenflow.llm.common import by_ids, pieces, raw_texts, small, stored, table, utf8
 from lumenflow.llm.shingles import common, mix, shingle_sets
 
 SIMILARITY = 75  # in hundredths
@@ -29,8 +30,11 @@ POSITIONS = 64
 TREES = 12
 #: Positions that a node picks on average: 1 / 0.6, more than 1 / 0.75, so that a similar pair survives each level.
 SECOND = 0.667
-LEVELS = 3
+LEVELS = 4
 NODE = 32  # documents that a node compares exhaustively
+#: Share of a large node's documents that resemble its first one, from which on the node is finished exactly and not branched.
+COHERENT = 0.875
+SALTS = 16
 #: Equal tokens that a candidate needs: of 64, a pair of similarity 0.75 has 34 or more with probability over 0.9999.
 MATCHES = 34
 
@@ -102,17 +106,6 @@ def _picks(node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, second, ((x >> np.uint64(32)) % np.uint64(1000) < np.uint64(round(1000 * SECOND))) & (first != second)
 
 
-def _leaves(t: np.ndarray, levels: int) -> np.ndarray:
-    """The nodes of the last level that documents are in if all nodes above branch: a column for each way down, 0 where there is
-    none. Two documents are in one node if and only if they have it in the same column."""
-    nodes, every = _root_nodes(t), np.arange(len(t))[:, None]
-    for _ in range(levels - 1):
-        first, second, two = _picks(nodes)
-        a, b = (_child(nodes, p, t[every, p]) for p in (first, second))
-        nodes = np.concatenate([np.where(nodes == 0, 0, a), np.where((nodes != 0) & two, b, 0)], 1).astype(np.uint64)
-    return nodes
-
-
 def roots(tokens: DataFrame) -> DataFrame:
     """(node, id): the children of each tree's root that a document is in."""
 
@@ -124,20 +117,26 @@ def roots(tokens: DataFrame) -> DataFrame:
     return tokens.select("id", "sketch").mapInArrow(run, "node long, id long")
 
 
-def branches(rows: DataFrame) -> DataFrame:
-    """(node, id): from (node, id, sketch) to the children, by one or two positions that the node picks."""
+def branches(large: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(node, id, pivot, like, children) of (node, id, pivot): whether a document has MATCHES tokens of the node's first one, and
+    the one or two children that it goes on to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0).to_numpy().view(np.uint64)
-            ids, t = batch.column(1).to_numpy(), _tokens(batch.column(2))
+            node, t, first_ = batch.column(0).to_numpy().view(np.uint64), _tokens(batch.column(3)), _tokens(batch.column(4))
             first, second, two = _picks(node)
-            every = np.arange(len(ids))
-            for position, ok in ((first, np.ones(len(ids), bool)), (second, two)):
-                child = _child(node[ok], position[ok], t[every[ok], position[ok]])
-                yield pa.RecordBatch.from_arrays([_ids(child), _ids(ids[ok])], ["node", "id"])
+            every = np.arange(len(node))
+            both = np.stack([_child(node, p, t[every, p]) for p in (first, second)], 1)
+            taken = np.stack([np.ones(len(node), bool), two], 1)
+            at = np.concatenate(([0], np.cumsum(taken.sum(1))))
+            children = pa.ListArray.from_arrays(pa.array(at, pa.int32()), _ids(both[taken]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((t == first_).sum(1) >= MATCHES), children], ["node", "id", "pivot", "like", "children"])
 
-    return rows.select("node", "id", "sketch").mapInArrow(run, "node long, id long")
+    # A third of all documents can have one first document: its sketch is repeated for SALTS parts of them.
+    firsts = tokens.join(large.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("sketch").alias("first"))
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = large.select("node", "id", "pivot").join(tokens, "id").withColumn("salt", F.pmod(F.xxhash64("id", "node"), F.lit(SALTS)).cast("int")).join(firsts, ["pivot", "salt"])
+    return rows.select("node", "id", "pivot", "sketch", "first").mapInArrow(run, "node long, id long, pivot long, like boolean, children array<long>")
 
 
 def node_pairs(rows: DataFrame) -> DataFrame:
@@ -164,7 +163,7 @@ def node_pairs(rows: DataFrame) -> DataFrame:
                     break
                 for i in range(0, len(at), 65536):
                     u, v = at[i : i + 65536], at[i : i + 65536] + k
-                    good = (t[u] == t[v]).sum(1) >= MATCHES
+                    good = ((t[u] == t[v]).sum(1) >= MATCHES) & (ids[u] != ids[v])
                     if good.any():
                         a, b = ids[u[good]], ids[v[good]]
                         yield pa.RecordBatch.from_arrays([_ids(np.minimum(a, b)), _ids(np.maximum(a, b))], ["a", "b"])
@@ -177,37 +176,29 @@ def _then_none(batches: Iterator) -> Iterator:
     yield None
 
 
-def similar(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those with MATCHES equal tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = (_tokens(batch.column(2)) == _tokens(batch.column(3))).sum(1) >= MATCHES
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
-
-    of = lambda c: tokens.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
 def candidates(tokens: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs (a, b) of documents with different sets, and (node, id) of what is left in large nodes at the last level."""
-    frontier, found, stars, rest = roots(tokens), [], [], None
+    """Candidate pairs (a, b) of documents with different sets, and (node, id) of the large nodes that are left to be finished."""
+    frontier, few, stars, rest = roots(tokens), [], [], []
     for level in range(LEVELS):
-        frontier = stored(frontier)
-        size = stored(frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).filter("n > 1"))
+        size = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).filter("n > 1")
         rows = stored(frontier.join(size, "node"))
-        small, large = rows.filter(f"n <= {NODE}"), rows.filter(f"n > {NODE}")
-        found.append(stored(node_pairs(small.join(tokens, "id")).distinct()))
+        few.append(rows.filter(f"n <= {NODE}").select("node", "id"))
+        large = rows.filter(f"n > {NODE}")
         if large.isEmpty():
             break
-        stars.append(large.filter("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-        if level == LEVELS - 1:
-            rest = large.select("node", "id")
+        met = stored(branches(large, tokens))
+        stars.append(met.filter("like and id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        alike = met.groupBy("node").agg(F.avg(F.col("like").cast("int")).alias("share"))
+        if level < LEVELS - 1:
+            mixed = alike.filter(f"share < {COHERENT}").select("node")
+            rest.append(met.join(alike.filter(f"share >= {COHERENT}").select("node"), "node").select("node", "id"))
+            if mixed.isEmpty():
+                break
+            frontier = met.join(mixed, "node").select(F.explode("children").alias("node"), "id")
         else:
-            frontier = branches(large.join(tokens, "id"))
-    if stars:  # documents of nested nodes meet the same first documents again and again
-        found.append(similar(stored(_all(stars).distinct()), tokens))
-    return stored(_all(found).distinct()), rest
+            rest.append(met.select("node", "id"))
+    pairs = node_pairs(_all(few).join(tokens, "id"))
+    return stored(_all([pairs, *stars]).distinct(), even=True), _all(rest) if rest else None
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -234,7 +225,7 @@ def overlaps(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
                     out.append((len(held), len(theirs[k - i]), common(held, theirs[k - i])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), (), ())))], ["a", "b", "na", "nb", "both"])
 
-    ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), even=True)
     texts = by_ids(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), ids, "id", "left_semi")
     of = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, na long, nb long, both long")
@@ -245,22 +236,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     return overlaps(pairs, docs, id_col, text_col).filter(f"100 * both >= {SIMILARITY} * (na + nb - both)").select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(id, root): every id of ``links`` (a, b) that is not the smallest of its connected component, with that smallest.
 
-    Alternates large-star and small-star steps until nothing changes; the number of rounds goes with the logarithm of the size."""
-    stars, before = stored(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct()), None
+    ``known`` is the result for earlier links, which count too. A round is a large-star and a small-star step; the number of rounds
+    goes with the logarithm of the size. The rounds end when every id has one root and no root has another."""
+    stars = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v")
+    if known is not None:
+        stars = stars.unionByName(known.select(F.col("id").alias("v"), F.col("root").alias("u")))
     while True:
-        state = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-        if state == before or not state[0]:
-            return stars.select(F.col("v").alias("id"), F.col("u").alias("root"))
-        before = state
+        sent = F.broadcast if small(stars) else lambda d: d
         both = stars.unionByName(stars.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = stored(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")))
-        large = stored(both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct())
-        least = stored(large.groupBy("v").agg(F.min("u").alias("m")))
-        moved = large.join(least, "v").filter("u > m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        stars = stored(least.select("v", F.col("m").alias("u")).unionByName(moved).distinct())
+        least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
+        large = both.join(sent(least), "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        moved = large.join(sent(least), "v").filter("u > m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        stars = stored(least.select("v", F.col("m").alias("u")).unionByName(moved).distinct(), even=True)
+        ends = stars.select(F.col("v").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(stars.select(F.col("u").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        if ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 or below = 1 and above = 1").isEmpty():
+            return stars.select(F.col("v").alias("id"), F.col("u").alias("root"))
 
 
 def _across(pairs: DataFrame, roots_: DataFrame) -> DataFrame:
@@ -271,11 +265,10 @@ def _across(pairs: DataFrame, roots_: DataFrame) -> DataFrame:
 
 
 def _mixed(rest: DataFrame, roots_: DataFrame) -> DataFrame:
-    """(node, id, root, main) of the nodes that hold more than one component; main is the largest of a node."""
-    held = stored(rest.join(roots_, "id", "left").select("node", "id", F.coalesce("root", "id").alias("root")))
-    share = held.groupBy("node", "root").count()
-    most = share.groupBy("node").agg(F.max(F.struct("count", "root")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return stored(held.join(stored(most.select("node", F.col("m.root").alias("main"))), "node"))
+    """(node, id, root) of the nodes that hold more than one component."""
+    held = rest.join(roots_, "id", "left").select("node", "id", F.coalesce("root", "id").alias("root"))
+    several = held.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    return stored(held.join(several.select("node"), "node"))
 
 
 def _shared(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -296,75 +289,78 @@ def _shared(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Data
 
 
 #: Rows of a block of a large node, about.
-BLOCK = 256
+BLOCK = 1024
 
 
 def _block_pairs(known: DataFrame) -> DataFrame:
-    """(a, b): from (node, id, root, main, n, p, r, sketch), the documents outside the largest component of their node with those of
-    other components, as far as the bound and MATCHES equal tokens leave them. Works on pairs of blocks of a node, so that only what
-    is left becomes rows; blocks are dealt by a hash of the id."""
-
-    levels = LEVELS
-
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        size = stored(rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")))
-        dealt = rows.join(size, "node").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-        return dealt.groupBy("node", "part").agg(F.collect_list(F.struct("id", "root", "n", "p", "r", "sketch")).alias(name)).select("node", name)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sides = batch.column(0).to_numpy().view(np.uint64), []
-            for c in batch.columns[1:]:
-                flat = c.flatten()
-                numbers = [flat.field(f).to_numpy() for f in ("id", "root", "n", "p", "r")]
-                sides.append((c.offsets.to_numpy() - c.offsets[0].as_py(), numbers, _tokens(flat.field("sketch"))))
-            (ao, an, at), (bo, bn, bt) = sides
-            for k in range(batch.num_rows):
-                x, y = slice(ao[k], ao[k + 1]), slice(bo[k], bo[k + 1])
-                (i, root, n, p, r), (j, root2, n2, p2, r2) = ([v[x, None] for v in an], [v[None, y] for v in bn])
-                most = np.minimum(p, p2) + np.maximum(0, np.minimum(r, r2))
-                u, v = np.nonzero((root != root2) & (100 * most >= SIMILARITY * (n + n2 - most)))
-                left, right, mine = _leaves(at[x], levels), _leaves(bt[y], levels), []
-                for m in range(0, len(u), 16384):
-                    f, g = u[m : m + 16384], v[m : m + 16384]
-                    good = (at[x][f] == bt[y][g]).sum(1) >= MATCHES
-                    f, g = f[good], g[good]
-                    first = ((left[f] == right[g]) & (left[f] != 0)).argmax(1)  # a pair counts in the first node of the two only
-                    here = left[f, first] == nodes[k]
-                    mine.append((f[here], g[here]))
-                f, g = (np.concatenate([z[w] for z in mine]) if mine else np.zeros(0, np.int64) for w in (0, 1))
-                a, b = i[f, 0], j[0, g]
-                yield pa.RecordBatch.from_arrays([_ids(np.minimum(a, b)), _ids(np.maximum(a, b))], ["a", "b"])
-
-    pairs = stored(blocks(known.filter("root <> main"), "o")).join(stored(blocks(known, "e")), "node")
-    return pairs.select("node", "o", "e").repartition(max(1, known.sparkSession.sparkContext.defaultParallelism * 4)).mapInArrow(run, "a long, b long")
-
-
-def _finish(rest: DataFrame, links: DataFrame, roots_: DataFrame, sizes: DataFrame, tokens: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Components after large nodes of the last level are finished.
+    """(a, b): from (node, id, root, main, n, p, r, sketch, nodes), the documents outside the main component of their node with those
+    of other components, as far as the bound and MATCHES equal tokens leave them. Two documents that meet in several nodes (``nodes``
+    lists those of a document) are a pair in the first of them only.
+
+    Both sides are cut into blocks by a hash of the id, and every pair of blocks is a group of its own: groups are of bounded size,
+    and a large node is spread over many tasks."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = []
+        for side, none in ((left, 0), (right, 1)):
+            t = np.frombuffer(b"".join(side["sketch"].to_pylist()), np.uint32).reshape(-1, POSITIONS)
+            lists = side["nodes"].to_pylist()
+            nodes = np.full((len(lists), max(map(len, lists), default=0)), none, np.int64)
+            for k, its in enumerate(lists):
+                nodes[k, : len(its)] = its
+            sides.append(([side[f].to_numpy() for f in ("id", "root", "n", "p", "r")], t, nodes))
+        (x, s, of_x), (y, t, of_y) = sides
+        (i, root, n, p, r), (j, root2, n2, p2, r2) = ([v[:, None] for v in x], [v[None, :] for v in y])
+        most = np.minimum(p, p2) + np.maximum(0, np.minimum(r, r2))
+        u, v = np.nonzero((root != root2) & (100 * most >= SIMILARITY * (n + n2 - most)))
+        good = np.concatenate([np.zeros(0, bool), *((s[u[m : m + 16384]] == t[v[m : m + 16384]]).sum(1) >= MATCHES for m in range(0, len(u), 16384))])
+        u, v = u[good], v[good]
+        here, open_ = np.zeros(len(u), bool), np.arange(len(u))
+        for k in range(of_x.shape[1] if len(u) else 0):  # nodes are sorted: the first that both have decides
+            mine = of_x[u[open_], k]
+            met = (mine[:, None] == of_y[v[open_]]).any(1)
+            here[open_[met]] = mine[met] == left["node"][0].as_py()
+            open_ = open_[~met]
+        a, b = i[u[here], 0], j[0, v[here]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema({"a": pa.int64(), "b": pa.int64()}))
+
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    size = known.groupBy("node").agg(blocks(F.count(F.lit(1))).alias("many"), blocks(F.count_if(F.col("root") != F.col("main"))).alias("few")).filter("few > 0")
+    dealt = known.join(size, "node")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = lambda: [F.col(c).alias(c) for c in ("node", "id", "root", "n", "p", "r", "sketch", "nodes")]
+    outside = dealt.filter("root <> main").select(own("few").alias("k"), every("many").alias("l"), *columns())
+    whole = dealt.select(every("few").alias("k"), own("many").alias("l"), *columns())
+    return outside.groupBy("node", "k", "l").cogroup(whole.groupBy("node", "k", "l")).applyInArrow(run, "a long, b long")
+
+
+def _finish(rest: DataFrame, roots_: DataFrame, sizes: DataFrame, tokens: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Components after the large nodes that are left are finished.
 
     A node's pivot is the document with the fewest shingles that no other document of these nodes has. Two documents share at most
     the lesser of what each shares with the pivot, and of what each has beside it that is not its own alone. This bound leaves few
-    pairs of the documents outside a node's largest component with those of other components; they are compared."""
+    pairs of the documents outside the pivot's component with those of other components; they are compared."""
     held = _mixed(rest, roots_)
     if held.isEmpty():
         return roots_
-    ids = stored(held.select("id").distinct())
-    alone = stored(_shared(ids, docs, id_col, text_col).join(sizes, "id").select("id", "n", "alone"))
-    pivot = held.join(alone, "id").groupBy("node").agg(F.min(F.struct("alone", "id")).alias("p")).select("node", F.col("p.id").alias("pivot"))
-    pivot = stored(pivot)
-    rows = stored(held.select("node", "id").join(pivot, "node"))
+    ids = stored(held.select("id").distinct(), even=True)
+    nodes = held.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("nodes"))  # as many as there are ways down, at most
+    alone = _shared(ids, docs, id_col, text_col).join(sizes, "id").join(nodes, "id").select("id", "n", "alone", "nodes")
+    rows = held.join(stored(alone, even=True), "id")
+    pivot = rows.groupBy("node").agg(F.min(F.struct("alone", "id", "root")).alias("p")).select("node", F.col("p.id").alias("pivot"), F.col("p.root").alias("main"))
+    rows = stored(rows.join(pivot, "node"))
     tried = stored(overlaps(rows.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), docs, id_col, text_col))
-    links = stored(links.unionByName(tried.filter(f"100 * both >= {SIMILARITY} * (na + nb - both)").select("a", "b")))
-    roots_ = components(links)
-    held = _mixed(rest, roots_)
-    both = tried.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "both")
-    known = stored(held.join(pivot, "node").join(both, ["pivot", "id"], "left").join(alone, "id").selectExpr("node", "id", "root", "main", "n", "coalesce(both, n) as p", "n - alone - coalesce(both, n) as r"))
-    left = stored(_block_pairs(known.join(tokens, "id")).distinct())
-    left = stored(left.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if left.isEmpty():
-        return roots_
-    return components(stored(links.unionByName(confirmed(left, docs, id_col, text_col))))
+    links = tried.filter(f"100 * both >= {SIMILARITY} * (na + nb - both)").select("a", "b")
+    # What a link with the pivot joins belongs to the pivot's component now.
+    both = tried.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "both", F.expr(f"100 * both >= {SIMILARITY} * (na + nb - both)").alias("linked"))
+    met = rows.join(both, ["pivot", "id"], "left")
+    joined = met.groupBy("node", "root").agg(F.max(F.coalesce("linked", F.lit(False))).alias("joined")).filter("joined")
+    known = met.join(joined, ["node", "root"], "left").join(tokens, "id")
+    known = stored(known.selectExpr("node", "id", "if(joined, main, root) as root", "main", "n", "coalesce(both, n) as p", "n - alone - coalesce(both, n) as r", "sketch", "nodes"))
+    left = _block_pairs(known).distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    left = stored(left)
+    return components(links if left.isEmpty() else links.unionByName(stored(confirmed(left, docs, id_col, text_col))), roots_)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,28 +372,28 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
     every = stored(sketches(docs, id_col, text_col))
     sets = every.filter("id is not null and digest is not null")
-    several = stored(sets.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "rep"))
-    copies = stored(sets.select("id", "digest").join(several, "digest").filter("id > rep").select("id", "rep").distinct())
-    named = stored(copies.select("id").distinct())
-    tokens = by_ids(sets.select("id", "sketch"), named, "id", "left_anti")
-    tokens = stored(tokens.groupBy("id").agg(F.min("sketch").alias("sketch")) if sets.select("id").distinct().count() < sets.count() else tokens)
+    # Equal sets have equal sketches: a class is named by its smallest id.
+    classes = stored(sets.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("sketch").alias("sketch")), even=True)
+    tokens = classes.select(F.col("rep").alias("id"), "sketch")
+    copies = sets.select("id", "digest").join(classes.filter("n > 1").select("digest", "rep"), "digest").select("id", "rep")
     pairs, rest = candidates(tokens)
-    # First one pair for each document, to its smallest and its largest candidate; then only pairs that still join components.
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(pairs.groupBy("a").agg(F.max("b").alias("b")).select("a", "b")).distinct()
-    links = stored(confirmed(stored(first), docs, id_col, text_col))
-    tried = stored(first)
-    roots_ = components(links)
-    left = stored(_across(pairs.join(tried, ["a", "b"], "left_anti"), roots_))
-    if not left.isEmpty():
-        links = stored(links.unionByName(confirmed(left, docs, id_col, text_col)))
-        roots_ = components(links)
+    # First one pair for each document, to its smallest and its largest candidate; then only pairs that could still join components.
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(pairs.groupBy("a").agg(F.max("b").alias("b")).select("a", "b"))
+    first = stored(first.distinct(), even=True)
+    links = confirmed(first, docs, id_col, text_col)
+    twice = sets.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id")
+    if not twice.isEmpty():  # an id that stands in several classes joins them
+        named = sets.join(twice, "id").select("id", "digest").join(classes, "digest")
+        links = links.unionByName(named.select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    links = stored(links)
+    left = stored(_across(pairs.join(first, ["a", "b"], "left_anti"), links.filter("a < b").groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "id")))
+    roots_ = components(links if left.isEmpty() else links.unionByName(stored(confirmed(left, docs, id_col, text_col))))
     if rest is not None:
-        roots_ = _finish(rest, links, roots_, sets.groupBy("id").agg(F.max("n_shingles").alias("n")), tokens, docs, id_col, text_col)
-    of_copies = copies.join(roots_.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
-    # An id that stands in two classes (a repeated id) goes with the smallest.
-    labels = stored(of_copies.unionByName(roots_).groupBy("id").agg(F.min("root").alias("root")))
-    out = every.select("id", "n_shingles").join(labels, "id", "left")
+        roots_ = _finish(rest, roots_, sets.groupBy("id").agg(F.max("n_shingles").alias("n")), tokens, docs, id_col, text_col)
+    of_copies = copies.filter("id > rep").join(roots_.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
+    labels = of_copies.unionByName(roots_).groupBy("id").agg(F.min("root").alias("root"))
     component = F.coalesce("root", "id")
+    out = every.select("id", "n_shingles").join(labels, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 

@@ -110,10 +110,12 @@ def family():
     return texts
 
 
-@pytest.mark.parametrize("node, levels", [(32, 3), (4, 1), (3, 2)])
-def test_large_groups(spark, table, family, monkeypatch, node, levels):
+@pytest.mark.parametrize("node, levels, block", [(32, 4, 1024), (4, 1, 16), (3, 2, 1024)])
+def test_large_groups(spark, table, family, monkeypatch, node, levels, block):
+    """All links of large nodes: with a few levels, most are left to be finished, in one or in many blocks."""
     monkeypatch.setattr(near_dedup, "NODE", node)
     monkeypatch.setattr(near_dedup, "LEVELS", levels)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     docs = table(family)
     check(docs, docs.collect())
 
@@ -123,6 +125,10 @@ def test_chains(spark):
     got = {r.id: r.root for r in near_dedup.components(links).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100: 90, 95: 90}
     assert near_dedup.components(links.limit(0)).count() == 0
+    known = near_dedup.components(links)
+    more = spark.createDataFrame([(95, 40), (200, 201)], "a long, b long")
+    got = {r.id: r.root for r in near_dedup.components(more, known).collect()}
+    assert got == {i: 0 for i in (*range(1, 41), 90, 95, 100)} | {201: 200}
 
 
 def test_unique_near(spark, table):
