@@ -4,6 +4,9 @@ The rows of a source are dealt, in an order that a digest of their id fixes, int
 of M slots may start no earlier than slot floor(k * M / m) and must be over by slot ceil((k + 1) * M / m). Earliest deadline
 first over released blocks meets every deadline, so at any time each source is less than one block away from its target. The
 windows repeat after M slots, so the schedule of M slots is made once, in one small row, and every block looks its slot up.
+
+Targets are whole numbers of UNITS slots: weights that are multiples of 1 / UNITS of their sum are met exactly, others to the nearest
+such multiple. A positive weight has one slot at least. A source of weight 0 has no slot among the others: it comes after them.
 """
 
 from __future__ import annotations
@@ -15,18 +18,19 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenflow.llm.common import stored, table
+from lumenflow.llm.common import small, stored, table
 
-#: Slots that are dealt out by weight before the schedule repeats (each source has one at least).
-UNITS = 256
+#: Slots that are dealt out by weight before the schedule repeats: the resolution of targets.
+UNITS = 4096
 BLOCK_ROWS = 16
 #: Rows of a source that are ordered together, about.
 RUN_ROWS = 256
 
 
-def shares(counts: DataFrame, weights: dict[str, float] | None = None, units: int = UNITS) -> DataFrame:
-    """(source, n, m, cycle): m of cycle slots are the source's. Without weights, targets go with the square root of a source's rows,
-    which lifts small sources against large ones. A source that ``weights`` does not name has weight 0, and so one slot."""
+def shares(counts: DataFrame, weights: dict[str, float] | None = None, units: int = UNITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(source, n, m, cycle, after): m of cycle slots are the source's; the slots from ``after`` on are free for it once the others
+    have ended. Without weights, targets go with the square root of a source's rows, which lifts small sources against large ones.
+    A source that ``weights`` does not name has weight 0."""
     if weights is None:
         w = F.floor(1000 * F.sqrt("n"))
     else:
@@ -34,13 +38,17 @@ def shares(counts: DataFrame, weights: dict[str, float] | None = None, units: in
         w = F.coalesce(F.create_map(*pairs)[F.col("source")], F.lit(0)) if pairs else F.lit(1)
     out = counts.withColumn("w", w.cast("long"))
     total = F.greatest(F.lit(1), F.coalesce(F.sum("w"), F.lit(0))).alias("total")
-    out = out.crossJoin(out.agg(total)).withColumn("m", F.expr(f"greatest(1, ({units} * w + total div 2) div total)"))  # one row
-    return out.crossJoin(out.agg(F.sum("m").alias("cycle"))).select("source", "n", "m", "cycle")
+    out = out.crossJoin(out.agg(total)).withColumn("m", F.expr(f"if(w > 0, greatest(1, ({units} * w + total div 2) div total), 0)"))  # one row
+    out = out.withColumn("blocks", F.expr(f"(n + {block_rows - 1}) div {block_rows}"))
+    whole = out.agg(F.sum("m").alias("cycle"), F.coalesce(F.max(F.expr("if(m > 0, (blocks + m - 1) div m, 0)")), F.lit(0)).alias("cycles"))  # one row
+    before = Window.partitionBy("m").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)  # a row for each source
+    after = F.expr("cycles * cycle") + F.when(F.col("m") == 0, F.coalesce(F.sum("blocks").over(before), F.lit(0))).otherwise(0)
+    return out.crossJoin(whole).select("source", "n", "m", "cycle", after.alias("after"))
 
 
 def pattern(share: DataFrame) -> DataFrame:
     """(source, k, at): the slot of each source's k-th block in a cycle, by earliest deadline first; equal deadlines go by name."""
-    one = share.groupBy("cycle").agg(F.array_sort(F.collect_list(F.struct("source", "m"))).alias("s"))
+    one = share.filter("m > 0").groupBy("cycle").agg(F.array_sort(F.collect_list(F.struct("source", "m"))).alias("s"))
     picks = """
         aggregate(sequence(0, int(cycle) - 1), named_struct('done', transform(s, x -> 0L), 'picks', cast(array() as array<int>)),
           (acc, t) -> transform(array(array_min(filter(transform(s, (x, i) -> if(acc.done[i] < x.m and (acc.done[i] * cycle) div x.m <= t,
@@ -55,8 +63,10 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
     """One row per row of ``docs``: (row struct with all columns, source, block_no, block_pos, slot, release, deadline).
 
     Sorted by (slot, block_pos) the rows are mixed. A null source counts as the empty name; a null id is ordered as empty text;
-    repeated rows each have a place. When a source is used up its slots stay empty and the others go on. An empty table gives an
-    empty result. Nothing is dropped. Columns of ``docs`` may have any names: they travel in ``row``."""
+    repeated rows each have a place, and rows that repeat an id are told apart by their other columns. When a source is used up its
+    slots stay empty and the others go on; blocks of weight 0 follow in order of source, released when they come and without a
+    deadline. An empty table gives an empty result. Nothing is dropped. Columns of ``docs`` may have any names: they travel in
+    ``row``."""
     rows = docs.select(F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source"), F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary")).alias("h"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     keys = docs.select(F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source"), F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary")).alias("h"))
     # Runs of a source's order: by the first digits of the digest, four where the table is large.
@@ -67,15 +77,19 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
     run = F.substring("b", 1, digits)
     before = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = fine.groupBy("source", run.alias("b")).agg(F.sum("count").alias("c")).select("source", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"))
-    # Bounded by the number of sources and by units: a row for each source, M rows of the pattern.
-    share = stored(shares(counts, weights, units))
+    # A row for each source, and M rows of the pattern.
+    share = stored(shares(counts, weights, units, block_rows))
     slots = stored(pattern(share))
-    within = Window.partitionBy("source", "b").orderBy("h")
+    sent = F.broadcast if small(share) else lambda d: d
+    told = F.xxhash64(*[F.col("row")[c].cast("string") for c in docs.columns])
+    within = Window.partitionBy("source", "b").orderBy("h", told)
     placed = rows.withColumn("b", F.substring("h", 1, digits)).withColumn("r", F.row_number().over(within) - 1)
-    blocks = placed.join(stored(offsets).hint("merge"), ["source", "b"]).join(F.broadcast(share), "source").withColumn("pos", F.col("first") + F.col("r"))
+    blocks = placed.join(stored(offsets).hint("merge"), ["source", "b"]).join(sent(share), "source").withColumn("pos", F.col("first") + F.col("r"))
     blocks = blocks.withColumn("block_no", F.expr(f"pos div {block_rows}")).withColumn("block_pos", F.expr(f"pos % {block_rows}"))
-    out = blocks.withColumn("k", F.expr("int(block_no % m)")).join(F.broadcast(slots), ["source", "k"])
-    return out.select("row", "source", "block_no", "block_pos", F.expr("(block_no div m) * cycle + at").alias("slot"), F.expr("(block_no * cycle) div m").alias("release"), F.expr("((block_no + 1) * cycle + m - 1) div m").alias("deadline"))
+    out = blocks.withColumn("k", F.expr("if(m > 0, int(block_no % m), null)")).join(sent(slots), ["source", "k"], "left")
+    slot = F.expr("if(m > 0, (block_no div m) * cycle + at, after + block_no)").alias("slot")
+    release = F.expr("if(m > 0, (block_no * cycle) div m, after + block_no)").alias("release")
+    return out.select("row", "source", "block_no", "block_pos", slot, release, F.expr("if(m > 0, ((block_no + 1) * cycle + m - 1) div m, null)").alias("deadline"))
 
 
 def mixed(docs: DataFrame, slots_per_run: int = 64, **options) -> DataFrame:

@@ -22,19 +22,41 @@ def plain_pattern(units):
 def test_windows_and_deviation(spark, table, weights):
     docs = table([f"text {i}" for i in range(700)])
     rows = mixing.schedule(docs, weights, block_rows=4, units=50).collect()
-    assert sorted(r.row.doc_id for r in rows) == list(range(700)) and all(r.release <= r.slot < r.deadline for r in rows)
+    assert sorted(r.row.doc_id for r in rows) == list(range(700)) and all(r.release <= r.slot and (r.deadline is None or r.slot < r.deadline) for r in rows)
     blocks = {(r.source, r.block_no): r.slot for r in rows}
     assert len(set(blocks.values())) == len(blocks)
     units = {s: v for s, v in ((r.source, r.m) for r in mixing.shares(docs.groupBy("source").count().withColumnRenamed("count", "n"), weights, 50).collect())}
+    assert {s for s, m in units.items() if not m} == ({"s1", "s2"} if weights == {"s0": 1.0} else set())
     cycle, by = sum(units.values()), defaultdict(list)
+    last = [slot for (s, _), slot in sorted(blocks.items()) if not units[s]]  # sources of weight 0 follow the others, one by one
+    assert last == sorted(last) and not any(slot > last[0] for (s, _), slot in blocks.items() if units[s] and last)
+    assert {r.source for r in rows if r.deadline is None} == {s for s, m in units.items() if not m}
     for (s, k), slot in blocks.items():
-        by[s].append(slot)
+        if units[s]:
+            by[s].append(slot)
     end = min((max(v) for v in by.values()))
     for s, slots in by.items():
         for t in range(end + 1):
             assert abs(sum(x < t for x in slots) - t * units[s] / cycle) < 1
-    want = plain_pattern(units)
-    assert all(want[slot % cycle] == s for (s, _), slot in blocks.items())
+    want = plain_pattern({s: m for s, m in units.items() if m})
+    assert all(want[slot % cycle] == s for (s, _), slot in blocks.items() if units[s])
+
+
+def test_small_weights(spark):
+    """Weights that are multiples of 1 / UNITS of their sum are met exactly."""
+    counts = spark.createDataFrame([(s, 10**9) for s in "abc"], "source string, n long")
+    got = {r.source: (r.m, r.cycle) for r in mixing.shares(counts, {"a": 4091 / 4096, "b": 4 / 4096, "c": 1 / 4096}).collect()}
+    assert got == {"a": (4091, 4096), "b": (4, 4096), "c": (1, 4096)}
+
+
+def test_ties(spark):
+    """Rows that repeat an id have an order of their own, whatever the partitioning."""
+    rows = [(i % 3, "s", f"t{i}") for i in range(60)]
+    orders = []
+    for n in (1, 7):
+        docs = spark.createDataFrame(rows[:: 1 if n == 1 else -1], "doc_id long, source string, text string").repartition(n)
+        orders.append(sorted((r.slot, r.block_pos, r.row.text) for r in mixing.schedule(docs).collect()))
+    assert orders[0] == orders[1]
 
 
 def test_mixed_and_edges(spark, edges, none):
