@@ -36,36 +36,38 @@ def magnitudes(spark, d):
 MAGNITUDES = f"""WITH {T.SAMPLES}, v AS (SELECT block, part, x, s - coalesce(lag(s) OVER (PARTITION BY block ORDER BY part, x), 0) AS v FROM samples), c AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE length(bin(abs(v))) END AS size FROM v)
 SELECT block, part, x, CAST(size AS INT) AS size, CAST(CASE WHEN v >= 0 THEN v ELSE v + (1 << size) - 1 END AS BIGINT) AS bits, CAST(v AS BIGINT) AS back FROM c"""
 
-#: Payload bytes that are mostly small: hexadecimal digits become bytes 0 to 3.
-DIGITS = "translate(md5(text) || md5(text || 'x'), '0123456789abcdef', '0000000111122233')"
+#: The hexadecimal digits of whole texts become bytes 0 to 3, so that many places need an escape.
+DIGITS = "translate(regexp_replace(lower(coalesce(text, '')), '[^0-9a-f]', ''{}), '0123456789abcdef', '0000000111122233')"
 
 
 def emulation(spark, d):
     """Escaped payloads, what was added, and whether they read back the same."""
-    t = T.read(spark, d, "documents").select("doc_id", F.expr(DIGITS).alias("s"))
+    t = T.read(spark, d, "documents").select("doc_id", F.expr(DIGITS.format("")).alias("s"))
     payload = B.raw(F.replace(F.translate("s", "123", "\x01\x02\x03"), F.lit("0"), F.lit("\x00")))
     t = t.select("doc_id", payload.alias("p")).withColumn("e", B.escape(C("p")))
     shown = F.translate(F.replace(B.text(C("e")), F.lit("\x00"), F.lit("0")), "\x01\x02\x03", "123")
     return t.select("doc_id", shown.alias("escaped"), B.escaped_bytes(C("e")).cast("long").alias("added"), (B.unescape(C("e")) == C("p")).alias("same"))
 
 
-EMULATION = f"""WITH t AS (SELECT doc_id, {DIGITS} AS s FROM documents), e AS (SELECT doc_id, s, list_reduce(string_split(s, ''), lambda acc, c: acc || CASE WHEN right(acc, 2) = '00' THEN '3' ELSE '' END || c) AS e FROM t)
+EMULATION = f"""WITH t AS (SELECT doc_id, {DIGITS.format(", 'g'")} AS s FROM documents), r AS (SELECT doc_id, s, regexp_replace(s, '00', '003', 'g') AS e FROM t),
+e AS (SELECT doc_id, s, CASE WHEN e LIKE '%003' THEN left(e, length(e) - 1) ELSE e END AS e FROM r)
 SELECT doc_id, e AS escaped, CAST(length(e) - length(s) AS BIGINT) AS added, true AS same FROM e"""
 
 
 def stuffing(spark, d):
-    """Stuffed payloads in hexadecimal, and whether they read back the same."""
-    t = T.read(spark, d, "documents").select("doc_id", F.unhex(F.concat(F.md5(C("text").cast("binary")), F.md5(C("source").cast("binary")))).alias("p"))
+    """Whole texts with FF for every letter e, stuffed, in hexadecimal, and whether they read back the same."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "?")
+    t = T.read(spark, d, "documents").select("doc_id", B.raw(F.translate(plain, "e", "\xff")).alias("p"))
     return t.select("doc_id", F.hex(B.stuff(C("p"))).alias("stuffed"), (B.unstuff(B.stuff(C("p"))) == C("p")).alias("same"))
 
 
-STUFFING = """SELECT doc_id, array_to_string(list_transform(range(1, 65, 2), lambda i: CASE WHEN substr(h, i, 2) = 'FF' THEN 'FF00' ELSE substr(h, i, 2) END), '') AS stuffed, true AS same FROM (SELECT doc_id, upper(md5(text) || md5(source)) AS h FROM documents)"""
+STUFFING = """SELECT doc_id, replace(hex(encode(replace(regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g'), 'e', chr(15)))), '0F', 'FF00') AS stuffed, true AS same FROM documents"""
 
 
 def _turns(spark, d):
     t = T.read(spark, d, "conversations")
     idx = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
-    return t.select(C("conv_id").cast("string").alias("path"), idx.alias("idx"), (C("turn") % 4).cast("int").alias("ref_idc"), (1 + C("turn") % 8).cast("int").alias("type_id"), F.unhex(F.md5(C("text").cast("binary"))).alias("rbsp"))
+    return t.select(C("conv_id").cast("string").alias("path"), idx.alias("idx"), (C("turn") % 4).cast("int").alias("ref_idc"), (1 + C("turn") % 8).cast("int").alias("type_id"), F.coalesce(C("text"), F.lit("")).cast("binary").alias("rbsp"))
 
 
 def annexb(spark, d):
@@ -73,21 +75,22 @@ def annexb(spark, d):
     return containers.annexb(sinks.annexb(_turns(spark, d))).select(C("path").cast("long").alias("conv_id"), "idx", C("offset").cast("long").alias("offset"), C("size").cast("int").alias("size"), "ref_idc", "type_id", "name", F.lower(F.hex("rbsp")).alias("rbsp"))
 
 
-ANNEXB = """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS idx, CAST(turn % 4 AS INT) AS ref_idc, CAST(1 + turn % 8 AS INT) AS type_id, md5(text) AS rbsp FROM conversations)
-SELECT conv_id, CAST(idx AS INT) AS idx, CAST(idx * 21 + 4 AS BIGINT) AS "offset", 17 AS size, ref_idc, type_id, ['SLICE', 'DPA', 'DPB', 'DPC', 'IDR', 'SEI', 'SPS', 'PPS'][type_id] AS name, rbsp FROM t"""
+TURNS = "t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS idx, turn, encode(coalesce(text, '')) AS rbsp FROM conversations)"
+ANNEXB = f"""WITH {TURNS} SELECT conv_id, CAST(idx AS INT) AS idx, CAST(coalesce(sum(5 + octet_length(rbsp)) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 4 AS BIGINT) AS "offset",
+CAST(1 + octet_length(rbsp) AS INT) AS size, CAST(turn % 4 AS INT) AS ref_idc, CAST(1 + turn % 8 AS INT) AS type_id, ['SLICE', 'DPA', 'DPB', 'DPC', 'IDR', 'SEI', 'SPS', 'PPS'][1 + turn % 8] AS name, lower(hex(rbsp)) AS rbsp FROM t"""
 
 
 def avi(spark, d):
     """Conversations written as AVI files, a turn a frame, and read again."""
-    t = _turns(spark, d).select("path", C("idx").alias("frame_no"), F.expr("substring(rbsp, 1, 10 + ref_idc)").alias("jpeg"))
+    t = _turns(spark, d).select("path", C("idx").alias("frame_no"), C("rbsp").alias("jpeg"))
     files = sinks.avi(t, 192, 144, 10)
     first = containers.avi_chunks(files)
     base = first.groupBy("path").agg(F.min("offset").alias("base"))
     return first.join(base, "path").select(C("path").cast("long").alias("conv_id"), "frame_no", (C("offset") - C("base")).alias("offset"), "size", F.lower(F.hex("jpeg")).alias("jpeg"))
 
 
-AVI = """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS frame_no, 10 + turn % 4 AS size, md5(text) AS h FROM conversations)
-SELECT conv_id, CAST(frame_no AS INT) AS frame_no, CAST(coalesce(sum(8 + size + size % 2) OVER (PARTITION BY conv_id ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", CAST(size AS BIGINT) AS size, substr(h, 1, CAST(2 * size AS INT)) AS jpeg FROM t"""
+AVI = f"""WITH {TURNS}, s AS (SELECT *, octet_length(rbsp) AS size FROM t)
+SELECT conv_id, CAST(idx AS INT) AS frame_no, CAST(coalesce(sum(8 + size + size % 2) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", CAST(size AS BIGINT) AS size, lower(hex(rbsp)) AS jpeg FROM s"""
 
 
 def h264_numbers(spark, d):

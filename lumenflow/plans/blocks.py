@@ -88,11 +88,11 @@ SELECT id, round(sum(e), 1) AS total, round(sum(e) FILTER (WHERE u = 0 AND v = 0
 def rmse_sweep(spark, d):
     """Root mean square error of quantisation at qualities from 1 to 100. A block gives its squared errors of all qualities as one
     array, so that sums are made before anything is shuffled."""
-    coef = quantized(spark, d).select(F.transform("coef", lambda c: F.round(c, 3)).alias("coef"))
+    coef = quantized(spark, d).select(F.transform("coef", lambda c: F.abs(F.round(c, 3))).alias("coef"))
     scaled = [[max(1, min(255, (s * (5000 // q if q < 50 else 200 - 2 * q) + 50) // 100)) for s in dims.LUMA_STEPS] for q in range(1, 101)]
     steps = F.from_json(F.lit(str(scaled)), "array<array<int>>")  # folded to one constant
-    error = lambda c, s: (F.round(c / s) * s - c) * (F.round(c / s) * s - c)
-    sums = F.transform(steps, lambda its: F.aggregate(F.zip_with("coef", its, error), F.lit(0.0), lambda n, e: n + e))
+    error = lambda c, s: F.floor(c / s + 0.5) * s - c
+    sums = F.transform(steps, lambda its: F.aggregate(F.zip_with("coef", its, error), F.lit(0.0), lambda n, e: n + e * e))
     each = coef.select(F.posexplode_outer(sums).alias("i", "e")).groupBy((C("i") + 1).alias("quality"))
     return each.agg(F.round(F.sqrt(F.sum("e") / (64 * F.count(F.lit(1)))), 5).alias("rmse"))
 
