@@ -48,9 +48,12 @@ def bounded_sample(rows: DataFrame, key: str, bound: int, by: str | None = None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares. Only where spark.checkpoint.dir is unset (tests) is it made here."""
+    """A new folder below the one that the cluster shares. Where spark.checkpoint.dir is unset, it is made here on a single machine
+    (tests); a cluster without it is refused, since its machines would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="lumenflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/lumenflow/{uuid.uuid4().hex}"
