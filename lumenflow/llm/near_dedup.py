@@ -119,24 +119,28 @@ def roots(tokens: DataFrame) -> DataFrame:
 
 def branches(large: DataFrame, tokens: DataFrame) -> DataFrame:
     """(node, id, pivot, like, children) of (node, id, pivot): whether a document has MATCHES tokens of the node's first one, and
-    the one or two children that it goes on to."""
+    the one or two children that it goes on to. A document meets the same first document in many nodes: they are compared once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, t, first_ = batch.column(0).to_numpy().view(np.uint64), _tokens(batch.column(3)), _tokens(batch.column(4))
+            t, first_ = _tokens(batch.column(3)), _tokens(batch.column(4))
+            lists = batch.column(2)
+            of = np.repeat(np.arange(len(t)), np.diff(lists.offsets.to_numpy()))
+            node = lists.flatten().to_numpy().view(np.uint64)
             first, second, two = _picks(node)
-            every = np.arange(len(node))
-            both = np.stack([_child(node, p, t[every, p]) for p in (first, second)], 1)
+            both = np.stack([_child(node, p, t[of, p]) for p in (first, second)], 1)
             taken = np.stack([np.ones(len(node), bool), two], 1)
             at = np.concatenate(([0], np.cumsum(taken.sum(1))))
             children = pa.ListArray.from_arrays(pa.array(at, pa.int32()), _ids(both[taken]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((t == first_).sum(1) >= MATCHES), children], ["node", "id", "pivot", "like", "children"])
+            ids, pivots = (c.take(pa.array(of)) for c in batch.columns[:2])
+            yield pa.RecordBatch.from_arrays([_ids(node), ids, pivots, pa.array(((t == first_).sum(1) >= MATCHES)[of]), children], ["node", "id", "pivot", "like", "children"])
 
     # A third of all documents can have one first document: its sketch is repeated for SALTS parts of them.
     firsts = tokens.join(large.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("sketch").alias("first"))
     firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = large.select("node", "id", "pivot").join(tokens, "id").withColumn("salt", F.pmod(F.xxhash64("id", "node"), F.lit(SALTS)).cast("int")).join(firsts, ["pivot", "salt"])
-    return rows.select("node", "id", "pivot", "sketch", "first").mapInArrow(run, "node long, id long, pivot long, like boolean, children array<long>")
+    met = large.repartition("id").groupBy("id", "pivot").agg(F.collect_list("node").alias("nodes"))  # as many as there are ways down, at most
+    rows = met.join(tokens, "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(firsts, ["pivot", "salt"])
+    return rows.select("id", "pivot", "nodes", "sketch", "first").mapInArrow(run, "node long, id long, pivot long, like boolean, children array<long>")
 
 
 def node_pairs(rows: DataFrame) -> DataFrame:
