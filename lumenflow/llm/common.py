@@ -66,7 +66,7 @@ BATCH_ROWS = 1000
 def stored(df: DataFrame, even: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, and survives lost executors.
 
-    ``even`` says that an aggregation has spread the rows: they are written as no more than four files for each core."""
+    ``even`` says that a shuffle has spread the rows: they are written as no more than four files for each core."""
     spark = df.sparkSession
     if even:
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)

@@ -185,14 +185,14 @@ def candidates(tokens: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     frontier, few, stars, rest = roots(tokens), [], [], []
     for level in range(LEVELS):
         size = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).filter("n > 1")
-        rows = stored(frontier.join(size, "node"))
+        rows = stored(frontier.join(size, "node"), even=True)
         few.append(rows.filter(f"n <= {NODE}").select("node", "id"))
         large = rows.filter(f"n > {NODE}")
         if large.isEmpty():
             break
         met = stored(branches(large, tokens))
         stars.append(met.filter("like and id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-        alike = met.groupBy("node").agg(F.avg(F.col("like").cast("int")).alias("share"))
+        alike = stored(met.groupBy("node").agg(F.avg(F.col("like").cast("int")).alias("share")), even=True)
         if level < LEVELS - 1:
             mixed = alike.filter(f"share < {COHERENT}").select("node")
             rest.append(met.join(alike.filter(f"share >= {COHERENT}").select("node"), "node").select("node", "id"))
@@ -252,7 +252,7 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         sent = F.broadcast if small(stars) else lambda d: d
         both = stars.unionByName(stars.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-        large = both.join(sent(least), "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        large = both.join(sent(least), "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         moved = large.join(sent(least), "v").filter("u > m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         stars = stored(least.select("v", F.col("m").alias("u")).unionByName(moved).distinct(), even=True)
@@ -272,7 +272,7 @@ def _mixed(rest: DataFrame, roots_: DataFrame) -> DataFrame:
     """(node, id, root) of the nodes that hold more than one component."""
     held = rest.join(roots_, "id", "left").select("node", "id", F.coalesce("root", "id").alias("root"))
     several = held.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-    return stored(held.join(several.select("node"), "node"))
+    return stored(held.join(several.select("node"), "node"), even=True)
 
 
 def _shared(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -353,18 +353,18 @@ def _finish(rest: DataFrame, roots_: DataFrame, sizes: DataFrame, tokens: DataFr
     alone = _shared(ids, docs, id_col, text_col).join(sizes, "id").join(nodes, "id").select("id", "n", "alone", "nodes")
     rows = held.join(stored(alone, even=True), "id")
     pivot = rows.groupBy("node").agg(F.min(F.struct("alone", "id", "root")).alias("p")).select("node", F.col("p.id").alias("pivot"), F.col("p.root").alias("main"))
-    rows = stored(rows.join(pivot, "node"))
-    tried = stored(overlaps(rows.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), docs, id_col, text_col))
+    rows = stored(rows.join(pivot, "node"), even=True)
+    tried = stored(overlaps(rows.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), docs, id_col, text_col), even=True)
     links = tried.filter(f"100 * both >= {SIMILARITY} * (na + nb - both)").select("a", "b")
     # What a link with the pivot joins belongs to the pivot's component now.
     both = tried.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "both", F.expr(f"100 * both >= {SIMILARITY} * (na + nb - both)").alias("linked"))
     met = rows.join(both, ["pivot", "id"], "left")
     joined = met.groupBy("node", "root").agg(F.max(F.coalesce("linked", F.lit(False))).alias("joined")).filter("joined")
     known = met.join(joined, ["node", "root"], "left").join(tokens, "id")
-    known = stored(known.selectExpr("node", "id", "if(joined, main, root) as root", "main", "n", "coalesce(both, n) as p", "n - alone - coalesce(both, n) as r", "sketch", "nodes"))
+    known = stored(known.selectExpr("node", "id", "if(joined, main, root) as root", "main", "n", "coalesce(both, n) as p", "n - alone - coalesce(both, n) as r", "sketch", "nodes"), even=True)
     left = _block_pairs(known).distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    left = stored(left)
-    return components(links if left.isEmpty() else links.unionByName(stored(confirmed(left, docs, id_col, text_col))), roots_)
+    left = stored(left, even=True)
+    return components(links if left.isEmpty() else links.unionByName(stored(confirmed(left, docs, id_col, text_col), even=True)), roots_)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -389,9 +389,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not twice.isEmpty():  # an id that stands in several classes joins them
         named = sets.join(twice, "id").select("id", "digest").join(classes, "digest")
         links = links.unionByName(named.select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    links = stored(links)
-    left = stored(_across(pairs.join(first, ["a", "b"], "left_anti"), links.filter("a < b").groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "id")))
-    roots_ = components(links if left.isEmpty() else links.unionByName(stored(confirmed(left, docs, id_col, text_col))))
+    links = stored(links, even=True)
+    left = stored(_across(pairs.join(first, ["a", "b"], "left_anti"), links.filter("a < b").groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "id")), even=True)
+    roots_ = components(links if left.isEmpty() else links.unionByName(stored(confirmed(left, docs, id_col, text_col), even=True)))
     if rest is not None:
         roots_ = _finish(rest, roots_, sets.groupBy("id").agg(F.max("n_shingles").alias("n")), tokens, docs, id_col, text_col)
     of_copies = copies.filter("id > rep").join(roots_.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
