@@ -213,7 +213,7 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 
 def overlaps(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, na, nb, both): sizes of the full sets of pairs (a, b) and of their intersections."""
+    """(a, b, na, nb, both): sizes of the full sets of pairs (a, b), a stored table, and of their intersections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -229,7 +229,7 @@ def overlaps(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
                     out.append((len(held), len(theirs[k - i]), common(held, theirs[k - i])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), (), ())))], ["a", "b", "na", "nb", "both"])
 
-    ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), even=True)
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     texts = by_ids(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), ids, "id", "left_semi")
     of = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, na long, nb long, both long")
@@ -272,7 +272,7 @@ def _mixed(rest: DataFrame, roots_: DataFrame) -> DataFrame:
     """(node, id, root) of the nodes that hold more than one component."""
     held = rest.join(roots_, "id", "left").select("node", "id", F.coalesce("root", "id").alias("root"))
     several = held.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-    return stored(held.join(several.select("node"), "node"), even=True)
+    return stored(held.join(stored(several.select("node"), even=True), "node"), even=True)
 
 
 def _shared(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -330,7 +330,7 @@ def _block_pairs(known: DataFrame) -> DataFrame:
 
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     size = known.groupBy("node").agg(blocks(F.count(F.lit(1))).alias("many"), blocks(F.count_if(F.col("root") != F.col("main"))).alias("few")).filter("few > 0")
-    dealt = known.join(size, "node")
+    dealt = known.join(stored(size, even=True), "node")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = lambda: [F.col(c).alias(c) for c in ("node", "id", "root", "n", "p", "r", "sketch", "nodes")]
@@ -348,19 +348,19 @@ def _finish(rest: DataFrame, roots_: DataFrame, sizes: DataFrame, tokens: DataFr
     held = _mixed(rest, roots_)
     if held.isEmpty():
         return roots_
-    ids = stored(held.select("id").distinct(), even=True)
-    nodes = held.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("nodes"))  # as many as there are ways down, at most
-    alone = _shared(ids, docs, id_col, text_col).join(sizes, "id").join(nodes, "id").select("id", "n", "alone", "nodes")
+    nodes = stored(held.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("nodes")), even=True)  # as many as there are ways down, at most
+    alone = _shared(nodes.select("id"), docs, id_col, text_col).join(sizes, "id").join(nodes, "id").select("id", "n", "alone", "nodes")
     rows = held.join(stored(alone, even=True), "id")
     pivot = rows.groupBy("node").agg(F.min(F.struct("alone", "id", "root")).alias("p")).select("node", F.col("p.id").alias("pivot"), F.col("p.root").alias("main"))
-    rows = stored(rows.join(pivot, "node"), even=True)
-    tried = stored(overlaps(rows.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), docs, id_col, text_col), even=True)
+    rows = stored(rows.join(stored(pivot, even=True), "node"), even=True)
+    to_try = stored(rows.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), even=True)
+    tried = stored(overlaps(to_try, docs, id_col, text_col), even=True)
     links = tried.filter(f"100 * both >= {SIMILARITY} * (na + nb - both)").select("a", "b")
     # What a link with the pivot joins belongs to the pivot's component now.
     both = tried.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "both", F.expr(f"100 * both >= {SIMILARITY} * (na + nb - both)").alias("linked"))
     met = rows.join(both, ["pivot", "id"], "left")
     joined = met.groupBy("node", "root").agg(F.max(F.coalesce("linked", F.lit(False))).alias("joined")).filter("joined")
-    known = met.join(joined, ["node", "root"], "left").join(tokens, "id")
+    known = met.join(stored(joined, even=True), ["node", "root"], "left").join(tokens, "id")
     known = stored(known.selectExpr("node", "id", "if(joined, main, root) as root", "main", "n", "coalesce(both, n) as p", "n - alone - coalesce(both, n) as r", "sketch", "nodes"), even=True)
     left = _block_pairs(known).distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     left = stored(left, even=True)
@@ -387,10 +387,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(first, docs, id_col, text_col)
     twice = sets.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id")
     if not twice.isEmpty():  # an id that stands in several classes joins them
-        named = sets.join(twice, "id").select("id", "digest").join(classes, "digest")
-        links = links.unionByName(named.select(F.col("rep").alias("a"), F.col("id").alias("b")))
+        several = sets.join(twice, "id").select("id", "digest").join(classes, "digest")
+        links = links.unionByName(several.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     links = stored(links, even=True)
-    left = stored(_across(pairs.join(first, ["a", "b"], "left_anti"), links.filter("a < b").groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "id")), even=True)
+    named = stored(links.filter("a < b").groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "id"), even=True)
+    left = stored(_across(pairs.join(first, ["a", "b"], "left_anti"), named), even=True)
     roots_ = components(links if left.isEmpty() else links.unionByName(stored(confirmed(left, docs, id_col, text_col), even=True)))
     if rest is not None:
         roots_ = _finish(rest, roots_, sets.groupBy("id").agg(F.max("n_shingles").alias("n")), tokens, docs, id_col, text_col)
