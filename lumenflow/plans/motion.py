@@ -91,7 +91,7 @@ SELECT id, dx, dy, sad FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER
 
 
 def search_summary(spark, d):
-    """Full search against a search that only looks at the cross of nearest displacements: mean differences and how often they agree."""
+    """Full search against a search that only looks at the nine nearest displacements: mean differences and how often they agree."""
     full = full_search(spark, d)
     near = full_search(spark, d, 1).select("id", C("dx").alias("nx"), C("dy").alias("ny"), C("sad").alias("nsad"))
     j = full.join(near, "id").withColumn("bucket", C("id") % 8)
