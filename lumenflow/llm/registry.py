@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lumenflow.llm import bpe, exact_dedup, fingerprint, language_id, lm_scoring, mixing, near_dedup, quality, token_counts, toxicity
+from lumenflow.llm import bpe, exact_dedup, filter_audit, fingerprint, language_id, lm_scoring, merkle, mixing, near_dedup, quality, token_counts, toxicity, url_filter
 
 
 def pipeline(spark, sf_dir):
@@ -23,9 +23,12 @@ def queries() -> dict:
         "op8_toxicity": toxicity.query,
         "op9_mixing": mixing.query,
         "op10_exact_dedup": exact_dedup.query,
+        "op11_filter_audit": filter_audit.query,
+        "op12_merkle": merkle.query,
+        "op13_url_filter": url_filter.query,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op9_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op9_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_filter_audit": filter_audit.SQL, "op12_merkle": merkle.SQL}
