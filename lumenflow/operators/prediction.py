@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,42 +126,6 @@ def deblock(df: DataFrame, p: list[str], q: list[str], strength: str, index: int
     return df.select(*keep, *[put(F.col(c), a, b).alias(c) for c, a, b in zip(p[:3] + q[:3], sp + sq, weak_p + weak_q, strict=True)], F.col(p[3]), F.col(q[3]))
 
 
-LARGE = ((0, 0), (0, -2), (-1, -1), (1, -1), (-2, 0), (2, 0), (-1, 1), (1, 1), (0, 2))
-SMALL = ((0, 0), (0, -1), (-1, 0), (1, 0), (0, 1))
-
-
-def diamond_search(rows: DataFrame, side: int, at: int, size: int, reach: int) -> DataFrame:
-    """(id, dx, dy, sad, points): a block of ``size`` samples at (at, at) of planes v, followed in planes w of ``side`` samples a row.
-
-    Goes to the best of the large diamond until that is its centre, then to the best of the small one; equal differences go to the
-    shorter vector, then to the pattern's order. Places are looked at once; they stay within ``reach`` and within the plane."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, v, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                v, w = (np.array(p).reshape(side, side) for p in (v, w))
-                block, seen = v[at : at + size, at : at + size], {}
-
-                def cost(x: int, y: int, block=block, w=w, seen=seen) -> tuple[float, int]:
-                    if max(abs(x), abs(y)) > reach or not (0 <= at + x <= side - size and 0 <= at + y <= side - size):
-                        return np.inf, 0
-                    if (x, y) not in seen:
-                        seen[x, y] = int(np.abs(block - w[at + y : at + y + size, at + x : at + x + size]).sum())
-                    return seen[x, y], abs(x) + abs(y)
-
-                x = y = 0
-                while (best := min(LARGE, key=lambda d: cost(x + d[0], y + d[1]))) != (0, 0):  # noqa: B023
-                    x, y = x + best[0], y + best[1]
-                best = min(SMALL, key=lambda d: cost(x + d[0], y + d[1]))  # noqa: B023
-                x, y = x + best[0], y + best[1]
-                out.append((i, x, y, seen[x, y], len(seen)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.int32()] * 4), strict=True)], ["id", "dx", "dy", "sad", "points"])
-
-    return rows.select("id", "v", "w").mapInArrow(run, "id long, dx int, dy int, sad int, points int")
-
-
 def plane_block(top: list[Column], left: list[Column], corner: Column, size: int, scale: int, down: int) -> list[Column]:
     """Prediction by a plane through the border, row by row; ``scale`` and ``down`` round its slopes."""
     half = size // 2

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenflow.functions import scalar as S
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,3 +61,24 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FRAMES = "frames AS (SELECT user_id AS stream, event_id AS n, event_type AS kind, CAST(floor(value * 100) AS BIGINT) AS bytes, epoch_us(ts) AS us FROM events)"
+
+
+#: Samples of a macroblock's side, macroblocks of a plane's side, and vectors of a plane.
+TILE, GRID = 16, 4
+SIDE = TILE * GRID
+VECTORS = (SIDE // 8) ** 2
+
+
+def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plane, y, x, high, wide, v): the macroblocks of planes of 64 by 64 samples, each of 64 vectors that follow each other, eight in a
+    row. Samples of vectors that are missing are 128. A plane has high by wide macroblocks; y and x count them."""
+    rows = blocks(spark, sf_dir).select(F.expr(f"id div {VECTORS}").alias("plane"), F.expr(f"int(id % {VECTORS})").alias("k"), "v")
+    held = rows.groupBy("plane").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))  # 64 vectors at most
+    each = held.select("plane", "m", F.explode(F.sequence(F.lit(0), F.lit(GRID * GRID - 1))).alias("t")).select("plane", "m", S.shift("t", 2).alias("y"), F.col("t").bitwiseAND(3).alias("x"))
+    grey = F.array_repeat(F.lit(128), 64)
+    four = [F.coalesce(F.try_element_at("m", (2 * F.col("y") + j) * 8 + 2 * F.col("x") + i), grey) for j in (0, 1) for i in (0, 1)]
+    return each.select("plane", "y", "x", F.lit(GRID).alias("high"), F.lit(GRID).alias("wide"), F.array(*four).alias("b")).select("plane", "y", "x", "high", "wide", F.flatten(F.array(*[F.slice(F.get("b", F.lit(2 * (r // 8) + h)), 8 * (r % 8) + 1, 8) for r in range(TILE) for h in (0, 1)])).alias("v"))
+
+
+PLANES = f"""{BLOCKS}, cells AS (SELECT id // 64 AS plane, ((id % 64) // 8 * 8 + i // 8) * 64 + id % 8 * 8 + i % 8 AS k, v[i + 1] AS s FROM blocks, (SELECT unnest(range(64)) AS i)),
+plane AS (SELECT g.plane, g.k, coalesce(s, 128) AS s FROM (SELECT plane, unnest(range(4096)) AS k FROM (SELECT DISTINCT plane FROM cells)) g LEFT JOIN cells c ON c.plane = g.plane AND c.k = g.k)"""

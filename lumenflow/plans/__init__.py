@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenflow.plans import bitstreams, blocks, entropy, frames, motion, pixels, streams
+from lumenflow.plans import bitstreams, blocks, entropy, frames, motion, pixels, planes, streams
 
-MODULES = (pixels, blocks, entropy, motion, frames, bitstreams, streams)
+MODULES = (pixels, blocks, entropy, motion, planes, frames, bitstreams, streams)
 
 
 def queries() -> dict:

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from lumenflow.functions import dims
 from lumenflow.functions import scalar as S
+from lumenflow.operators import planes, search
 from lumenflow.operators import prediction as P
 from lumenflow.operators import tables as T
+from lumenflow.plans.planes import sql_diamond, sql_quarter
 
 C = F.col
 
@@ -127,17 +129,17 @@ SELECT id, y, x, CAST(greatest(0, least(255, (15 * a + 9 * b + 25 * c + 15 * e +
 
 
 def motion_compensated(spark, d):
-    """Blocks predicted by whole samples from the block before, by a vector in quarters that the id makes; the rest after prediction."""
-    rows = T.block_rows(T.blocks(spark, d))
-    mv = rows.withColumn("mx", (C("id") % 23 - 11).cast("int")).withColumn("my", (C("id") % 19 - 9).cast("int"))
-    at = mv.select((C("id") - 1).alias("ref"), "id", "y", "x", "s", S.clip(C("y") + S.shift(C("my"), 2), 0, 7).cast("int").alias("ry"), S.clip(C("x") + S.shift(C("mx"), 2), 0, 7).cast("int").alias("rx"), C("mx").bitwiseAND(3).alias("fx"), C("my").bitwiseAND(3).alias("fy"))
-    ref = rows.select(C("id").alias("ref"), C("y").alias("ry"), C("x").alias("rx"), C("s").alias("p"))
-    j = at.join(ref, ["ref", "ry", "rx"])
-    return j.groupBy("id", "fx", "fy").agg(F.sum(C("s") - C("p")).alias("residual"), F.sum(F.abs(C("s") - C("p"))).alias("sad"))
+    """Blocks predicted from the block before, at one of 16 phases, by a vector in quarters that the id makes; the rest after prediction."""
+    b = T.blocks(spark, d)
+    j = b.join(b.select((C("id") + 1).alias("id"), C("v").alias("w")), "id").withColumn("mx", (C("id") % 23 - 11).cast("int")).withColumn("my", (C("id") % 19 - 9).cast("int"))
+    p = j.select("id", C("mx").bitwiseAND(3).alias("fx"), C("my").bitwiseAND(3).alias("fy"), "v", planes.quarter(planes.padded(C("w"), 8, 6), 20, 6, 8, C("mx"), C("my")).alias("p"))
+    total = lambda of: F.aggregate(F.zip_with("v", "p", of), F.lit(0).cast("long"), lambda s, r: s + r)
+    return p.select("id", "fx", "fy", total(lambda s, q: s - q).alias("residual"), total(lambda s, q: F.abs(s - q)).alias("sad"))
 
 
-COMPENSATED = f"""WITH {T.BLOCKS}, c AS (SELECT b.id, CAST((b.id % 23 - 11) & 3 AS INT) AS fx, CAST((b.id % 19 - 9) & 3 AS INT) AS fy, b.v[i + 1] - n.v[greatest(0, least(7, i // 8 + ((b.id % 19 - 9) >> 2))) * 8 + greatest(0, least(7, i % 8 + ((b.id % 23 - 11) >> 2))) + 1] AS r
-FROM blocks b JOIN blocks n ON n.id = b.id - 1, (SELECT unnest(range(64)) AS i)) SELECT id, fx, fy, CAST(sum(r) AS BIGINT) AS residual, CAST(sum(abs(r)) AS BIGINT) AS sad FROM c GROUP BY ALL"""
+COMPENSATED = f"""WITH {T.BLOCKS}, m AS (SELECT b.id, i // 8 AS y, i % 8 AS x, b.v[i + 1] AS s, n.v AS p, CAST(b.id % 23 - 11 AS INT) AS mx, CAST(b.id % 19 - 9 AS INT) AS my FROM blocks b JOIN blocks n ON n.id = b.id - 1, (SELECT unnest(range(64)) AS i)),
+c AS (SELECT id, mx & 3 AS fx, my & 3 AS fy, s - ({sql_quarter('p[greatest(0, least(7, y + (my >> 2) + {0})) * 8 + greatest(0, least(7, x + (mx >> 2) + {1})) + 1]', 'mx & 3', 'my & 3')}) AS r FROM m)
+SELECT id, fx, fy, CAST(sum(r) AS BIGINT) AS residual, CAST(sum(abs(r)) AS BIGINT) AS sad FROM c GROUP BY ALL"""
 
 
 def deblocked(spark, d, index: int = 40):
@@ -184,13 +186,17 @@ SELECT id, CAST(list_sum(s) AS INT) AS total, CAST(len(list_filter(s, lambda x:
 
 
 def diamond(spark, d):
-    """Diamond search of the same blocks as the full search; its path depends on the data, so SQL has no short form for it."""
+    """Diamond search of the same blocks as the full search."""
     b = T.blocks(spark, d)
-    return P.diamond_search(b.join(b.select((C("id") + 1).alias("id"), C("v").alias("w")), "id"), 8, 2, 4, 2)
+    j = b.join(b.select((C("id") + 1).alias("id"), C("v").alias("w")), "id")
+    return search.diamond(j.select("id", F.array(*[C("v")[8 * (2 + r) + 2 + c] for r in range(4) for c in range(4)]).alias("cur"), "w"), ["id"], 4, 2)
+
 
+DIAMOND = SEARCH.replace("WITH ", "WITH RECURSIVE ", 1)[: SEARCH.index("SELECT id, dx, dy, sad FROM") + len("RECURSIVE ")] + f""", d AS MATERIALIZED (SELECT *, abs(dx) + abs(dy) AS cost FROM g), {sql_diamond('d', 2, 'id')}
+SELECT id, dx, dy, CAST(sad AS INT) AS sad, CAST(points AS INT) AS points FROM walked"""
 
 QUERIES = {
-    "motion_diamond": (diamond, None),
+    "motion_diamond": (diamond, DIAMOND),
     "intra_modes": (intra_modes, MODES), "intra_admissible": (intra_admissible, ADMISSIBLE), "intra_most_probable": (most_probable, PROBABLE), "motion_full_search": (full_search, SEARCH), "motion_summary": (search_summary, SUMMARY),
     "motion_half_sample": (half_sample, HALF), "motion_chroma_eighth": (chroma_eighth, EIGHTH), "motion_compensated": (motion_compensated, COMPENSATED), "deblock_edges": (deblocked, _deblock_sql()), "residual_added": (residual_added, ADDED),
 }
