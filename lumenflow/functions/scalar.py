@@ -21,9 +21,14 @@ def shift(a: Column, n: int | Column) -> Column:
     return F.call_function("shiftright", col(a), col(n).cast("int"))
 
 
+def constants(values) -> Column:
+    """An array of fixed numbers, texts or nulls: one call, where a literal each would take as many."""
+    return F.expr("array(" + ", ".join("null" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else str(v) for v in values) + ")")
+
+
 def pick(values, index: Column) -> Column:
     """An entry of a fixed table; null beyond it."""
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+    return F.get(constants(values), index.cast("int"))
 
 
 def clip(v: Column, low=0, high=255) -> Column:
@@ -71,6 +76,12 @@ def scaled_step(step: Column, quality: int | Column) -> Column:
     return clip(div(step * scale + 50, 100), 1, 255).cast("int")
 
 
+def scaled(step: int, quality: int) -> int:
+    """:func:`scaled_step` of plain numbers."""
+    q = max(1, min(100, quality))
+    return max(1, min(255, (step * (5000 // q if q < 50 else 200 - 2 * q) + 50) // 100))
+
+
 def quantize(coefficient: Column, step: Column) -> Column:
     return F.round(coefficient / step).cast("long")
 

@@ -77,7 +77,7 @@ def idct(df: DataFrame, array: str, keep: list[str], size: int = 8) -> DataFrame
 def permute(array: str, order: list[int]) -> Column:
     """The entries of an array in another order. It is named once for each entry: in a lambda it would stand once, and the optimizer would
     move what computes it inside, to be computed again for each entry."""
-    return F.array(*[F.get(F.col(array), F.lit(i)) for i in order])
+    return F.expr("array(" + ", ".join(f"get({array}, {i})" for i in order) + ")")
 
 
 def zigzag(array: str, size: int = 8) -> Column:

@@ -20,7 +20,8 @@ ZZ = "[" + ", ".join(str(i + 1) for i in dims.zigzag()) + "]"
 
 def _steps(quality, table: str = "luma"):
     """Scaled steps of a quality, row by row, as an array of fixed numbers."""
-    return F.array(*[S.scaled_step(F.lit(s), quality) for s in (dims.LUMA_STEPS if table == "luma" else dims.CHROMA_STEPS)])
+    steps = dims.LUMA_STEPS if table == "luma" else dims.CHROMA_STEPS
+    return S.constants([S.scaled(s, quality) for s in steps]) if isinstance(quality, int) else F.array(*[S.scaled_step(F.lit(s), quality) for s in steps])
 
 
 def transform_bits(spark, d):
@@ -144,7 +145,7 @@ EXPAND = f"WITH {RUNS} SELECT id, pos, value FROM p WHERE pos > 0 AND value <> 0
 def _ac(of):
     """An entry for each of the 256 AC symbols from the standard luma codes (symbol, len, code); null where there is no code."""
     made = {s: of(n, c) for s, n, c in dims.huffman_codes("ac_luma")}
-    return F.array(*[F.lit(made.get(s)) for s in range(256)])
+    return S.constants([made.get(s) for s in range(256)])
 
 
 def huffman_bits(spark, d):
