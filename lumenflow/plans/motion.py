@@ -9,7 +9,7 @@ from lumenflow.functions import scalar as S
 from lumenflow.operators import planes, search
 from lumenflow.operators import prediction as P
 from lumenflow.operators import tables as T
-from lumenflow.plans.planes import sql_diamond, sql_quarter
+from lumenflow.plans.planes import sql_diamond, sql_edge, sql_quarter
 
 C = F.col
 
@@ -152,25 +152,9 @@ def deblocked(spark, d, index: int = 40):
 
 
 def _deblock_sql(index: int = 40) -> str:
-    a, b = dims.ALPHA[index], dims.BETA[index]
-    t = [x[index] for x in P.TC0]
-    near = lambda s: f"abs({s}2 - {s}0) < {b}"
-    tc0 = f"(CASE strength WHEN 1 THEN {t[0]} WHEN 2 THEN {t[1]} ELSE {t[2]} END)"
-    clip = lambda v, lo, hi: f"greatest({lo}, least({hi}, {v}))"
-    on = f"strength > 0 AND abs(p0 - q0) < {a} AND abs(p1 - p0) < {b} AND abs(q1 - q0) < {b}"
-    tc = f"({tc0} + CASE WHEN {near('p')} THEN 1 ELSE 0 END + CASE WHEN {near('q')} THEN 1 ELSE 0 END)"
-    move = clip("((q0 - p0) * 4 + (p1 - q1) + 4) >> 3", f"-{tc}", tc)
-    out = []
-    for s, o, sign in (("p", "q", "+"), ("q", "p", "-")):
-        close = f"{near(s)} AND abs(p0 - q0) < {(a >> 2) + 2}"
-        inner = f"{s}1 + " + clip(f"({s}2 + ((p0 + q0 + 1) >> 1) - 2 * {s}1) >> 1", f"-{tc0}", tc0)
-        out += [
-            f"CAST(CASE WHEN NOT ({on}) THEN {s}0 WHEN strength = 4 THEN CASE WHEN {close} THEN ({s}2 + 2 * {s}1 + 2 * {s}0 + 2 * {o}0 + {o}1 + 4) >> 3 ELSE (2 * {s}1 + {s}0 + {o}1 + 2) >> 2 END ELSE {clip(f'{s}0 {sign} {move}', 0, 255)} END AS INT) AS {s}0",
-            f"CAST(CASE WHEN NOT ({on}) THEN {s}1 WHEN strength = 4 THEN CASE WHEN {close} THEN ({s}2 + {s}1 + {s}0 + {o}0 + 2) >> 2 ELSE {s}1 END ELSE CASE WHEN {near(s)} THEN {inner} ELSE {s}1 END END AS INT) AS {s}1",
-            f"CAST(CASE WHEN NOT ({on}) OR strength < 4 THEN {s}2 WHEN {close} THEN (2 * {s}3 + 3 * {s}2 + {s}1 + {s}0 + {o}0 + 4) >> 3 ELSE {s}2 END AS INT) AS {s}2",
-        ]
+    out = sql_edge(str(dims.ALPHA[index]), str(dims.BETA[index]), [str(x[index]) for x in P.TC0])
     rows = ", ".join(f"96 + v[y * 8 + {4 - i}] // 4 AS p{i}, 96 + v[y * 8 + {5 + i}] // 4 AS q{i}" for i in range(4))
-    return f"WITH {T.BLOCKS}, e AS (SELECT id, CAST(y AS INT) AS y, CAST((id + y) % 5 AS INT) AS strength, {rows} FROM blocks, (SELECT unnest(range(8)) AS y)) SELECT id, y, strength, {', '.join(out)}, p3, q3 FROM e"
+    return f"WITH {T.BLOCKS}, e AS (SELECT id, CAST(y AS INT) AS y, CAST((id + y) % 5 AS INT) AS strength, {rows} FROM blocks, (SELECT unnest(range(8)) AS y)) SELECT id, y, strength, {', '.join(f'CAST({e} AS INT) AS {c}' for c, e in out.items())}, p3, q3 FROM e"
 
 
 def residual_added(spark, d):

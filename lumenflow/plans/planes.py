@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenflow.functions import dims
 from lumenflow.functions import scalar as S
+from lumenflow.operators import deblock
 from lumenflow.operators import planes as P
 from lumenflow.operators import search as Q
 from lumenflow.operators import tables as T
+from lumenflow.operators.prediction import TC0
 
 C = F.col
 KEEP = ["plane", "y", "x"]
@@ -122,4 +125,63 @@ m AS (SELECT plane, k, y // 16 AS ty, x // 16 AS tx, y, x, s, (plane * 16 + y //
 c AS (SELECT m.*, CAST({sql_quarter('p[greatest(0, least(63, y + (my >> 2) + {0})) * 64 + greatest(0, least(63, x + (mx >> 2) + {1})) + 1]', 'mx & 3', 'my & 3')} AS INT) AS v FROM m JOIN l USING (plane))
 SELECT plane, CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, CAST(mx & 3 AS INT) AS fx, CAST(my & 3 AS INT) AS fy, CAST(sum(abs(s - v)) AS INT) AS sad, string_agg(v, ',' ORDER BY k) AS samples FROM c GROUP BY ALL"""
 
-QUERIES = {"plane_moved": (moved_text, MOVED), "plane_full_search": (full, FULL_SQL), "plane_diamond": (diamond, DIAMOND_SQL), "plane_search_summary": (summary, SUMMARY), "plane_compensated": (compensated, COMPENSATED)}
+def marked(spark, d):
+    """(plane, y, x, high, wide, v, outer, inner, index): macroblocks with the strengths of the edges before them and within, and the index
+    of thresholds, which their number makes."""
+    k = C("plane") * 16 + C("y") * 4 + C("x")
+    intra = k % 7 != 0
+    t = T.planes(spark, d)
+    strength = lambda outer: S.boundary_strength(intra, F.lit(outer), k % 2 == 0, k % 3 == 0, F.lit(0)).cast("int")
+    return t.select("*", strength(True).alias("outer"), strength(False).alias("inner"), (24 + k * 5 % 24).cast("int").alias("index"))
+
+
+def deblocked(spark, d):
+    """Whole planes filtered: all edges from left to right, then all from top to bottom."""
+    found = deblock.planes(marked(spark, d))
+    return found.select(*KEEP, F.array_join(F.transform("v", lambda v: v.cast("string")), ",").alias("samples"))
+
+
+def deblocked_chroma(spark, d):
+    """The same planes filtered as chroma, two samples at an edge: sums by macroblock."""
+    found = deblock.planes(marked(spark, d), chroma=True)
+    return found.select(*KEEP, F.aggregate("v", F.lit(0), lambda s, v: s + v).alias("total"), F.aggregate(F.transform("v", lambda v, i: v * (i + 1)), F.lit(0), lambda s, v: s + v).alias("weighted"))
+
+
+def sql_edge(a: str, b: str, t: list[str], chroma: bool = False) -> dict[str, str]:
+    """New samples of an edge (p3..p0, q0..q3) of a strength, with thresholds a and b and the bounds t of strengths 1 to 3."""
+    near = lambda s: f"abs({s}2 - {s}0) < {b}"
+    tc0 = f"(CASE strength WHEN 1 THEN {t[0]} WHEN 2 THEN {t[1]} ELSE {t[2]} END)"
+    clip = lambda v, lo, hi: f"greatest({lo}, least({hi}, {v}))"
+    on = f"strength > 0 AND abs(p0 - q0) < {a} AND abs(p1 - p0) < {b} AND abs(q1 - q0) < {b}"
+    tc = f"({tc0} + 1)" if chroma else f"({tc0} + CASE WHEN {near('p')} THEN 1 ELSE 0 END + CASE WHEN {near('q')} THEN 1 ELSE 0 END)"
+    move = clip("((q0 - p0) * 4 + (p1 - q1) + 4) >> 3", f"-{tc}", tc)
+    out = {}
+    for s, o, sign in (("p", "q", "+"), ("q", "p", "-")):
+        close = "false" if chroma else f"{near(s)} AND abs(p0 - q0) < (({a}) >> 2) + 2"
+        inner = f"{s}1 + " + clip(f"({s}2 + ((p0 + q0 + 1) >> 1) - 2 * {s}1) >> 1", f"-{tc0}", tc0)
+        out[f"{s}0"] = f"CASE WHEN NOT ({on}) THEN {s}0 WHEN strength = 4 THEN CASE WHEN {close} THEN ({s}2 + 2 * {s}1 + 2 * {s}0 + 2 * {o}0 + {o}1 + 4) >> 3 ELSE (2 * {s}1 + {s}0 + {o}1 + 2) >> 2 END ELSE {clip(f'{s}0 {sign} {move}', 0, 255)} END"
+        out[f"{s}1"] = f"{s}1" if chroma else f"CASE WHEN NOT ({on}) THEN {s}1 WHEN strength = 4 THEN CASE WHEN {close} THEN ({s}2 + {s}1 + {s}0 + {o}0 + 2) >> 2 ELSE {s}1 END ELSE CASE WHEN {near(s)} THEN {inner} ELSE {s}1 END END"
+        out[f"{s}2"] = f"{s}2" if chroma else f"CASE WHEN NOT ({on}) OR strength < 4 THEN {s}2 WHEN {close} THEN (2 * {s}3 + 3 * {s}2 + {s}1 + {s}0 + {o}0 + 4) >> 3 ELSE {s}2 END"
+    return out
+
+
+def _passes(chroma: bool) -> str:
+    """Lines of the planes, filtered edge by edge across and then down; fin has the samples."""
+    lists = lambda values: "[" + ", ".join(map(str, values)) + "]"
+    e = sql_edge("a", "b", ["t[1]", "t[2]", "t[3]"], chroma)
+    mark = "greatest(0, least(4, CASE WHEN m % 7 <> 0 THEN CASE WHEN e % 4 = 0 THEN 4 ELSE 3 END WHEN m % 2 = 0 THEN 2 WHEN m % 3 = 0 THEN 1 ELSE 0 END)) AS strength, 24 + m * 5 % 24 AS i"
+
+    def one(name: str, source: str, block: str) -> str:
+        samples = ", ".join(f"l[4 * e - {k}] AS p{k}, l[4 * e + {k + 1}] AS q{k}" for k in range(4))
+        looked = f"(SELECT *, {lists(dims.ALPHA)}[i + 1] AS a, {lists(dims.BETA)}[i + 1] AS b, [{', '.join(f'{lists(t)}[i + 1]' for t in TC0)}] AS t FROM (SELECT *, {mark} FROM (SELECT *, {samples}, plane * 16 + {block} AS m FROM {name} WHERE e < 16)))"
+        return f"{name}(plane, n, e, l) AS (SELECT plane, n, 1, l FROM {source} UNION ALL SELECT plane, n, e + 1, l[1 : 4 * e - 3] || [{', '.join(f'CAST({e[c]} AS BIGINT)' for c in ('p2', 'p1', 'p0', 'q0', 'q1', 'q2'))}] || l[4 * e + 4 : 64] FROM {looked})"
+
+    return f"""across0 AS (SELECT plane, k // 64 AS n, list(CAST(s AS BIGINT) ORDER BY k) AS l FROM plane GROUP BY ALL), {one('across', 'across0', '(n // 16) * 4 + e // 4')},
+turned AS (SELECT plane, n AS y, unnest(range(64)) AS x, unnest(l) AS s FROM across WHERE e = 16), down0 AS (SELECT plane, x AS n, list(s ORDER BY y) AS l FROM turned GROUP BY ALL), {one('down', 'down0', '(e // 4) * 4 + n // 16')},
+fin AS (SELECT plane, n AS x, unnest(range(64)) AS y, unnest(l) AS s FROM down WHERE e = 16)"""
+
+
+DEBLOCKED = f"WITH RECURSIVE {T.PLANES}, {_passes(False)} SELECT plane, CAST(y // 16 AS INT) AS y, CAST(x // 16 AS INT) AS x, string_agg(s, ',' ORDER BY fin.y, fin.x) AS samples FROM fin GROUP BY plane, fin.y // 16, fin.x // 16"
+CHROMA = f"WITH RECURSIVE {T.PLANES}, {_passes(True)} SELECT plane, CAST(y // 16 AS INT) AS y, CAST(x // 16 AS INT) AS x, CAST(sum(s) AS INT) AS total, CAST(sum(s * (fin.y % 16 * 16 + fin.x % 16 + 1)) AS INT) AS weighted FROM fin GROUP BY plane, fin.y // 16, fin.x // 16"
+
+QUERIES = {"plane_moved": (moved_text, MOVED), "plane_full_search": (full, FULL_SQL), "plane_diamond": (diamond, DIAMOND_SQL), "plane_search_summary": (summary, SUMMARY), "plane_compensated": (compensated, COMPENSATED), "plane_deblocked": (deblocked, DEBLOCKED), "plane_deblocked_chroma": (deblocked_chroma, CHROMA)}
