@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lumenflow.functions import dims
@@ -34,20 +36,21 @@ def intra_modes(spark, d):
 LINE = "[w[32], w[24], w[16], w[8], w[64], w[57], w[58], w[59], w[60], w[61], w[62], w[63], w[64]]"
 
 
-def _sql_modes() -> str:
+def sql_modes(y: str = "y", x: str = "x", dc: str = "(p[1] + p[2] + p[3] + p[4] + p[6] + p[7] + p[8] + p[9] + 4) >> 3") -> str:
     """The nine predictors at place (y, x), written over the border line p (1-based, corner at 5)."""
     s = "((p[{0} - 1] + 2 * p[{0}] + p[least({0} + 1, 13)] + 2) >> 2)"
     m = "((p[{0}] + p[{0} + 1] + 1) >> 1)"
-    return f"""CASE mode WHEN 0 THEN p[6 + x] WHEN 1 THEN p[4 - y] WHEN 2 THEN (p[1] + p[2] + p[3] + p[4] + p[6] + p[7] + p[8] + p[9] + 4) >> 3
+    text = f"""CASE mode WHEN 0 THEN p[6 + x] WHEN 1 THEN p[4 - y] WHEN 2 THEN {dc}
  WHEN 3 THEN {s.format('(7 + x + y)')} WHEN 4 THEN {s.format('(5 + x - y)')}
  WHEN 5 THEN CASE WHEN 2 * x - y = -1 THEN {s.format('5')} WHEN 2 * x - y < -1 THEN {s.format('(6 - y)')} WHEN y % 2 = 0 THEN {m.format('(5 + x - y // 2)')} ELSE {s.format('(5 + x - y // 2)')} END
  WHEN 6 THEN CASE WHEN 2 * y - x = -1 THEN {s.format('5')} WHEN 2 * y - x < -1 THEN {s.format('(4 + x)')} WHEN x % 2 = 0 THEN {m.format('(4 - y + x // 2)')} ELSE {s.format('(5 - y + x // 2)')} END
  WHEN 7 THEN CASE WHEN y % 2 = 0 THEN {m.format('(6 + x + y // 2)')} ELSE {s.format('(7 + x + y // 2)')} END
  ELSE CASE WHEN x + 2 * y > 5 THEN p[1] WHEN x + 2 * y = 5 THEN (p[2] + 3 * p[1] + 2) >> 2 WHEN x % 2 = 0 THEN (p[4 - y - x // 2] + p[3 - y - x // 2] + 1) >> 1 ELSE (p[4 - y - x // 2] + 2 * p[3 - y - x // 2] + p[2 - y - x // 2] + 2) >> 2 END END"""
+    return re.sub(r"\b[xy]\b", lambda m: {"x": x, "y": y}[m[0]], text)
 
 
 MODES = f"""WITH {T.BLOCKS}, b AS (SELECT c.id, c.v, {LINE} AS p FROM blocks c JOIN (SELECT id, v AS w FROM blocks) n ON c.id = n.id + 1),
-g AS (SELECT id, mode, CAST(sum(abs(({_sql_modes()}) - v[8 * y + x + 1])) AS INT) AS cost FROM b, (SELECT CAST(unnest(range(9)) AS INT) AS mode), (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x) GROUP BY id, mode),
+g AS (SELECT id, mode, CAST(sum(abs(({sql_modes()}) - v[8 * y + x + 1])) AS INT) AS cost FROM b, (SELECT CAST(unnest(range(9)) AS INT) AS mode), (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x) GROUP BY id, mode),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cost, mode) AS k FROM g)
 SELECT a.id, a.mode AS best, a.cost, b.mode AS second, b.cost - a.cost AS gap FROM r a JOIN r b ON a.id = b.id AND a.k = 1 AND b.k = 2"""
 
