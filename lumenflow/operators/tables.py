@@ -45,6 +45,24 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOCKS = """blocks AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(greatest(0, least(255, floor(CAST(x AS DOUBLE) * 64 + 128))) AS INT)) AS v FROM embeddings)"""
 
 
+def quarters(blocks_: DataFrame, array: str = "v") -> DataFrame:
+    """(id, v): the four 4x4 blocks of each block, row by row; block n has those from 4 * n on, the upper ones first."""
+    four = [F.expr("array(" + ", ".join(f"get({array}, {(4 * qy + r) * 8 + 4 * qx + c})" for r in range(4) for c in range(4)) + ")") for qy in (0, 1) for qx in (0, 1)]
+    return blocks_.select("id", F.posexplode(F.array(*four)).alias("part", array)).select((4 * F.col("id") + F.col("part")).alias("id"), array)
+
+
+QUARTERS = f"""{BLOCKS}, quarters AS (SELECT id * 4 + part AS id, list_transform(range(16), lambda i: v[(part // 2 * 4 + i // 4) * 8 + part % 2 * 4 + i % 4 + 1]) AS v FROM blocks, (SELECT unnest(range(4)) AS part))"""
+
+
+def grid(df: DataFrame) -> DataFrame:
+    """The plane of a 4x4 block of :func:`quarters` and its place there, counted in blocks: plane, gy, gx."""
+    k = F.expr(f"int(id % {4 * VECTORS})")
+    return df.select("*", F.expr(f"id div {4 * VECTORS}").alias("plane"), (S.shift(k, 5) * 2 + S.shift(k, 1).bitwiseAND(1)).alias("gy"), (S.shift(k, 2).bitwiseAND(7) * 2 + k.bitwiseAND(1)).alias("gx"))
+
+
+GRID_OF = "id // 256 AS plane, CAST(id % 256 // 32 * 2 + id % 4 // 2 AS INT) AS gy, CAST(id % 32 // 4 * 2 + id % 2 AS INT) AS gx"
+
+
 def block_rows(blocks_: DataFrame) -> DataFrame:
     """(id, y, x, s) of blocks (id, v)."""
     rows = blocks_.select("id", F.posexplode("v").alias("i", "s"))

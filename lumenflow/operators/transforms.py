@@ -1,42 +1,15 @@
-"""Block transforms as joins with small basis tables, and as array expressions where order matters."""
+"""Block transforms, scans and run lengths as array expressions: a block stays one row."""
 
 from __future__ import annotations
 
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenflow.functions import dims
-from lumenflow.functions.scalar import clip, div, shift
-
-
-def basis(spark: SparkSession, size: int = 8) -> DataFrame:
-    """(u, x, c): cosine basis of a block's side; size * size rows."""
-    rows = [(u, x, math.cos((2 * x + 1) * u * math.pi / (2 * size)) * math.sqrt((1 if u == 0 else 2) / size)) for u in range(size) for x in range(size)]
-    return spark.createDataFrame(rows, "u int, x int, c double")
-
-
-def dct_line(samples: DataFrame, basis_: DataFrame) -> DataFrame:
-    """(block, u, coef) of samples (block, x, s), level-shifted."""
-    joined = samples.join(F.broadcast(basis_), "x")
-    return joined.groupBy("block", "u").agg(F.sum((F.col("s") - 128) * F.col("c")).alias("coef"))
-
-
-def dct_block(rows: DataFrame, basis_: DataFrame) -> DataFrame:
-    """(id, v, u, coef) of rows (id, y, x, s): along rows, then along columns. v counts vertical frequencies."""
-    across = rows.join(F.broadcast(basis_), "x").groupBy("id", "y", "u").agg(F.sum((F.col("s") - 128) * F.col("c")).alias("t"))
-    down = basis_.select(F.col("u").alias("v"), F.col("x").alias("y"), "c")
-    return across.join(F.broadcast(down), "y").groupBy("id", "v", "u").agg(F.sum(F.col("t") * F.col("c")).alias("coef"))
-
-
-def idct_block(coefficients: DataFrame, basis_: DataFrame) -> DataFrame:
-    """(id, y, x, s): the inverse of :func:`dct_block`, rounded and clipped."""
-    across = coefficients.join(F.broadcast(basis_), "u").groupBy("id", "v", "x").agg(F.sum(F.col("coef") * F.col("c")).alias("t"))
-    down = basis_.select(F.col("u").alias("v"), F.col("x").alias("y"), "c")
-    out = across.join(F.broadcast(down), "v").groupBy("id", "y", "x").agg(F.sum(F.col("t") * F.col("c")).alias("s"))
-    return out.select("id", "y", "x", clip(F.round(F.round("s", 6) + 128)).cast("int").alias("s"))
+from lumenflow.functions.scalar import constants, div, shift
 
 
 def _cosines(size: int) -> list[list[float]]:
@@ -89,29 +62,9 @@ def unzigzag(array: str, size: int = 8) -> Column:
     return permute(array, [order.index(i) for i in range(size * size)])
 
 
-def run_lengths(rows: DataFrame, key: list[str], last: int = 63) -> DataFrame:
-    """(key, pos, run, value) of coefficients (key, pos, value) with pos from 1 to ``last``: zeros before each value, a run of 15
-    with value 0 for every sixteen zeros, and (0, 0) at the end unless the last coefficient has a value."""
-    w = Window.partitionBy(*key).orderBy("pos")
-    full = rows.filter("pos between 1 and {} and value <> 0".format(last))
-    gaps = full.withColumn("run", F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0)) - 1)
-    each = gaps.withColumn("k", F.explode(F.sequence(F.lit(0), div(F.col("run"), 16).cast("int"))))
-    final = F.col("k") == div(F.col("run"), 16)
-    symbols = each.select(*key, "pos", "k", F.when(final, F.col("run") % 16).otherwise(15).cast("int").alias("run"), F.when(final, F.col("value")).otherwise(0).cast("int").alias("value"))
-    ends = rows.groupBy(*key).agg(F.coalesce(F.max(F.when((F.col("value") != 0) & F.col("pos").between(1, last), F.col("pos"))), F.lit(0)).alias("top")).filter(F.col("top") < last)
-    eob = ends.select(*key, F.lit(last + 1).alias("pos"), F.lit(0).alias("k"), F.lit(0).alias("run"), F.lit(0).alias("value"))
-    return symbols.unionByName(eob)
-
-
-def expand_runs(symbols: DataFrame, key: list[str]) -> DataFrame:
-    """(key, pos, value): the values that run lengths (key, pos, k, run, value) place; the inverse of :func:`run_lengths`."""
-    w = Window.partitionBy(*key).orderBy("pos", "k")
-    at = F.sum(F.col("run") + 1).over(w)
-    return symbols.withColumn("at", at).filter("value <> 0").select(*key, F.col("at").cast("int").alias("pos"), "value")
-
-
 def run_symbols(df: DataFrame, array: str, keep: list[str], last: int = 63) -> DataFrame:
-    """(keep, symbols): as :func:`run_lengths`, of scanned coefficients in one array; symbols is an array of (pos, k, run, value)."""
+    """(keep, symbols) of scanned coefficients in one array; symbols is an array of (pos, k, run, value): the zeros before each value, a run of
+    15 with value 0 for every sixteen zeros (k counts them), and (0, 0) at the end unless the last coefficient has a value."""
     at = F.filter(F.sequence(F.lit(1), F.lit(last)), lambda i: F.get(F.col(array), i) != 0)
     rows = df.select(*keep, F.col(array).alias("_z"), at.alias("_at"))
     rows = rows.select("*", F.slice(F.concat(F.array(F.lit(0)), "_at"), 1, F.size("_at")).alias("_before"))
@@ -138,15 +91,9 @@ def run_values(symbols: str) -> Column:
     return F.aggregate(symbols, start, step, lambda acc: acc["out"])
 
 
-def stage(df: DataFrame, array: str, line, keep: list[str]) -> DataFrame:
-    """One pass of a 4-point function over the rows of a 4x4 array column; the result is transposed, so that a second call works
-    on columns and restores the order. Passes are separate projections to keep expressions small."""
-    rows = [line([F.get(F.col(array), F.lit(4 * i + j)) for j in range(4)]) for i in range(4)]
-    return df.select(*keep, F.array(*[rows[i][j] for j in range(4) for i in range(4)]).alias(array))
-
-
 def both_ways(df: DataFrame, array: str, line, keep: list[str]) -> DataFrame:
-    return stage(stage(df, array, line, keep), array, line, keep)
+    """A function of four values along the rows of a 4x4 array column, then along its columns."""
+    return _square(df, array, line, keep, 4)
 
 
 def forward4(r: list[Column]) -> list[Column]:
@@ -166,6 +113,23 @@ def hadamard4(r: list[Column]) -> list[Column]:
     return [a + d, b + c, b - c, a - d]
 
 
+def _by_place(table) -> list[int]:
+    """An entry for each place of a 4x4 block: even rows and columns, odd ones, mixed."""
+    even, odd, mixed = table
+    return [even if y % 2 == x % 2 == 0 else odd if y % 2 == x % 2 == 1 else mixed for y in range(4) for x in range(4)]
+
+
+def quantized4(array: str, qp: int, intra: bool = True) -> Column:
+    """Levels of a transformed 4x4 block at one parameter, rounded by a third of a step, or by a sixth."""
+    bits = 15 + qp // 6
+    f = (1 << bits) // (3 if intra else 6)
+    return F.zip_with(array, constants(_by_place(dims.FORWARD[qp % 6])), lambda w, m: F.when(w < 0, -shift(F.abs(w).cast("long") * m + f, bits)).otherwise(shift(w.cast("long") * m + f, bits)))
+
+
+def dequantized4(array: str, qp: int) -> Column:
+    return F.zip_with(array, constants([s << qp // 6 for s in _by_place(dims.LEVEL_SCALE[qp % 6])]), lambda level, s: level * s)
+
+
 def residual4(df: DataFrame, array: str, keep: list[str]) -> DataFrame:
     """Inverse transform of dequantised 4x4 values, rounded down by 64."""
     return both_ways(df, array, inverse4, keep).withColumn(array, F.transform(array, lambda v: shift(v + 32, 6)))

@@ -186,15 +186,22 @@ SELECT id, array_to_string(list_transform(range(1, length(t), 8), lambda i: CASE
 
 
 def huffman_table(spark, d):
-    """Canonical codes by window: a code is the sum of what the shorter codes before it take, at its own length."""
-    rows = dims.huffman(spark)
+    """Canonical codes by window, from nothing but their lengths: a code is the sum of what the shorter codes before it take, at its own
+    length. Beside each, how often the blocks' AC symbols use it and the bits that this takes."""
+    codes = dims.huffman(spark)
     w = Window.partitionBy("table").orderBy("len", "code").rowsBetween(Window.unboundedPreceding, -1)
     take = F.coalesce(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(16) - C("len"))).over(w), F.lit(0))
     made = F.call_function("shiftright", take, F.lit(16) - C("len"))
-    return rows.select("table", "symbol", "len", C("code").cast("long").alias("code"), (made == C("code")).alias("canonical"))
+    each = symbols(spark, d).select(F.explode(F.transform("symbols", lambda e: e["run"] * 16 + S.category(e["value"]))).alias("symbol"))
+    used = each.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).withColumn("table", F.lit("ac_luma"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    rows = codes.select("table", "symbol", "len", C("code").cast("long").alias("code"), (made == C("code")).alias("canonical")).join(used, ["table", "symbol"], "left")
+    return rows.select("table", "symbol", "len", "code", "canonical", n.alias("used"), (n * C("len")).alias("bits"))
 
 
-HUFFTABLE = "WITH t(\"table\", symbol, len, code) AS (VALUES " + ", ".join(f"('{t}', {s}, {n}, {c})" for t in dims.HUFFMAN for s, n, c in dims.huffman_codes(t)) + ") SELECT \"table\", symbol, len, CAST(code AS BIGINT) AS code, true AS canonical FROM t"
+HUFFTABLE = f"WITH {RUNS}, codes(\"table\", symbol, len, code) AS (VALUES " + ", ".join(f"('{t}', {s}, {n}, {c})" for t in dims.HUFFMAN for s, n, c in dims.huffman_codes(t)) + """),
+u AS (SELECT run * 16 + CASE WHEN value = 0 THEN 0 ELSE length(bin(abs(value))) END AS symbol, count(*) AS n FROM rle GROUP BY 1)
+SELECT "table", codes.symbol, len, CAST(code AS BIGINT) AS code, true AS canonical, CAST(coalesce(n, 0) AS BIGINT) AS used, CAST(coalesce(n, 0) * len AS BIGINT) AS bits FROM codes LEFT JOIN u ON "table" = 'ac_luma' AND u.symbol = codes.symbol"""
 
 
 #: Ids of blocks that are ranked together.
@@ -237,22 +244,27 @@ SELECT m.bucket, m.id AS most, m.var AS most_var, l.id AS least, l.var AS least_
 
 
 def four(spark, d):
-    """(id, a): the first sixteen samples of a block less their integer mean, as a 4x4 residual."""
-    b = T.blocks(spark, d).select("id", F.slice("v", 1, 16).alias("a"))
-    mean = S.div(F.aggregate("a", F.lit(0), lambda s, x: s + x), 16).cast("int")
-    return b.select("id", F.zip_with("a", F.array_repeat(mean, 16), lambda x, m: x - m).alias("a"))
+    """(id, a): the 4x4 blocks of every block less their integer mean, as residuals."""
+    b = T.quarters(T.blocks(spark, d))
+    mean = S.div(F.aggregate("v", F.lit(0), lambda s, x: s + x), 16).cast("int")
+    return b.select("id", F.zip_with("v", F.array_repeat(mean, 16), lambda x, m: x - m).alias("a"))
 
 
-FOUR = f"{T.BLOCKS}, four AS (SELECT id, list_transform(v[1:16], lambda x: x - CAST(list_sum(v[1:16]) AS INT) // 16) AS a FROM blocks)"
+FOUR = f"{T.QUARTERS}, four AS (SELECT id, list_transform(v, lambda x: x - CAST(list_sum(v) AS INT) // 16) AS a FROM quarters)"
 M4 = "[[1, 1, 1, 1], [2, 1, -1, -2], [1, -1, -1, 1], [1, -2, 2, -1]]"
 FWD = f"""{FOUR}, c4 AS (SELECT {M4} AS m), cell AS (SELECT id, i, j, sum(m[i][y] * m[j][x] * a[(y - 1) * 4 + x]) AS w FROM four, c4, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(1, 5)) AS j), (SELECT unnest(range(1, 5)) AS y), (SELECT unnest(range(1, 5)) AS x) GROUP BY id, i, j)"""
 
 
+def levels4(spark, d, qp=28):
+    """(id, a, w, intra, inter): residuals, their core transform and its levels with intra and inter rounding, each an array of 16."""
+    w = X.both_ways(four(spark, d).withColumn("w", C("a")), "w", X.forward4, ["id", "a"])
+    return w.select("id", "a", "w", X.quantized4("w", qp).alias("intra"), X.quantized4("w", qp, False).alias("inter"))
+
+
 def h264_forward(spark, d, qp=28):
-    """Core transform and quantisation of residuals, intra and inter rounding."""
-    w = X.both_ways(four(spark, d), "a", X.forward4, ["id"]).select("id", F.posexplode("a").alias("k", "w"))
-    kind = S.place_class(F.expr("k div 4"), C("k") % 4)
-    return w.select("id", "k", C("w").cast("long").alias("w"), S.h264_quantize(C("w"), F.lit(qp), kind).alias("intra"), S.h264_quantize(C("w"), F.lit(qp), kind, False).alias("inter"))
+    """Core transform and quantisation of residuals, a row for each place."""
+    each = levels4(spark, d, qp).select("id", F.posexplode_outer(F.arrays_zip("w", "intra", "inter")).alias("k", "e"))
+    return each.select("id", "k", C("e.w").cast("long").alias("w"), "e.intra", "e.inter")
 
 
 def _by_class(table, qp, i="i", j="j"):
@@ -267,11 +279,8 @@ FROM (SELECT id, i, j, CAST(w AS BIGINT) AS w FROM cell)"""
 
 def h264_roundtrip(spark, d, qp=28):
     """Residuals after transform, quantisation and back; their sum and worst error, by block."""
-    levels = h264_forward(spark, d, qp)
-    kind = S.place_class(F.expr("k div 4"), C("k") % 4)
-    deq = levels.select("id", "k", S.h264_dequantize(C("intra"), F.lit(qp), kind).alias("w"))
-    a = deq.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda e: e["w"]).alias("a"))
-    back = X.residual4(a, "a", ["id"]).withColumnRenamed("a", "b").join(four(spark, d), "id")
+    q = levels4(spark, d, qp).select("id", "a", X.dequantized4("intra", qp).alias("b"))
+    back = X.residual4(q, "b", ["id", "a"])
     err = F.zip_with("a", "b", lambda p, q: F.abs(p - q))
     return back.select("id", F.aggregate("b", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.array_max(err).cast("long").alias("worst"))
 
@@ -286,10 +295,9 @@ SELECT id, CAST(sum(b) AS BIGINT) AS total, CAST(max(abs(a - b)) AS BIGINT) AS w
 
 def dc_hadamard(spark, d, qp=29):
     """Scaled Hadamard transform of sixteen luma DC values and of four chroma ones."""
-    a = four(spark, d)
-    luma = X.luma_dc(a.select("id", C("a").alias("b")), "b", qp, ["id"])
+    luma = X.luma_dc(four(spark, d).withColumn("b", C("a")), "b", qp, ["id", "a"])
     at = lambda i: P.at("a", i)
-    return a.join(luma, "id").select("id", F.transform("b", lambda x: x.cast("long")).getItem(0).alias("l0"), C("b")[5].cast("long").alias("l5"), C("b")[15].cast("long").alias("l15"), *[x.cast("long").alias(f"c{i}") for i, x in enumerate(X.chroma_dc(at(0), at(1), at(2), at(3), qp))])
+    return luma.select("id", F.transform("b", lambda x: x.cast("long")).getItem(0).alias("l0"), C("b")[5].cast("long").alias("l5"), C("b")[15].cast("long").alias("l15"), *[x.cast("long").alias(f"c{i}") for i, x in enumerate(X.chroma_dc(at(0), at(1), at(2), at(3), qp))])
 
 
 HAD = "[[1, 1, 1, 1], [1, 1, -1, -1], [1, -1, -1, 1], [1, -1, 1, -1]]"
@@ -300,14 +308,15 @@ FROM f JOIN four USING (id) GROUP BY f.id"""
 
 
 def satd(spark, d):
-    """SAD and SATD of the first 4x4 samples against those of the next block."""
-    b = T.blocks(spark, d).select("id", F.slice("v", 1, 16).alias("v"))
+    """SAD and SATD of 4x4 blocks against those at the same place of the next block."""
+    b = T.blocks(spark, d)
     j = b.join(b.select((C("id") - 1).alias("id"), C("v").alias("w")), "id").select("id", F.zip_with("v", "w", lambda p, q: p - q).alias("a"))
+    j = T.quarters(j, "a")
     s = F.aggregate("a", F.lit(0), lambda t, x: t + F.abs(x))
     return X.both_ways(j.withColumn("sad", s), "a", X.hadamard4, ["id", "sad"]).select("id", "sad", X.satd("a").alias("satd"))
 
 
-SATD = f"""WITH {T.BLOCKS}, f0 AS (SELECT b.id, list_transform(range(1, 17), lambda i: b.v[i] - n.v[i]) AS a FROM blocks b JOIN blocks n ON n.id = b.id + 1), m AS (SELECT {HAD} AS m),
+SATD = f"""WITH {T.QUARTERS}, f0 AS (SELECT b.id, list_transform(range(1, 17), lambda i: b.v[i] - n.v[i]) AS a FROM quarters b JOIN quarters n ON n.id = b.id + 4), m AS (SELECT {HAD} AS m),
 f AS (SELECT id, i, j, CAST(sum(m[i][y] * m[j][x] * a[(y - 1) * 4 + x]) AS BIGINT) AS f FROM f0, m, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(1, 5)) AS j), (SELECT unnest(range(1, 5)) AS y), (SELECT unnest(range(1, 5)) AS x) GROUP BY id, i, j)
 SELECT f.id, any_value(CAST(list_sum(list_transform(a, lambda x: abs(x))) AS INT)) AS sad, CAST((sum(abs(f)) + 1) >> 1 AS INT) AS satd FROM f JOIN f0 USING (id) GROUP BY f.id"""
 
