@@ -1,4 +1,4 @@
-"""Codes, escapes and containers over byte streams. The bytes of a text stand for a payload through its MD5."""
+"""Codes, escapes and containers over byte streams, whose payload is the bytes of whole texts."""
 
 from __future__ import annotations
 
@@ -36,32 +36,33 @@ def magnitudes(spark, d):
 MAGNITUDES = f"""WITH {T.SAMPLES}, v AS (SELECT block, part, x, s - coalesce(lag(s) OVER (PARTITION BY block ORDER BY part, x), 0) AS v FROM samples), c AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE length(bin(abs(v))) END AS size FROM v)
 SELECT block, part, x, CAST(size AS INT) AS size, CAST(CASE WHEN v >= 0 THEN v ELSE v + (1 << size) - 1 END AS BIGINT) AS bits, CAST(v AS BIGINT) AS back FROM c"""
 
-#: The hexadecimal digits of whole texts become bytes 0 to 3, so that many places need an escape.
-DIGITS = "translate(regexp_replace(lower(coalesce(text, '')), '[^0-9a-f]', ''{}), '0123456789abcdef', '0000000111122233')"
+#: Every byte of a text becomes one of 0 to 3, by its low two bits, so that many places need an escape.
+LOW_BITS = "translate(regexp_replace(hex({}), '.(.)', '{}'{}), '0123456789ABCDEF', '0123012301230123')"
 
 
 def emulation(spark, d):
     """Escaped payloads, what was added, and whether they read back the same."""
-    t = T.read(spark, d, "documents").select("doc_id", F.expr(DIGITS.format("")).alias("s"))
+    t = T.read(spark, d, "documents").select("doc_id", F.expr(LOW_BITS.format("coalesce(text, '')", "$1", "")).alias("s"))
     payload = B.raw(F.replace(F.translate("s", "123", "\x01\x02\x03"), F.lit("0"), F.lit("\x00")))
     t = t.select("doc_id", payload.alias("p")).withColumn("e", B.escape(C("p")))
     shown = F.translate(F.replace(B.text(C("e")), F.lit("\x00"), F.lit("0")), "\x01\x02\x03", "123")
     return t.select("doc_id", shown.alias("escaped"), B.escaped_bytes(C("e")).cast("long").alias("added"), (B.unescape(C("e")) == C("p")).alias("same"))
 
 
-EMULATION = f"""WITH t AS (SELECT doc_id, {DIGITS.format(", 'g'")} AS s FROM documents), r AS (SELECT doc_id, s, regexp_replace(s, '00', '003', 'g') AS e FROM t),
+EMULATION = f"""WITH t AS (SELECT doc_id, {LOW_BITS.format("encode(coalesce(text, ''))", chr(92) + "1", ", 'g'")} AS s FROM documents), r AS (SELECT doc_id, s, regexp_replace(s, '00', '003', 'g') AS e FROM t),
 e AS (SELECT doc_id, s, CASE WHEN e LIKE '%003' THEN left(e, length(e) - 1) ELSE e END AS e FROM r)
 SELECT doc_id, e AS escaped, CAST(length(e) - length(s) AS BIGINT) AS added, true AS same FROM e"""
 
 
 def stuffing(spark, d):
-    """Whole texts with FF for every letter e, stuffed, in hexadecimal, and whether they read back the same."""
-    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "?")
-    t = T.read(spark, d, "documents").select("doc_id", B.raw(F.translate(plain, "e", "\xff")).alias("p"))
+    """The bytes of whole texts with FF for every letter e, stuffed, in hexadecimal, and whether they read back the same."""
+    payload = F.translate(B.text(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), "e", "\xff")
+    t = T.read(spark, d, "documents").select("doc_id", B.raw(payload).alias("p"))
     return t.select("doc_id", F.hex(B.stuff(C("p"))).alias("stuffed"), (B.unstuff(B.stuff(C("p"))) == C("p")).alias("same"))
 
 
-STUFFING = """SELECT doc_id, replace(hex(encode(replace(regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g'), 'e', chr(15)))), '0F', 'FF00') AS stuffed, true AS same FROM documents"""
+#: A byte stands between spaces, so that no pair of digits is found across two bytes.
+STUFFING = r"""SELECT doc_id, replace(replace(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\1 ', 'g'), '65 ', 'FF00 '), ' ', '') AS stuffed, true AS same FROM documents"""
 
 
 def _turns(spark, d):

@@ -49,9 +49,11 @@ FROM (SELECT (77 * r + 150 * g + 29 * b + 128) >> 8 AS rounded, (77 * r + 150 *
 
 
 def box_downsample(spark, d):
-    rows = T.block_rows(T.blocks(spark, d))
-    n, s = F.count(F.lit(1)), F.sum("s")
-    return rows.groupBy("id", F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x")).agg(S.div(s + S.div(n, 2), n).alias("mean"), S.div(s, n).alias("truncated"))
+    """Means of two by two samples, rounded and truncated, in the array of the block."""
+    at = lambda i, dy, dx: F.get(C("v"), S.shift(i, 2) * 16 + i.bitwiseAND(3) * 2 + 8 * dy + dx)
+    sums = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (at(i, 0, 0) + at(i, 0, 1) + at(i, 1, 0) + at(i, 1, 1)).cast("long"))
+    rows = T.blocks(spark, d).select("id", F.posexplode_outer(sums).alias("i", "s"))
+    return rows.select("id", S.shift("i", 2).cast("long").alias("y"), C("i").bitwiseAND(3).cast("long").alias("x"), S.div(C("s") + 2, 4).alias("mean"), S.div(C("s"), 4).alias("truncated"))
 
 
 BOX = f"""WITH {T.BLOCKS}, {T.ROWS} SELECT id, y // 2 AS y, x // 2 AS x, CAST((sum(s) + count(*) // 2) // count(*) AS BIGINT) AS mean, CAST(sum(s) // count(*) AS BIGINT) AS truncated FROM rows_ GROUP BY ALL"""

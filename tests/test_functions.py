@@ -60,20 +60,28 @@ def test_bytes(spark):
 
 
 def test_flat_block(spark):
-    rows = spark.range(64).selectExpr("1 as id", "int(id div 8) as y", "int(id % 8) as x", "100 as s")
-    coef = {(r.v, r.u): r.coef for r in X.dct_block(rows, X.basis(spark)).collect()}
-    assert coef[0, 0] == pytest.approx(-224) and max(abs(c) for k, c in coef.items() if k != (0, 0)) < 1e-9
-    back = X.idct_block(X.dct_block(rows, X.basis(spark)), X.basis(spark))
-    assert {r.s for r in back.collect()} == {100}
+    rows = spark.range(1).select("id", F.array_repeat(F.lit(100.0 - 128), 64).alias("a"))
+    coef = X.dct(rows, "a", ["id"])
+    found = coef.first().a
+    assert found[0] == pytest.approx(-224) and max(map(abs, found[1:])) < 1e-9
+    assert X.idct(coef, "a", ["id"]).first().a == pytest.approx([-28.0] * 64)
 
 
 def test_run_lengths(spark):
     zz = [5] + [0] * 20 + [7] + [0] * 42
-    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(zz)] + [(2, i, 0) for i in range(64)] + [(3, i, 1 if i == 63 else 0) for i in range(64)], "id int, pos int, value int")
-    out = {}
-    for r in X.run_lengths(rows, ["id"]).orderBy("id", "pos", "k").collect():
-        out.setdefault(r.id, []).append((r.run, r.value))
+    rows = spark.createDataFrame([(1, zz), (2, [0] * 64), (3, [0] * 63 + [1])], "id int, z array<int>")
+    found = X.run_symbols(rows, "z", ["id"])
+    out = {r.id: [(e.run, e.value) for e in r.symbols] for r in found.collect()}
     assert out[1] == [(15, 0), (4, 7), (0, 0)] and out[2] == [(0, 0)] and out[3] == [(15, 0)] * 3 + [(14, 1)]
+    back = {r.id: [(e.pos, e.value) for e in r.v] for r in found.select("id", X.run_values("symbols").alias("v")).collect()}
+    assert back == {1: [(21, 7)], 2: [], 3: [(63, 1)]}
+
+
+def test_scan_is_not_in_a_lambda(spark):
+    """What computes an array is not moved into the scan, to be computed again for each of its places."""
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.sqrt(i + F.col("id"))).alias("a")).select(X.zigzag("a").alias("z"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT") == 1
 
 
 def test_containers(spark):
