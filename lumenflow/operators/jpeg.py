@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lumenflow.functions import binary as B
@@ -35,37 +35,40 @@ def _round(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.floor(np.abs(x) + 0.5)
 
 
-def _planes(data: bytes, width: int, height: int, sub: int) -> list[np.ndarray]:
-    """Y, Cb and Cr of a picture, padded to whole coding units by its border; chroma averaged over sub x sub samples."""
+def sampling(sub: int | tuple[int, int]) -> tuple[int, int]:
+    """Luma samples for one of chroma, across and down: (1, 1) is 4:4:4, (2, 1) 4:2:2 and (2, 2) 4:2:0."""
+    return (sub, sub) if isinstance(sub, int) else sub
+
+
+def _planes(data: bytes, width: int, height: int, h: int, v: int) -> list[np.ndarray]:
+    """Y, Cb and Cr of a picture, padded to whole coding units by its border; chroma averaged over h by v samples."""
     px = np.frombuffer(data, np.uint8).reshape(height, width, 3).astype(float)
     m = np.array([[0.299, 0.587, 0.114], [-0.168736, -0.331264, 0.5], [0.5, -0.418688, -0.081312]])
-    ycc = np.clip(_round(px @ m.T + [0, 128, 128]), 0, 255).astype(np.int64)
-    unit = 8 * sub
-    grow = lambda p, u: np.pad(p, ((0, -p.shape[0] % u), (0, -p.shape[1] % u)), "edge")
-    out = [grow(ycc[:, :, 0], unit)]
+    ycc = np.clip(_round(np.round(px @ m.T + [0, 128, 128], 6)), 0, 255).astype(np.int64)
+    out = [np.pad(ycc[:, :, 0], ((0, -height % (8 * v)), (0, -width % (8 * h))), "edge")]
     for k in (1, 2):
         p = ycc[:, :, k]
-        if sub == 2:
-            s, n = (np.add.reduceat(np.add.reduceat(a, np.arange(0, height, 2), 0), np.arange(0, width, 2), 1) for a in (p, np.ones_like(p)))
-            p = (s + n // 2) // n
-        out.append(np.pad(p, ((0, out[0].shape[0] // sub - p.shape[0]), (0, out[0].shape[1] // sub - p.shape[1])), "edge"))
+        s, n = (np.add.reduceat(np.add.reduceat(a, np.arange(0, height, v), 0), np.arange(0, width, h), 1) for a in (p, np.ones_like(p)))
+        p = (s + n // 2) // n
+        out.append(np.pad(p, ((0, out[0].shape[0] // v - p.shape[0]), (0, out[0].shape[1] // h - p.shape[1])), "edge"))
     return out
 
 
-def blocks(pictures: DataFrame, sub: int = 2) -> DataFrame:
+def blocks(pictures: DataFrame, sub: int | tuple[int, int] = 2) -> DataFrame:
     """(path, comp, pos, z): samples of the blocks of pictures (path, width, height, data), row by row; pos orders a picture's blocks
     in the interleaved scan."""
+    h, v = sampling(sub)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, width, height, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                planes = _planes(data, width, height, sub)
-                wide, per = planes[0].shape[1] // (8 * sub), sub * sub + 2
+                planes = _planes(data, width, height, h, v)
+                wide, per = planes[0].shape[1] // (8 * h), h * v + 2
                 for comp, p in enumerate(planes):
-                    f = sub if comp == 0 else 1
+                    ch, cv = (h, v) if comp == 0 else (1, 1)
                     by, bx = p.shape[0] // 8, p.shape[1] // 8
                     y, x = np.divmod(np.arange(by * bx), bx)
-                    pos = (y // f * wide + x // f) * per + (y % f * f + x % f if comp == 0 else sub * sub + comp - 1)
+                    pos = (y // cv * wide + x // ch) * per + (y % v * h + x % h if comp == 0 else h * v + comp - 1)
                     z = p.reshape(by, 8, bx, 8).swapaxes(1, 2).reshape(-1, 64).astype(np.int32)
                     yield _batch([path] * len(pos), np.full(len(pos), comp), pos, z)
 
@@ -128,14 +131,29 @@ def coded(rows: DataFrame) -> DataFrame:
     return each.withColumn("p", last).select("path", "pos", F.concat("dc", F.when(luma, ac("ac_luma")).otherwise(ac("ac_chroma"))).alias("bits"))
 
 
-def encode(pictures: DataFrame, quality: int = 80, sub: int = 2) -> DataFrame:
-    """(path, content): JPEG files of pictures (path, width, height, data). A picture's bits are one row at the end."""
-    bits = coded(transform(blocks(pictures, sub), quality))
-    whole = bits.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "bits"))), lambda e: e["bits"]), "").alias("bits"))
+def packed(bits: DataFrame) -> DataFrame:
+    """(path, pos, bytes) of texts of zeros and ones (path, pos, bits): the bytes that end within a text's bits, stuffed.
+
+    Where a text begins is the sum of the lengths before it. It completes the byte that those before have begun, and leaves its last bits
+    to the next one: every text packs its own bytes, and no row is longer than a block. A block has four bits at least, so that the two
+    before hold what a byte can lack. The last of a picture fills its byte up with ones."""
+    order = Window.partitionBy("path").orderBy("pos")
+    n = F.length("bits")
+    start = F.coalesce(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = bits.select("path", "pos", "bits", (start % 8).cast("int").alias("begun"), F.concat(F.coalesce(F.lag("bits", 2).over(order), F.lit("")), F.coalesce(F.lag("bits", 1).over(order), F.lit(""))).alias("before"), F.lead("pos").over(order).isNull().alias("last"))
+    whole = rows.select("path", "pos", "last", F.concat(F.when(F.col("begun") > 0, F.right("before", F.col("begun"))).otherwise(""), "bits").alias("t"))
+    own = whole.select("path", "pos", F.when(F.col("last"), F.rpad("t", (F.ceil(F.length("t") / 8) * 8).cast("int"), F.lit("1"))).otherwise(F.left("t", (F.floor(F.length("t") / 8) * 8).cast("int"))).alias("t"))
+    return own.select("path", "pos", B.stuff(B.bits_to_bytes(F.col("t"))).alias("bytes"))
+
+
+def encode(pictures: DataFrame, quality: int = 80, sub: int | tuple[int, int] = 2) -> DataFrame:
+    """(path, content): JPEG files of pictures (path, width, height, data). The bytes of a picture's blocks meet in one row at the end."""
+    each = packed(coded(transform(blocks(pictures, sub), quality)))
+    whole = each.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("b")))).alias("b"))
     head = sinks.jpeg_head(scaled_steps(quality))
     out = whole.join(pictures.select("path", "width", "height"), "path")
-    scan = out.select("path", sinks.jpeg_frame(F.col("width"), F.col("height"), sub).alias("frame"), B.stuff(B.bits_to_bytes(F.col("bits"))).alias("scan"))
-    return scan.select("path", F.concat(F.lit(head), "frame", "scan", F.lit(b"\xff\xd9")).alias("content"))
+    scan = F.unhex(F.array_join(F.transform("b", lambda e: e["b"]), ""))
+    return out.select("path", F.concat(F.lit(head), sinks.jpeg_frame(F.col("width"), F.col("height"), sampling(sub)), scan, F.lit(b"\xff\xd9")).alias("content"))
 
 
 # Decoding
@@ -308,14 +326,22 @@ def _picture(sof: bytes, quant: list[bytes], width: int, height: int, b: list[di
     y, *rest = (_grow(p, high * v * 8, wide * h * 8) for p in planes)
     cb, cr = (p - 128 for p in rest[:2]) if len(rest) >= 2 else (0, 0)
     rgb = np.stack(np.broadcast_arrays(y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb), 2)
-    return np.clip(_round(rgb), 0, 255).astype(np.uint8)[:height, :width].tobytes()
+    return np.clip(_round(np.round(rgb, 6)), 0, 255).astype(np.uint8)[:height, :width].tobytes()
+
 
+def decode(files: DataFrame, counters: Observation | None = None) -> DataFrame:
+    """(path, width, height, data, error) of JPEG files (path, content); a file that cannot be decoded has its error instead.
 
-def decode(files: DataFrame) -> DataFrame:
-    """(path, width, height, data, error) of JPEG files (path, content); a file that cannot be decoded has its error instead."""
+    ``counters`` gets, with the decode itself and without another pass, the files, those decoded, skipped before (no frame, no scan, a
+    bad marker) and failed within, and the samples of those decoded."""
     heads = headers(files)
-    bad = heads.filter("error is not null").select("path", "width", "height", F.lit(None).cast("binary").alias("data"), "error")
-    return pictures(heads.filter("error is null")).unionByName(bad)
+    bad = heads.filter("error is not null").select("path", "width", "height", F.lit(None).cast("binary").alias("data"), "error", F.lit(True).alias("skipped"))
+    out = pictures(heads.filter("error is null")).withColumn("skipped", F.lit(False)).unionByName(bad)
+    if counters is not None:
+        done = F.col("error").isNull() & F.col("data").isNotNull()
+        size = F.when(done, F.octet_length("data")).otherwise(0).cast("long")
+        out = out.observe(counters, F.count(F.lit(1)).alias("files"), F.count_if(done).alias("decoded"), F.count_if("skipped").alias("skipped"), F.count_if(~done & ~F.col("skipped")).alias("failed"), F.coalesce(F.sum(size), F.lit(0)).alias("samples"))
+    return out.drop("skipped")
 
 
 def psnr(a: DataFrame, b: DataFrame) -> DataFrame:

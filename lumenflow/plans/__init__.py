@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenflow.plans import bitstreams, blocks, entropy, frames, motion, pixels, planes, streams, wavefront
+from lumenflow.plans import bitstreams, blocks, entropy, frames, motion, pictures, pixels, planes, streams, wavefront
 
-MODULES = (pixels, blocks, entropy, motion, planes, frames, bitstreams, streams, wavefront)
+MODULES = (pixels, blocks, entropy, motion, planes, frames, bitstreams, streams, pictures, wavefront)
 
 
 def queries() -> dict:

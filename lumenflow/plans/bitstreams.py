@@ -94,6 +94,28 @@ AVI = f"""WITH {TURNS}, s AS (SELECT *, octet_length(rbsp) AS size FROM t)
 SELECT conv_id, CAST(idx AS INT) AS frame_no, CAST(coalesce(sum(8 + size + size % 2) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", CAST(size AS BIGINT) AS size, lower(hex(rbsp)) AS jpeg FROM s"""
 
 
+def riff(spark, d):
+    """Parts of the AVI files that conversations make: where each is and how long, and the fields of the heads."""
+    files = sinks.avi(_turns(spark, d).select("path", C("idx").alias("frame_no"), C("rbsp").alias("jpeg")), 192, 144, 10)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")
+    return containers.riff(files).select(C("path").cast("long").alias("conv_id"), "k", "parent", "name", "offset", "length", shown.alias("fields"), "error")
+
+
+def _riff() -> str:
+    avih = "'buffer=' || most || ' first=0 flags=16 frames=' || n || ' height=144 micros=100000 padding=0 rate=0 streams=1 width=192'"
+    strh = "'buffer=' || most || ' first=0 flags=0 handler=MJPG language=0 length=' || n || ' priority=0 quality=4294967295 rate=10 sample=0 scale=1 start=0 type=vids'"
+    strf = "'bits=24 compression=MJPG head=40 height=144 image=82944 planes=1 width=192'"
+    fixed = [
+        ("0", "NULL", "'AVI '", 0, "body + 24 * n + 224", "''"), ("1", "'AVI '", "'hdrl'", 12, "192", "''"), ("2", "'hdrl'", "'avih'", 24, "56", avih), ("3", "'hdrl'", "'strl'", 88, "116", "''"),
+        ("4", "'strl'", "'strh'", 100, "56", strh), ("5", "'strl'", "'strf'", 164, "40", strf), ("6", "'AVI '", "'movi'", 212, "4 + body + 8 * n", "''"),
+    ]
+    rows = " UNION ALL ".join(f'SELECT conv_id, {k} AS k, {p} AS parent, {name} AS name, {at} AS "offset", {n} AS length, {f} AS fields FROM w' for k, p, name, at, n, f in fixed)
+    return f"""WITH {TURNS}, s AS (SELECT conv_id, idx, octet_length(rbsp) AS size FROM t), w AS (SELECT conv_id, count(*) AS n, max(size) AS most, sum(size + size % 2) AS body FROM s GROUP BY 1),
+c AS (SELECT conv_id, idx, size, coalesce(sum(8 + size + size % 2) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+r AS ({rows} UNION ALL SELECT conv_id, 7 + idx, 'movi', '00dc', 224 + before, size, '' FROM c UNION ALL SELECT conv_id, 7 + n, 'AVI ', 'idx1', 224 + body + 8 * n, 16 * n, '' FROM w)
+SELECT conv_id, CAST(k AS INT) AS k, parent, name, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, fields, CAST(NULL AS VARCHAR) AS error FROM r"""
+
+
 def h264_numbers(spark, d):
     """Scalar tables of the decoder for the numbers that parts make: chroma parameter, coded patterns, scaling, median, context."""
     p = T.read(spark, d, "part").select("p_partkey", "p_size", (C("p_partkey") % 52).cast("int").alias("qp"), (C("p_size") % 48).alias("code"))
@@ -122,5 +144,5 @@ CASE WHEN p_size % 5 = 0 AND p_size % 2 = 0 THEN 4 WHEN p_size % 5 = 0 THEN 3 WH
 
 
 QUERIES = {
-    "bit_exp_golomb": (exp_golomb, GOLOMB), "bit_magnitudes": (magnitudes, MAGNITUDES), "byte_emulation": (emulation, EMULATION), "byte_stuffing": (stuffing, STUFFING), "container_annexb": (annexb, ANNEXB), "container_avi": (avi, AVI), "h264_numbers": (h264_numbers, _numbers()),
+    "bit_exp_golomb": (exp_golomb, GOLOMB), "bit_magnitudes": (magnitudes, MAGNITUDES), "byte_emulation": (emulation, EMULATION), "byte_stuffing": (stuffing, STUFFING), "container_annexb": (annexb, ANNEXB), "container_avi": (avi, AVI), "container_riff": (riff, _riff()), "h264_numbers": (h264_numbers, _numbers()),
 }

@@ -42,7 +42,7 @@ def annexb(streams: DataFrame) -> DataFrame:
 def _walk(files_: DataFrame, step: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
     """(path, ...) rows that a small generator finds in each file's bytes."""
     types = [f.split()[1] for f in schema.split(", ")]
-    arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "map<string,string>": pa.map_(pa.string(), pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,6 +71,53 @@ def avi_chunks(files_: DataFrame) -> DataFrame:
     return _walk(files_, step, "frame_no int, offset long, size long, jpeg binary")
 
 
+#: Fields of the heads of an AVI file, each four bytes long unless it says so.
+HEADS = {
+    b"avih": ("micros", "rate", "padding", "flags", "frames", "first", "streams", "buffer", "width", "height"),
+    b"strh": ("type:t", "handler:t", "flags", "priority:h", "language:h", "first", "scale", "rate", "start", "length", "buffer", "quality", "sample"),
+    b"strf": ("head", "width", "height", "planes:h", "bits:h", "compression:t", "image"),
+}
+
+
+def riff(files_: DataFrame) -> DataFrame:
+    """(path, k, parent, name, offset, length, fields, error): the parts of AVI files in order, lists by their type. ``parent`` is the list
+    that a part is in, ``offset`` where its head begins, ``length`` what the head states; ``fields`` are those of avih, strh and strf. A part
+    that ends beyond its file has the error ``truncated``, and ends the list."""
+
+    def fields(name: bytes, body: bytes) -> dict[str, str]:
+        out, at = {}, 0
+        for f in HEADS.get(name, ()):
+            f, _, kind = f.partition(":")
+            size = 2 if kind == "h" else 4
+            raw = body[at : at + size]
+            if len(raw) == size:
+                out[f] = raw.decode("latin-1") if kind == "t" else str(int.from_bytes(raw, "little"))
+            at += size
+        return out
+
+    def step(b: bytes) -> Iterator[tuple]:
+        k, ends = 0, [(len(b), None)]
+        at = 0
+        while at + 8 <= len(b):
+            while len(ends) > 1 and at >= ends[-1][0]:
+                ends.pop()
+            name, (size,) = b[at : at + 4], struct.unpack_from("<I", b, at + 4)
+            nested = name in (b"RIFF", b"LIST")
+            shown = (b[at + 8 : at + 12] if nested else name).decode("latin-1")
+            short = at + 8 + size > len(b)
+            yield k, ends[-1][1], shown, at, size, list(fields(name, b[at + 8 : at + 8 + size]).items()), "truncated" if short else None
+            k += 1
+            if short and not nested:
+                return
+            if nested:
+                ends.append((at + 8 + size, shown))
+                at += 12
+            else:
+                at += 8 + size + size % 2
+
+    return _walk(files_, step, "k int, parent string, name string, offset long, length long, fields map<string,string>, error string")
+
+
 def jpeg_markers(files_: DataFrame) -> DataFrame:
     """(path, k, offset, code, length, body, error, name) of the markers of JPEG files up to the scan; its body is the coded data."""
 

@@ -66,9 +66,10 @@ def jpeg_tables() -> bytes:
     return b"".join(_segment(0xC4, bytes([c << 4 | k]) + bytes(dims.HUFFMAN[t][0]) + dims.HUFFMAN[t][1]) for c, k, t in ((0, 0, "dc_luma"), (1, 0, "ac_luma"), (0, 1, "dc_chroma"), (1, 1, "ac_chroma")))
 
 
-def jpeg_frame(width: Column, height: Column, sub: int = 1) -> Column:
-    """Frame header of three components, chroma with one sample for sub x sub, the Huffman tables, and the scan header."""
-    parts = b"".join(bytes([i, 0x11 * sub if i == 1 else 0x11, 0 if i == 1 else 1]) for i in (1, 2, 3))
+def jpeg_frame(width: Column, height: Column, sub: tuple[int, int] = (1, 1)) -> Column:
+    """Frame header of three components, chroma with one sample for so many of luma across and down, the Huffman tables, and the scan
+    header."""
+    parts = b"".join(bytes([i, sub[0] << 4 | sub[1] if i == 1 else 0x11, 0 if i == 1 else 1]) for i in (1, 2, 3))
     scan = _segment(0xDA, bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0]))
     return F.concat(F.lit(bytes([0xFF, 0xC0, 0, 17, 8])), B.be16(height), B.be16(width), F.lit(bytes([3]) + parts + jpeg_tables() + scan))
 

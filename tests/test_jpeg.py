@@ -53,3 +53,34 @@ def test_motion_jpeg(spark, pictures):
     out = containers.avi_chunks(film).select(F.concat_ws("/", "path", "frame_no").alias("path"), F.col("jpeg").alias("content"))
     back = jpeg.decode(out).collect()
     assert len(back) == 3 and all(r.error is None for r in back) and len({bytes(r.data) for r in back}) == 1
+
+
+def test_counters(spark, pictures):
+    """Counts of a decode come with the decode itself."""
+    from pyspark.sql import Observation
+
+    files = jpeg.encode(pictures, 80, (2, 1))
+    whole = max((bytes(r.content) for r in files.collect()), key=len)
+    bad = spark.createDataFrame([("x", b"no picture"), ("y", whole[: whole.rindex(b"\xff\xda") + 20] + b"\xff\xd9")], "path string, content binary")
+    seen = Observation("decode")
+    rows = jpeg.decode(files.unionByName(bad), seen).collect()
+    n = files.count()
+    assert len(rows) == n + 2 and seen.get["files"] == n + 2 and seen.get["decoded"] == n and seen.get["skipped"] == 1 and seen.get["failed"] == 1
+    assert seen.get["samples"] == sum(len(r.data) for r in rows if r.error is None and r.data is not None)
+
+
+def test_packed_bits(spark):
+    """Pieces of any lengths from four bits on give the same bytes as the whole text."""
+    import random
+
+    r = random.Random(4)
+    pieces = [(p, k, "".join(r.choice("0111") for _ in range(r.choice([4, 4, 5, 6, 7, 8, 9, 15, 16, 40])))) for p in ("a", "b") for k in range(120)] + [("c", 0, "1111")]
+    rows = spark.createDataFrame(pieces, "path string, pos long, bits string")
+    got = {}
+    for x in sorted(jpeg.packed(rows).collect(), key=lambda x: (x.path, x.pos)):
+        got[x.path] = got.get(x.path, b"") + bytes(x.bytes)
+    for p in "abc":
+        text = "".join(b for q, _, b in sorted(pieces) if q == p)
+        text += "1" * (-len(text) % 8)
+        want = b"".join(bytes([v]) + b"\0" * (v == 255) for v in (int(text[i : i + 8], 2) for i in range(0, len(text), 8)))
+        assert got[p] == want
