@@ -61,6 +61,16 @@ def luma_truncated(r: Column, g: Column, b: Column) -> Column:
     return shift(77 * r + 150 * g + 29 * b, 8)
 
 
+def limited(y: Column) -> Column:
+    """A full-range sample as it is stored in limited range, from 16 to 235."""
+    return to_byte(16 + y * 219 / 255.0)
+
+
+def stretched(y: Column) -> Column:
+    """A limited-range sample as it is shown, from 0 to 255."""
+    return to_byte((y - 16) * 255 / 219.0)
+
+
 def luma_half_up(r: Column, g: Column, b: Column) -> Column:
     return F.floor(clip(0.299 * r + 0.587 * g + 0.114 * b + 0.5)).cast("int")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenflow.functions.scalar import clip, shift
+from lumenflow.functions.scalar import clip, constants, shift
 
 TILE = 16
 WINDOW = 3 * TILE
@@ -128,3 +128,27 @@ def padded(v: Column, side: int, margin: int) -> Column:
     wide = side + 2 * margin
     near = lambda i: clip(i - margin, 0, side - 1)
     return let(v, lambda b: F.transform(cells(wide * wide), lambda i: F.get(b, (near(F.floor(i / wide)) * side + near(i % wide)).cast("int"))))
+
+
+#: The two-dimensional Hadamard transform of a 4x4 block as one matrix, row by row.
+_H = ((1, 1, 1, 1), (1, 1, -1, -1), (1, -1, -1, 1), (1, -1, 1, -1))
+HADAMARD = [_H[i][y] * _H[j][x] for i in range(4) for j in range(4) for y in range(4) for x in range(4)]
+
+
+def macroblock(w: Column, dx: Column, dy: Column) -> Column:
+    """The 16 by 16 samples of a window that lie (dx, dy) from its middle, 16 at most."""
+    held = F.struct(w.alias("w"), dx.cast("int").alias("dx"), dy.cast("int").alias("dy"))
+    return let(held, lambda v: F.transform(cells(TILE * TILE), lambda i: F.get(v["w"], (TILE + shift(i, 4) + v["dy"]) * WINDOW + TILE + i.bitwiseAND(15) + v["dx"])))
+
+
+def sad16(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
+
+
+def satd16(a: Column, b: Column) -> Column:
+    """Sum over the sixteen 4x4 blocks of a difference of half the magnitudes of its transform, rounded up."""
+    part = lambda d, k: F.transform(cells(TILE), lambda i: F.get(d, (shift(k, 2) * 4 + shift(i, 2)) * TILE + k.bitwiseAND(3) * 4 + i.bitwiseAND(3)))
+    matrix = constants(HADAMARD)
+    value = lambda p, k: F.abs(F.aggregate(cells(TILE), F.lit(0), lambda s, i: s + F.get(matrix, k * TILE + i) * F.get(p, i)))
+    cost = lambda p: shift(F.aggregate(cells(TILE), F.lit(0), lambda s, k: s + value(p, k)) + 1, 1)
+    return let(F.zip_with(a, b, lambda p, q: p - q), lambda d: F.aggregate(cells(TILE), F.lit(0), lambda s, k: s + let(part(d, k), cost)))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,3 +141,25 @@ def i420(pictures: DataFrame) -> DataFrame:
     rows = luma.unionByName(chroma[0]).unionByName(chroma[1])
     ordered = F.array_sort(F.collect_list(F.struct("plane", "y", "x", "v")))
     return rows.groupBy("path").agg(F.unhex(F.array_join(F.transform(ordered, lambda e: F.lpad(F.hex(e["v"].cast("long")), 2, "0")), "")).alias("content"))
+
+
+def coded_frames(pictures: DataFrame) -> DataFrame:
+    """(path, width, height, y, cb, cr): pictures (path, width, height, data) of RGB bytes as planar 4:2:0 frames of the coded size, a
+    multiple of 16 each way: the border repeats, samples are rounded by truncation of v + 0.5, chroma is the mean of two by two."""
+
+    def byte(v: np.ndarray) -> bytes:
+        return np.clip(v + 0.5, 0, 255).astype(np.uint8).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, width, height, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                px = np.frombuffer(data, np.uint8).reshape(height, width, 3).astype(float)
+                r, g, b = np.pad(px, ((0, -height % 16), (0, -width % 16), (0, 0)), "edge").transpose(2, 0, 1)
+                four = lambda c: (c[::2, ::2] + c[::2, 1::2] + c[1::2, ::2] + c[1::2, 1::2]) / 4.0
+                u, v = -0.168736 * r - 0.331264 * g + 0.5 * b + 128.0, 0.5 * r - 0.418688 * g - 0.081312 * b + 128.0
+                out.append((path, r.shape[1], r.shape[0], byte(0.299 * r + 0.587 * g + 0.114 * b), byte(four(u)), byte(four(v))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["path", "width", "height", "y", "cb", "cr"])
+
+    return pictures.select(F.col("path").cast("string").alias("path"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "data").mapInArrow(run, "path string, width int, height int, y binary, cb binary, cr binary")

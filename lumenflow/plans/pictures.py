@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lumenflow.functions import dims
 from lumenflow.functions import scalar as S
-from lumenflow.operators import jpeg
+from lumenflow.operators import jpeg, prediction
+from lumenflow.operators import planes as P
 from lumenflow.operators import tables as T
 from lumenflow.operators.transforms import _cosines
 from lumenflow.sources import containers
@@ -124,4 +125,53 @@ rgb AS (SELECT plane, y, x, {_BYTE('c0 + 1.402::DOUBLE * cr')} AS r, {_BYTE('c0
 DECODED = f"{BACK} SELECT plane, {_NAME}, CAST(y AS INT) AS y, string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY x) AS rgb, CAST(NULL AS VARCHAR) AS error FROM rgb GROUP BY plane, y"
 DISTORTION = f"{BACK} SELECT plane, {_NAME}, round(10 * log10(65025 / (sum((p.r - o.r) ** 2 + (p.g - o.g) ** 2 + (p.b - o.b) ** 2) / (3 * count(*)))), 5) AS psnr FROM rgb o JOIN px p USING (plane, y, x) GROUP BY plane"
 
-QUERIES = {"jpeg_segments": (segments, SEGMENTS), "jpeg_scans": (scans, SCANS), "jpeg_decoded": (decoded, DECODED), "jpeg_distortion": (distortion, DISTORTION)}
+def cut(spark, d):
+    """The pictures less some lines and columns on the lower right, which the plane's number makes."""
+    px = colour(spark, d).withColumn("w", (T.SIDE - C("path").cast("int") % 15)).withColumn("h", (T.SIDE - C("path").cast("int") % 13))
+    rows = F.transform(F.sequence(F.lit(0), C("h") - 1), lambda y: F.call_function("substring", F.hex("data"), y * (6 * T.SIDE) + 1, C("w") * 6))
+    return px.select("path", C("w").alias("width"), C("h").alias("height"), F.unhex(F.array_join(rows, "")).alias("data"))
+
+
+def coded_frames(spark, d):
+    """Lines of the frames that an encoder makes of pictures of any size: padded to whole macroblocks, 4:2:0."""
+    f = prediction.coded_frames(cut(spark, d))
+    part = lambda name, k, w: F.struct(F.lit(name).alias("part"), F.lit(k).alias("k"), w.alias("wide"), C(name).alias("b"))
+    each = f.select("path", "width", "height", F.explode(F.array(part("y", 1, C("width")), part("cb", 2, S.shift("width", 1)), part("cr", 2, S.shift("width", 1)))).alias("p"))
+    lines = each.select("path", "p.part", "p.wide", "p.b", F.explode(F.sequence(F.lit(0), S.div("height", C("p.k")).cast("int") - 1)).alias("line"))
+    return lines.select(C("path").cast("long").alias("plane"), "part", "line", F.hex(F.call_function("substring", C("b"), C("line") * C("wide") + 1, C("wide"))).alias("samples"))
+
+
+_TRUNCATED = lambda v: f"CAST(floor(greatest(0, least(255, {v} + 0.5::DOUBLE))) AS INT)"
+CODED = f"""WITH {T.PLANES}, px AS (SELECT plane, k // 64 AS y, k % 64 AS x, CAST(least(255, s + k % 64) AS DOUBLE) AS r, CAST(s AS DOUBLE) AS g, CAST(greatest(0, s - k // 64) AS DOUBLE) AS b FROM plane),
+pad AS (SELECT g0.plane, g0.y, g0.x, p.r, p.g, p.b FROM px g0 JOIN px p ON p.plane = g0.plane AND p.y = least(g0.y, 63 - g0.plane % 13) AND p.x = least(g0.x, 63 - g0.plane % 15)),
+uv AS (SELECT plane, y, x, -0.168736::DOUBLE * r - 0.331264::DOUBLE * g + 0.5::DOUBLE * b + 128 AS u, 0.5::DOUBLE * r - 0.418688::DOUBLE * g - 0.081312::DOUBLE * b + 128 AS v FROM pad),
+four AS (SELECT a.plane, a.y // 2 AS y, a.x // 2 AS x, {_TRUNCATED('(a.u + b.u + c.u + e.u) / 4')} AS u, {_TRUNCATED('(a.v + b.v + c.v + e.v) / 4')} AS v FROM uv a JOIN uv b ON b.plane = a.plane AND b.y = a.y AND b.x = a.x + 1 JOIN uv c ON c.plane = a.plane AND c.y = a.y + 1 AND c.x = a.x
+  JOIN uv e ON e.plane = a.plane AND e.y = a.y + 1 AND e.x = a.x + 1 WHERE a.y % 2 = 0 AND a.x % 2 = 0),
+s AS (SELECT plane, 'y' AS part, y, x, {_TRUNCATED('0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b')} AS s FROM pad UNION ALL SELECT plane, 'cb', y, x, u FROM four UNION ALL SELECT plane, 'cr', y, x, v FROM four)
+SELECT plane, part, CAST(y AS INT) AS line, string_agg(printf('%02X', s), '' ORDER BY x) AS samples FROM s GROUP BY plane, part, y"""
+
+
+def made(spark, d):
+    """Lines of pictures like photographs, one for every plane: waves of colour, two plain rectangles and noise of the plane's own."""
+    rows = T.planes(spark, d).select("plane").distinct().select("plane", F.explode(F.sequence(F.lit(0), F.lit(MADE[1] - 1))).alias("y"))
+
+    def pixel(x):
+        i = (C("y") * MADE[0] + x) * 3
+        waves = (120 + 100 * F.sin(x / MADE[0] * 3.14), 140 + 90 * F.cos(C("y") / MADE[1] * 3.14), 100 + 80 * F.sin((x + C("y")) / sum(MADE) * 6.28))
+        inside = lambda y0, y1, x0, x1: C("y").between(y0, y1 - 1) & x.between(x0, x1 - 1)
+        values = [F.when(inside(6, 18, 8, 24), a).when(inside(22, 34, 36, 54), b).otherwise(w) for w, a, b in zip(waves, (220, 60, 50), (40, 90, 200), strict=True)]
+        noisy = [S.clip(v + P.noise(C("plane") + 42, (i + k).cast("int"), 14)) for k, v in enumerate(values)]
+        return F.concat(*[F.lpad(F.hex(F.floor(v).cast("long")), 2, "0") for v in noisy])
+
+    return rows.select("plane", "y", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(MADE[0] - 1)), pixel), "").alias("rgb"))
+
+
+#: Width and height of the pictures that are made.
+MADE = (64, 40)
+_WAVES = [f"120 + 100 * sin(x / {MADE[0]}.0::DOUBLE * 3.14::DOUBLE)", f"140 + 90 * cos(y / {MADE[1]}.0::DOUBLE * 3.14::DOUBLE)", f"100 + 80 * sin((x + y) / {sum(MADE)}.0::DOUBLE * 6.28::DOUBLE)"]
+_MADE = lambda k, a, b: f"printf('%02X', CAST(floor(greatest(0, least(255, CASE WHEN y BETWEEN 6 AND 17 AND x BETWEEN 8 AND 23 THEN {a} WHEN y BETWEEN 22 AND 33 AND x BETWEEN 36 AND 53 THEN {b} ELSE {_WAVES[k]} END + n[{k + 1}]))) AS BIGINT))"
+MADE_SQL = f"""WITH RECURSIVE {T.PLANES}, lcg(plane, k, s) AS (SELECT DISTINCT plane, CAST(0 AS BIGINT), ((42 + plane) * 1103515245 + 12345) % 4294967296 FROM plane UNION ALL SELECT plane, k + 1, (s * 1103515245 + 12345) % 4294967296 FROM lcg WHERE k < {3 * MADE[0] * MADE[1] - 1}),
+px AS (SELECT plane, k // 3 // {MADE[0]} AS y, k // 3 % {MADE[0]} AS x, list((s >> 16 & 32767) % 7 - 3 ORDER BY k) AS n FROM lcg GROUP BY ALL)
+SELECT plane, CAST(y AS INT) AS y, string_agg({_MADE(0, 220, 40)} || {_MADE(1, 60, 90)} || {_MADE(2, 50, 200)}, '' ORDER BY x) AS rgb FROM px GROUP BY plane, y"""
+
+QUERIES = {"picture_coded_frames": (coded_frames, CODED), "picture_made": (made, MADE_SQL), "jpeg_segments": (segments, SEGMENTS), "jpeg_scans": (scans, SCANS), "jpeg_decoded": (decoded, DECODED), "jpeg_distortion": (distortion, DISTORTION)}

@@ -48,6 +48,23 @@ FROM (SELECT (77 * r + 150 * g + 29 * b + 128) >> 8 AS rounded, (77 * r + 150 *
  CAST(greatest(0, least(255, round(CAST(0.2126 AS DOUBLE) * r + CAST(0.7152 AS DOUBLE) * g + CAST(0.0722 AS DOUBLE) * b))) AS INT) AS bt709 FROM px) GROUP BY rounded"""
 
 
+def range_mismatch(spark, d):
+    """What goes wrong when the range of a picture is mistaken, by luma: the stored sample, the right picture, limited samples shown as full
+    ones, full ones stretched as if limited; and the luma of BT.709 less that of BT.601."""
+    px = T.pixels(spark, d)
+    rgb = C("r"), C("g"), C("b")
+    y = S.luma_half_up(*rgb)
+    rows = px.select(y.alias("y"), (S.luma_709(*rgb) - y).alias("gap")).groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("least_gap"), F.max("gap").alias("most_gap"))
+    stored = S.limited(C("y"))
+    return rows.select("y", "n", stored.alias("stored"), S.stretched(stored).alias("right"), (stored - C("y")).alias("shown_as_full"), (S.stretched(C("y")) - C("y")).alias("full_as_limited"), "least_gap", "most_gap")
+
+
+RANGE = f"""WITH {T.PIXELS}, l AS (SELECT CAST(floor(greatest(0, least(255, CAST(0.299 AS DOUBLE) * r + CAST(0.587 AS DOUBLE) * g + CAST(0.114 AS DOUBLE) * b + 0.5))) AS INT) AS y,
+ CAST(greatest(0, least(255, round(CAST(0.2126 AS DOUBLE) * r + CAST(0.7152 AS DOUBLE) * g + CAST(0.0722 AS DOUBLE) * b))) AS INT) AS w FROM px), g AS (SELECT y, count(*) AS n, min(w - y) AS least_gap, max(w - y) AS most_gap FROM l GROUP BY y),
+s AS (SELECT *, CAST(round(16 + y * 219 / 255.0::DOUBLE) AS INT) AS stored FROM g)
+SELECT y, n, stored, CAST(greatest(0, least(255, round((stored - 16) * 255 / 219.0::DOUBLE))) AS INT) AS "right", stored - y AS shown_as_full, CAST(greatest(0, least(255, round((y - 16) * 255 / 219.0::DOUBLE))) AS INT) - y AS full_as_limited, least_gap, most_gap FROM s"""
+
+
 def box_downsample(spark, d):
     """Means of two by two samples, rounded and truncated, in the array of the block."""
     at = lambda i, dy, dx: F.get(C("v"), S.shift(i, 2) * 16 + i.bitwiseAND(3) * 2 + 8 * dy + dx)
@@ -146,6 +163,7 @@ LEVEL = f"""WITH l(rank, level, max_fs, max_mbps) AS (VALUES {_levels()}), p AS
 SELECT p_partkey, fs, fps, arg_min(level, rank) AS level FROM p LEFT JOIN l ON fs <= max_fs AND fs * fps <= max_mbps GROUP BY ALL"""
 
 QUERIES = {
+    "px_range_mismatch": (range_mismatch, RANGE),
     "px_ycbcr": (ycbcr, YCBCR), "px_rgb_back": (rgb_back, RGB_BACK), "px_luma_variants": (luma_variants, LUMA), "px_box_downsample": (box_downsample, BOX), "px_chroma_upsample": (chroma_upsample, UPSAMPLE),
     "px_psnr": (psnr, PSNR), "px_finite_psnr": (finite_stats, FINITE), "px_region": (region, REGION), "px_text_rows": (text_rows, TEXT), "px_bits_per_pixel": (bits_per_pixel, BPP), "px_level_limits": (level_limits, LEVEL),
 }

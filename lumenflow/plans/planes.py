@@ -97,6 +97,26 @@ SELECT plane, count(*) AS blocks, 1089 AS full_points, round(sum(looked)::DOUBLE
  round(1089.0::DOUBLE * count(*) / sum(points)::DOUBLE, 4) AS speedup, round(sum(sad)::DOUBLE / nullif(sum(full_sad)::DOUBLE, 0), 6) AS sad_ratio, count_if(same) AS same FROM j GROUP BY plane"""
 
 
+def costs(spark, d):
+    """SAD and SATD of every macroblock against the plane at its own place, and at the place that the moved copy came from."""
+    p = pictures(spark, d)
+    at = lambda dx, dy: P.macroblock(C("w"), dx, dy)
+    zero = F.lit(0)
+    j = p.select(*KEEP, "cur", at(zero, zero).alias("here"), at(-(C("plane") % 11 - 5), -(C("plane") % 7 - 3)).alias("there"))
+    return j.select(*KEEP, *[f("cur", c).alias(f"{n}_{c}") for n, f in (("sad", lambda a, b: P.sad16(C(a), C(b))), ("satd", lambda a, b: P.satd16(C(a), C(b)))) for c in ("here", "there")])
+
+
+def _cost_sql() -> str:
+    h = "[" + ", ".join(map(str, P.HADAMARD)) + "]"
+    place = {"here": ("c.y", "c.x"), "there": ("c.y - (c.plane % 7 - 3)", "c.x - (c.plane % 11 - 5)")}
+    parts = ", ".join(f"""{n} AS (SELECT c.plane, c.y // 4 AS v, c.x // 4 AS u, list(c.s - r.s ORDER BY c.k) AS a FROM cur c JOIN plane r ON r.plane = c.plane AND r.k = greatest(0, least(63, {y})) * 64 + greatest(0, least(63, {x})) GROUP BY ALL),
+cost_{n} AS (SELECT plane, v // 4 AS y, u // 4 AS x, sum(list_sum(list_transform(a, lambda e: abs(e)))) AS sad, sum((list_sum(list_transform(range(16), lambda k: abs(list_sum(list_transform(range(16), lambda i: {h}[k * 16 + i + 1] * a[i + 1])))))::BIGINT + 1) >> 1) AS satd FROM {n} GROUP BY ALL)""" for n, (y, x) in place.items())
+    return f"WITH RECURSIVE {CURRENT}, {parts} SELECT plane, CAST(h.y AS INT) AS y, CAST(h.x AS INT) AS x, CAST(h.sad AS INT) AS sad_here, CAST(t.sad AS INT) AS sad_there, CAST(h.satd AS INT) AS satd_here, CAST(t.satd AS INT) AS satd_there FROM cost_here h JOIN cost_there t USING (plane, y, x)"
+
+
+COSTS = _cost_sql()
+
+
 def sql_quarter(get: str, fx: str, fy: str) -> str:
     """A quarter sample as SQL; ``get`` has {0} and {1} for the steps down and right of a whole sample."""
     g = lambda y, x: get.format(y, x)
@@ -184,4 +204,4 @@ fin AS (SELECT plane, n AS x, unnest(range(64)) AS y, unnest(l) AS s FROM down W
 DEBLOCKED = f"WITH RECURSIVE {T.PLANES}, {_passes(False)} SELECT plane, CAST(y // 16 AS INT) AS y, CAST(x // 16 AS INT) AS x, string_agg(s, ',' ORDER BY fin.y, fin.x) AS samples FROM fin GROUP BY plane, fin.y // 16, fin.x // 16"
 CHROMA = f"WITH RECURSIVE {T.PLANES}, {_passes(True)} SELECT plane, CAST(y // 16 AS INT) AS y, CAST(x // 16 AS INT) AS x, CAST(sum(s) AS INT) AS total, CAST(sum(s * (fin.y % 16 * 16 + fin.x % 16 + 1)) AS INT) AS weighted FROM fin GROUP BY plane, fin.y // 16, fin.x // 16"
 
-QUERIES = {"plane_moved": (moved_text, MOVED), "plane_full_search": (full, FULL_SQL), "plane_diamond": (diamond, DIAMOND_SQL), "plane_search_summary": (summary, SUMMARY), "plane_compensated": (compensated, COMPENSATED), "plane_deblocked": (deblocked, DEBLOCKED), "plane_deblocked_chroma": (deblocked_chroma, CHROMA)}
+QUERIES = {"plane_moved": (moved_text, MOVED), "plane_block_costs": (costs, COSTS), "plane_full_search": (full, FULL_SQL), "plane_diamond": (diamond, DIAMOND_SQL), "plane_search_summary": (summary, SUMMARY), "plane_compensated": (compensated, COMPENSATED), "plane_deblocked": (deblocked, DEBLOCKED), "plane_deblocked_chroma": (deblocked_chroma, CHROMA)}
