@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenflow.functions import dims
+from lumenflow.functions import dims, exif
 from lumenflow.functions import scalar as S
 from lumenflow.operators import jpeg, prediction
 from lumenflow.operators import planes as P
@@ -174,4 +174,16 @@ MADE_SQL = f"""WITH RECURSIVE {T.PLANES}, lcg(plane, k, s) AS (SELECT DISTINCT p
 px AS (SELECT plane, k // 3 // {MADE[0]} AS y, k // 3 % {MADE[0]} AS x, list((s >> 16 & 32767) % 7 - 3 ORDER BY k) AS n FROM lcg GROUP BY ALL)
 SELECT plane, CAST(y AS INT) AS y, string_agg({_MADE(0, 220, 40)} || {_MADE(1, 60, 90)} || {_MADE(2, 50, 200)}, '' ORDER BY x) AS rgb FROM px GROUP BY plane, y"""
 
-QUERIES = {"picture_coded_frames": (coded_frames, CODED), "picture_made": (made, MADE_SQL), "jpeg_segments": (segments, SEGMENTS), "jpeg_scans": (scans, SCANS), "jpeg_decoded": (decoded, DECODED), "jpeg_distortion": (distortion, DISTORTION)}
+def tags(spark, d):
+    """EXIF tags of pictures of parts, written in either byte order and read again: the maker, the model, the name as software, the size as
+    a text that fits into its entry; some have none."""
+    p = T.read(spark, d, "part")
+    texts = {0x010F: C("p_type"), 0x0110: C("p_brand"), 0x0131: C("p_name"), 0x0132: F.when(C("p_size") % 3 != 0, C("p_size").cast("string"))}
+    bodies = p.select(C("p_partkey").alias("path"), exif.written(texts, C("p_partkey") % 2 == 0).alias("body"))
+    return exif.read(bodies).select(C("path").cast("long").alias("p_partkey"), "tag", "name", "value", "error")
+
+
+TAGS = """WITH t AS (SELECT p_partkey, 271 AS tag, 'Make' AS name, p_type AS value FROM part UNION ALL SELECT p_partkey, 272, 'Model', p_brand FROM part UNION ALL SELECT p_partkey, 305, 'Software', p_name FROM part
+  UNION ALL SELECT p_partkey, 306, 'DateTime', CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS VARCHAR) END FROM part) SELECT p_partkey, tag, name, value, CAST(NULL AS VARCHAR) AS error FROM t WHERE value IS NOT NULL"""
+
+QUERIES = {"picture_exif": (tags, TAGS), "picture_coded_frames": (coded_frames, CODED), "picture_made": (made, MADE_SQL), "jpeg_segments": (segments, SEGMENTS), "jpeg_scans": (scans, SCANS), "jpeg_decoded": (decoded, DECODED), "jpeg_distortion": (distortion, DISTORTION)}

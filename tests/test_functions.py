@@ -152,3 +152,16 @@ def test_streaming_rate(spark, tmp_path):
 def test_intra_flat(spark):
     made = P.intra4([F.lit(50)] * 8, [F.lit(50)] * 4, F.lit(50))
     assert set(one(spark, *[F.array(*p) for p in made.values()])[0]) == {50} and len(made) == 9
+
+
+def test_exif(spark):
+    """Long and short texts in both byte orders, and bodies that are cut."""
+    from lumenflow.functions import exif
+
+    rows = spark.createDataFrame([("a", "Canon", "x", True), ("b", "Canon", "x", False), ("c", None, "", False)], "path string, make string, model string, big boolean")
+    bodies = rows.select("path", exif.written({0x0110: F.col("model"), 0x010F: F.col("make")}, F.col("big")).alias("body"))
+    assert sorted((r.path, r.name, r.value) for r in exif.read(bodies).collect()) == [("a", "Make", "Canon"), ("a", "Model", "x"), ("b", "Make", "Canon"), ("b", "Model", "x"), ("c", "Model", "")]
+    whole = {r.path: bytes(r.body) for r in bodies.collect()}
+    assert whole["a"][6:14] == b"MM\0*\0\0\0\x08" and whole["b"][6:14] == b"II*\0\x08\0\0\0"
+    cut = spark.createDataFrame([("d", whole["a"][:-3]), ("e", whole["b"][:20]), ("f", b"JFIF"), ("g", None)], "path string, body binary")
+    assert {(r.path, r.error) for r in exif.read(cut).collect() if r.error} == {("d", "value beyond the body"), ("e", "truncated directory"), ("f", "no EXIF"), ("g", "no EXIF")}
