@@ -139,3 +139,33 @@ def test_unique_near(spark, table):
 def test_shingle_sets():
     sets = shingle_sets([b"", b"a b", b"a b c d e", b"A B C D E f", b"a b c d e a b c d e"])
     assert [len(s) for s in sets] == [0, 1, 1, 2, 5] and sets[2][0] in sets[3] and sets[1][0] not in sets[3]
+
+
+def test_recall_near_the_bound(spark):
+    """5,200 texts, half of them copies with a similarity from 0.745 to 0.8: nearly all links of full sets are found, and none beside."""
+    r = random.Random(11)
+    texts = []
+    for _ in range(2600):
+        t = [f"w{r.randrange(4000)}" for _ in range(r.randint(80, 400))]
+        n = len(t) - 4
+        like = r.uniform(0.745, 0.8)
+        edits = max(1, round(n * (1 - like) / (1 + like) / 5))  # a replaced word changes five shingles
+        gap = max(5, len(t) // (edits + 1))
+        copy = list(t)
+        for k in range(gap // 2, min(len(t), gap // 2 + gap * edits), gap):
+            copy[k] = f"x{r.randrange(10**9)}"
+        texts += [t, copy]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    where, both = defaultdict(list), defaultdict(int)
+    for i, q in enumerate(sets):
+        for g in q:
+            where[g].append(i)
+    for ids in where.values():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                both[a, b] += 1
+    links = {p for p, n in both.items() if 100 * n >= 75 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_dedup.near_components(docs).collect()}
+    assert len(links) > 1500 and sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)
+    assert all(got[i] != got[i + 1] for i in range(0, len(texts), 2) if (i, i + 1) not in links)
