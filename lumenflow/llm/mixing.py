@@ -5,14 +5,18 @@ of M slots may start no earlier than slot floor(k * M / m) and must be over by s
 first over released blocks meets every deadline, so at any time each source is less than one block away from its target. The
 windows repeat after M slots, so the schedule of M slots is made once, in one small row, and every block looks its slot up.
 
-Targets are whole numbers of UNITS slots: weights that are multiples of 1 / UNITS of their sum are met exactly, others to the nearest
-such multiple. A positive weight has one slot at least. A source of weight 0 has no slot among the others: it comes after them.
+Weights that are given are met exactly where their ratio is one of whole numbers that add up to EXACT slots at most (0.7, 0.2, 0.1 or
+thirds, or 0.0001 of the whole): the cycle is that sum. Beyond, and for the targets that are made of the rows, a cycle has about UNITS slots and targets are
+the nearest multiples of one of them. A positive weight has one slot at least. A source of weight 0 has no slot among the others: it
+comes after them.
 """
 
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 from itertools import accumulate
+from math import gcd, lcm
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
@@ -20,13 +24,28 @@ from pyspark.sql import functions as F
 
 from lumenflow.llm.common import small, stored, table
 
-#: Slots that are dealt out by weight before the schedule repeats: the resolution of targets.
+#: Slots that are dealt out by weight before the schedule repeats: the resolution of targets that no shorter cycle meets exactly.
 UNITS = 4096
+#: Slots of the longest cycle that meets weights exactly: one task makes it.
+EXACT = 32768
 BLOCK_ROWS = 16
 #: Rows of a source that are ordered together, about.
 RUN_ROWS = 256
 
 
+def ratio(weights: dict[str, float]) -> dict[str, int] | None:
+    """The smallest whole numbers in the ratio of the weights, which are read as fractions of denominators up to a million; None where they
+    add up to more than EXACT."""
+    parts = {k: Fraction(v).limit_denominator(10**6) for k, v in weights.items()}
+    if any(v > 0 and not parts[k] for k, v in weights.items()):
+        return None
+    common = lcm(*(p.denominator for p in parts.values()))
+    whole = {k: int(p * common) for k, p in parts.items()}
+    least = gcd(*whole.values()) or 1
+    whole = {k: n // least for k, n in whole.items()}
+    return whole if sum(whole.values()) <= EXACT else None
+
+
 def shares(counts: DataFrame, weights: dict[str, float] | None = None, units: int = UNITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(source, n, m, cycle, after): m of cycle slots are the source's; the slots from ``after`` on are free for it once the others
     have ended. Without weights, targets go with the square root of a source's rows, which lifts small sources against large ones.
@@ -34,7 +53,12 @@ def shares(counts: DataFrame, weights: dict[str, float] | None = None, units: in
     if weights is None:
         w = F.floor(1000 * F.sqrt("n"))
     else:
-        pairs = [F.lit(x) for k, v in weights.items() for x in (k, round(v * 1e6))]
+        there = {r[0] for r in counts.filter(F.col("source").isin(list(weights))).select("source").collect()}  # no more than weights names
+        whole = ratio({k: v for k, v in weights.items() if k in there})
+        if whole and sum(whole.values()):
+            units = sum(whole.values())
+        given = whole or {k: round(v * 1e6) or int(v > 0) for k, v in weights.items()}
+        pairs = [F.lit(x) for k, v in given.items() for x in (k, v)]
         w = F.coalesce(F.create_map(*pairs)[F.col("source")], F.lit(0)) if pairs else F.lit(1)
     out = counts.withColumn("w", w.cast("long"))
     total = F.greatest(F.lit(1), F.coalesce(F.sum("w"), F.lit(0))).alias("total")

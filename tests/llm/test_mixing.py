@@ -49,6 +49,32 @@ def test_small_weights(spark):
     assert got == {"a": (4091, 4096), "b": (4, 4096), "c": (1, 4096)}
 
 
+@pytest.mark.parametrize("weights, want", [({"a": 0.7, "b": 0.2, "c": 0.1}, (7, 2, 1)), ({"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, (1, 1, 1)), ({"a": 0.9998, "b": 0.0001, "c": 0.0001}, (9998, 1, 1)), ({"a": 5, "b": 0, "c": 10}, (1, 0, 2))])
+def test_exact_weights(spark, weights, want):
+    """The cycle is the sum of the smallest whole numbers in the ratio; a source that is not there takes no part."""
+    counts = spark.createDataFrame([(s, 10**9) for s in "abc"], "source string, n long")
+    got = {r.source: (r.m, r.cycle) for r in mixing.shares(counts, weights | {"gone": 0.1234567}).collect()}
+    assert got == {s: (m, sum(want)) for s, m in zip("abc", want, strict=True)}
+
+
+def test_no_drift(spark):
+    """Weights of 1 to 9,999, and ones without a common measure that is small enough: the pattern is within one block of its targets at each
+    slot, over three cycles. Beyond EXACT the targets themselves are multiples of a slot."""
+    counts = spark.createDataFrame([(s, 10**9) for s in "ab"], "source string, n long")
+    for weights in ({"a": 0.9999, "b": 0.0001}, {"a": 2**0.5, "b": 3**0.5}):
+        share = mixing.shares(counts, weights)
+        m = {r.source: (r.m, r.cycle) for r in share.collect()}
+        at = {s: [] for s in "ab"}
+        for r in mixing.pattern(share).collect():
+            at[r.source].append(r.at)
+        for s, slots in at.items():
+            n, cycle = m[s]
+            slots = sorted(x + k * cycle for k in range(3) for x in slots)
+            assert len(slots) == 3 * n and all(k * cycle // n <= x < -(-(k + 1) * cycle // n) for k, x in enumerate(slots))
+        target = {s: w / sum(weights.values()) for s, w in weights.items()}
+        assert all(abs(n / cycle - target[s]) < (1e-12 if weights["a"] < 1 else 1 / 4096) for s, (n, cycle) in m.items())
+
+
 def test_ties(spark):
     """Rows that repeat an id have an order of their own, whatever the partitioning."""
     rows = [(i % 3, "s", f"t{i}") for i in range(60)]
