@@ -117,30 +117,55 @@ def roots(tokens: DataFrame) -> DataFrame:
     return tokens.select("id", "sketch").mapInArrow(run, "node long, id long")
 
 
-def branches(large: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(node, id, pivot, like, children) of (node, id, pivot): whether a document has MATCHES tokens of the node's first one, and
-    the one or two children that it goes on to. A document meets the same first document in many nodes: they are compared once."""
+def _sketched(large: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(id, pivot, nodes, sketch) of (node, id, pivot): the nodes of a document that have the same first document are one row."""
+    met = large.repartition("id").groupBy("id", "pivot").agg(F.collect_list("node").alias("nodes"))  # as many as there are ways down, at most
+    return met.join(tokens, "id").select("id", "pivot", "nodes", "sketch")
+
+
+def likenesses(large: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Two kinds of rows out of (node, id, pivot): (id, pivot) of the documents that have MATCHES tokens of a first document before them,
+    and (node, likes, n), how many of the n documents of a node have so many, itself included.
+
+    A document meets the same first document in many nodes: they are compared once. Nodes are counted by each batch before any row is
+    made: a large node is a few rows, and who is in it is known already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.int64()), ("pivot", pa.int64()), ("node", pa.int64()), ("likes", pa.int64()), ("n", pa.int64())])
         for batch in batches:
-            t, first_ = _tokens(batch.column(3)), _tokens(batch.column(4))
+            ids, pivots = (c.to_numpy() for c in batch.columns[:2])
+            like = (_tokens(batch.column(3)) == _tokens(batch.column(4))).sum(1) >= MATCHES
             lists = batch.column(2)
+            of = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+            node, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            likes, n = np.bincount(place, like[of], len(node)).astype(np.int64), np.bincount(place, minlength=len(node))
+            star = like & (ids > pivots)
+            none = lambda k: pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays([_ids(ids[star]), _ids(pivots[star]), *[none(int(star.sum()))] * 3], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[none(len(node))] * 2, _ids(node), _ids(likes), _ids(n)], schema=schema)
+
+    # A third of all documents can have one first document: its sketch is repeated for SALTS parts of them.
+    firsts = tokens.join(large.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("sketch").alias("first"))
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = _sketched(large, tokens).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(firsts, ["pivot", "salt"])
+    return rows.select("id", "pivot", "nodes", "sketch", "first").mapInArrow(run, "id long, pivot long, node long, likes long, n long")
+
+
+def branches(large: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(node, id): the one or two children that each document of a node (node, id, pivot) goes on to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, lists = _tokens(batch.column(3)), batch.column(2)
             of = np.repeat(np.arange(len(t)), np.diff(lists.offsets.to_numpy()))
             node = lists.flatten().to_numpy().view(np.uint64)
             first, second, two = _picks(node)
             both = np.stack([_child(node, p, t[of, p]) for p in (first, second)], 1)
             taken = np.stack([np.ones(len(node), bool), two], 1)
-            at = np.concatenate(([0], np.cumsum(taken.sum(1))))
-            children = pa.ListArray.from_arrays(pa.array(at, pa.int32()), _ids(both[taken]))
-            ids, pivots = (c.take(pa.array(of)) for c in batch.columns[:2])
-            yield pa.RecordBatch.from_arrays([_ids(node), ids, pivots, pa.array(((t == first_).sum(1) >= MATCHES)[of]), children], ["node", "id", "pivot", "like", "children"])
+            ids = np.repeat(batch.column(0).to_numpy()[of], taken.sum(1))
+            yield pa.RecordBatch.from_arrays([_ids(both[taken]), _ids(ids)], ["node", "id"])
 
-    # A third of all documents can have one first document: its sketch is repeated for SALTS parts of them.
-    firsts = tokens.join(large.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("sketch").alias("first"))
-    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = large.repartition("id").groupBy("id", "pivot").agg(F.collect_list("node").alias("nodes"))  # as many as there are ways down, at most
-    rows = met.join(tokens, "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(firsts, ["pivot", "salt"])
-    return rows.select("id", "pivot", "nodes", "sketch", "first").mapInArrow(run, "node long, id long, pivot long, like boolean, children array<long>")
+    return _sketched(large, tokens).mapInArrow(run, "node long, id long")
 
 
 def node_pairs(rows: DataFrame) -> DataFrame:
@@ -190,17 +215,17 @@ def candidates(tokens: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         large = rows.filter(f"n > {NODE}")
         if large.isEmpty():
             break
-        met = stored(branches(large, tokens))
-        stars.append(met.filter("like and id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-        alike = stored(met.groupBy("node").agg(F.avg(F.col("like").cast("int")).alias("share")), even=True)
+        met = stored(likenesses(large, tokens))
+        stars.append(met.filter("node is null").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         if level < LEVELS - 1:
+            alike = stored(met.filter("node is not null").groupBy("node").agg((F.sum("likes") / F.sum("n")).alias("share")), even=True)
             mixed = alike.filter(f"share < {COHERENT}").select("node")
-            rest.append(met.join(alike.filter(f"share >= {COHERENT}").select("node"), "node").select("node", "id"))
+            rest.append(large.join(alike.filter(f"share >= {COHERENT}").select("node"), "node").select("node", "id"))
             if mixed.isEmpty():
                 break
-            frontier = met.join(mixed, "node").select(F.explode("children").alias("node"), "id")
+            frontier = stored(branches(large.join(mixed, "node"), tokens))
         else:
-            rest.append(met.select("node", "id"))
+            rest.append(large.select("node", "id"))
     pairs = node_pairs(_all(few).join(tokens, "id"))
     return stored(_all([pairs, *stars]).distinct(), even=True), _all(rest) if rest else None
 
