@@ -72,13 +72,18 @@ def _turns(spark, d):
 
 
 def annexb(spark, d):
-    """Conversations written as Annex B streams, a turn a unit, and split again."""
-    return containers.annexb(sinks.annexb(_turns(spark, d))).select(C("path").cast("long").alias("conv_id"), "idx", C("offset").cast("long").alias("offset"), C("size").cast("int").alias("size"), "ref_idc", "type_id", "name", F.lower(F.hex("rbsp")).alias("rbsp"))
+    """Conversations written as Annex B streams, a turn a unit, and split again. Each byte of a text counts by its low two bits, so that units
+    are full of what needs an escape."""
+    digits = F.expr(LOW_BITS.format("rbsp", "$1", ""))
+    units = _turns(spark, d).withColumn("rbsp", B.raw(F.replace(F.translate(digits, "123", "\x01\x02\x03"), F.lit("0"), F.lit("\x00"))))
+    return containers.annexb(sinks.annexb(units)).select(C("path").cast("long").alias("conv_id"), "idx", C("offset").cast("long").alias("offset"), C("size").cast("int").alias("size"), "ref_idc", "type_id", "name", F.lower(F.hex("rbsp")).alias("rbsp"))
 
 
 TURNS = "t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS idx, turn, encode(coalesce(text, '')) AS rbsp FROM conversations)"
-ANNEXB = f"""WITH {TURNS} SELECT conv_id, CAST(idx AS INT) AS idx, CAST(coalesce(sum(5 + octet_length(rbsp)) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 4 AS BIGINT) AS "offset",
-CAST(1 + octet_length(rbsp) AS INT) AS size, CAST(turn % 4 AS INT) AS ref_idc, CAST(1 + turn % 8 AS INT) AS type_id, ['SLICE', 'DPA', 'DPB', 'DPC', 'IDR', 'SEI', 'SPS', 'PPS'][1 + turn % 8] AS name, lower(hex(rbsp)) AS rbsp FROM t"""
+ANNEXB = f"""WITH {TURNS}, p AS (SELECT conv_id, idx, turn, {LOW_BITS.format("rbsp", chr(92) + "1", ", 'g'")} AS s FROM t), r AS (SELECT *, regexp_replace(s, '00', '003', 'g') AS e FROM p),
+u AS (SELECT conv_id, idx, turn, s, length(e) - CASE WHEN e LIKE '%003' THEN 1 ELSE 0 END AS n FROM r)
+SELECT conv_id, CAST(idx AS INT) AS idx, CAST(coalesce(sum(5 + n) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 4 AS BIGINT) AS "offset",
+CAST(1 + n AS INT) AS size, CAST(turn % 4 AS INT) AS ref_idc, CAST(1 + turn % 8 AS INT) AS type_id, ['SLICE', 'DPA', 'DPB', 'DPC', 'IDR', 'SEI', 'SPS', 'PPS'][1 + turn % 8] AS name, regexp_replace(s, '(.)', '0\\1', 'g') AS rbsp FROM u"""
 
 
 def avi(spark, d):
