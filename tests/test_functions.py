@@ -165,3 +165,26 @@ def test_exif(spark):
     assert whole["a"][6:14] == b"MM\0*\0\0\0\x08" and whole["b"][6:14] == b"II*\0\x08\0\0\0"
     cut = spark.createDataFrame([("d", whole["a"][:-3]), ("e", whole["b"][:20]), ("f", b"JFIF"), ("g", None)], "path string, body binary")
     assert {(r.path, r.error) for r in exif.read(cut).collect() if r.error} == {("d", "value beyond the body"), ("e", "truncated directory"), ("f", "no EXIF"), ("g", "no EXIF")}
+
+
+def test_sessions(spark, tmp_path):
+    """Runs of frames end at a pause that is longer than the gap, in a table and in a stream alike."""
+    rows = [(s, minute) for s, minutes in ((1, (0, 3, 7, 20, 24)), (2, (5, 11, 30))) for minute in minutes]
+    table = spark.createDataFrame(rows, "stream long, m long").select("stream", F.timestamp_seconds(F.col("m") * 60).alias("ts"))
+    want = {(1, 0, 12, 3), (1, 20, 29, 2), (2, 5, 10, 1), (2, 11, 16, 1), (2, 30, 35, 1)}
+    shown = lambda df: {(r.stream, r.start // 60, r.end // 60, r.n) for r in df.select("stream", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n").collect()}
+    assert shown(live.sessions(table)) == want
+    table.unionByName(spark.createDataFrame([(9, 600)], "stream long, m long").select("stream", F.timestamp_seconds(F.col("m") * 60).alias("ts"))).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = live.sessions(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("runs").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert shown(spark.table("runs")) == want  # the last one closes when time has gone on
+
+
+@pytest.mark.parametrize("name", ["h264_forward", "h264_roundtrip", "h264_dc_hadamard", "motion_half_sample", "motion_chroma_eighth", "px_box_downsample", "blk_huffman_text"])
+def test_blocks_without_shuffle(spark, name):
+    """What happens within a block needs no exchange and no Python."""
+    from lumenflow import plans
+
+    plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
