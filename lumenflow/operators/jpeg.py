@@ -175,6 +175,53 @@ def headers(files: DataFrame) -> DataFrame:
     return g.select("path", "width", "height", "sof", "sos", F.coalesce("restart", F.lit(0)).alias("restart"), bytes_("quant").alias("quant"), bytes_("huff").alias("huff"), "scan", "exif", F.coalesce("error", lacks).alias("error"))
 
 
+def _listed(heads: DataFrame, column: str, step, schema: str) -> DataFrame:
+    """Rows that a small generator finds in the segments of a kind, by file and segment."""
+    rows = heads.select("path", F.posexplode(column).alias("segment", "body"))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(p, k, *r) for p, k, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in step(b)]
+            if out:
+                p, k, *rest = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(k, pa.int32()), *[pa.array(c, pa.int32()) for c in rest]], ["path", "segment", *names])
+
+    return rows.select(F.col("path").cast("string").alias("path"), "segment", "body").mapInArrow(run, f"path string, segment int, {schema}")
+
+
+def quant_tables(heads: DataFrame) -> DataFrame:
+    """(path, segment, id, bits, v, u, step): the quantisation steps of every table, in place; a segment can hold several tables of 8 or 16
+    bits a step. One that is cut ends the segment."""
+
+    def step(b: bytes) -> Iterator[tuple]:
+        at = 0
+        while at < len(b):
+            size = 2 if b[at] >> 4 else 1
+            body = b[at + 1 : at + 1 + 64 * size]
+            if len(body) < 64 * size:
+                return
+            for k, place in enumerate(dims.zigzag()):
+                yield b[at] & 15, 8 * size, place // 8, place % 8, int.from_bytes(body[k * size : (k + 1) * size], "big")
+            at += 1 + 64 * size
+
+    return _listed(heads, "quant", step, "id int, bits int, v int, u int, step int")
+
+
+def huffman_tables(heads: DataFrame) -> DataFrame:
+    """(path, segment, class, id, length, codes): how many codes of each length every Huffman table has; class 0 is DC, 1 is AC."""
+
+    def step(b: bytes) -> Iterator[tuple]:
+        at = 0
+        while at + 17 <= len(b):
+            counts = b[at + 1 : at + 17]
+            for n, c in enumerate(counts, 1):
+                yield b[at] >> 4, b[at] & 15, n, c
+            at += 17 + sum(counts)
+
+    return _listed(heads, "huff", step, "class int, id int, length int, codes int")
+
+
 class _Bits:
     """Bits of an unstuffed segment, highest first; ones beyond its end."""
 

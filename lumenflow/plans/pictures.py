@@ -53,6 +53,22 @@ def scans(spark, d):
     return _named(containers.jpeg_markers(files(spark, d))).filter("name = 'scan'").select("plane", "sampling", C("length").alias("bytes"), F.hex("body").alias("scan"))
 
 
+def heads(spark, d):
+    """What the heads of every file say: size, sampling of the components, tables, restarts, EXIF."""
+    h = _named(jpeg.headers(files(spark, d)))
+    return h.select("plane", "width", "height", F.hex("sof").alias("frame"), F.hex("sos").alias("scan"), F.size("quant").alias("quant"), F.size("huff").alias("huff"), "restart", F.octet_length("scan").alias("bytes"), "exif", "error")
+
+
+def quant_tables(spark, d):
+    """Quantisation steps read out of every file."""
+    return _named(jpeg.quant_tables(jpeg.headers(files(spark, d)))).select("plane", "segment", "id", "bits", "v", "u", "step")
+
+
+def huffman_tables(spark, d):
+    """Codes by length of the Huffman tables of every file."""
+    return _named(jpeg.huffman_tables(jpeg.headers(files(spark, d)))).select("plane", "segment", "class", "id", "length", "codes")
+
+
 def decoded(spark, d):
     """Lines of the pictures that come out of the files."""
     px = _named(jpeg.decode(files(spark, d)))
@@ -111,6 +127,10 @@ def _layout() -> str:
 SEGMENTS = f"""{SCAN}, {_layout()} SELECT plane, k, name, CAST(place AS BIGINT) AS "offset", n AS length, CAST(NULL AS VARCHAR) AS error FROM scan, head
 UNION ALL SELECT plane, k, 'scan', CAST(place AS BIGINT), CAST(length(scan) // 2 AS INT), CAST(NULL AS VARCHAR) FROM scan, tail"""
 
+HEADS = f"""{SCAN} SELECT plane, 64 AS width, 64 AS height, '080040004003' || '01' || w || h || '00' || '021101' || '031101' AS frame, '0301000211031100' || '3F00' AS scan, 2 AS quant, 4 AS huff, 0 AS restart, CAST(length(scan.scan) // 2 AS INT) AS bytes, false AS exif, CAST(NULL AS VARCHAR) AS error FROM scan JOIN size USING (plane)"""
+QUANT = f"WITH {T.BLOCKS}, {_STEP} SELECT plane, k AS segment, k AS id, 8 AS bits, v, u, s AS step FROM (SELECT DISTINCT id // 64 AS plane FROM blocks), step"
+HUFF = f"WITH {T.BLOCKS}, n(segment, class, id, length, codes) AS (VALUES " + ", ".join(f"({k}, {c}, {i}, {n}, {m})" for k, (c, i, t) in enumerate(((0, 0, "dc_luma"), (1, 0, "ac_luma"), (0, 1, "dc_chroma"), (1, 1, "ac_chroma"))) for n, m in enumerate(dims.HUFFMAN[t][0], 1)) + ") SELECT plane, segment, class, n.id, length, codes FROM (SELECT DISTINCT id // 64 AS plane FROM blocks), n"
+
 #: Chroma grows along columns, then along lines: a place between two samples is a quarter from the nearer one.
 _GROW = lambda name, source, axis, factor: f"""{name} AS (SELECT o.plane, o.comp, o.o AS {axis}, o.{'x' if axis == 'y' else 'y'}, a.s * (1 - p) + b.s * p AS s
   FROM (SELECT plane, comp, {'x' if axis == 'y' else 'y'}, o, CAST(floor(t) AS BIGINT) AS low, t - floor(t) AS p, n FROM (SELECT *, greatest(0, least(n - 1, (o + 0.5::DOUBLE) / {factor} - 0.5::DOUBLE)) AS t FROM (SELECT DISTINCT plane, comp, {'x' if axis == 'y' else 'y'}, {factor}, 64 // {factor} AS n, unnest(range(64)) AS o FROM {source} JOIN size USING (plane)))) o
@@ -186,4 +206,4 @@ def tags(spark, d):
 TAGS = """WITH t AS (SELECT p_partkey, 271 AS tag, 'Make' AS name, p_type AS value FROM part UNION ALL SELECT p_partkey, 272, 'Model', p_brand FROM part UNION ALL SELECT p_partkey, 305, 'Software', p_name FROM part
   UNION ALL SELECT p_partkey, 306, 'DateTime', CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS VARCHAR) END FROM part) SELECT p_partkey, tag, name, value, CAST(NULL AS VARCHAR) AS error FROM t WHERE value IS NOT NULL"""
 
-QUERIES = {"picture_exif": (tags, TAGS), "picture_coded_frames": (coded_frames, CODED), "picture_made": (made, MADE_SQL), "jpeg_segments": (segments, SEGMENTS), "jpeg_scans": (scans, SCANS), "jpeg_decoded": (decoded, DECODED), "jpeg_distortion": (distortion, DISTORTION)}
+QUERIES = {"picture_exif": (tags, TAGS), "picture_coded_frames": (coded_frames, CODED), "picture_made": (made, MADE_SQL), "jpeg_segments": (segments, SEGMENTS), "jpeg_heads": (heads, HEADS), "jpeg_quant_tables": (quant_tables, QUANT), "jpeg_huffman_tables": (huffman_tables, HUFF), "jpeg_scans": (scans, SCANS), "jpeg_decoded": (decoded, DECODED), "jpeg_distortion": (distortion, DISTORTION)}
