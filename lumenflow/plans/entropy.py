@@ -37,14 +37,24 @@ def _chroma(spark, d):
     return rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["v"]).alias("z"))
 
 
+def _fours(spark, d):
+    """(id, k, z): all levels of a block by fours. Of its four 4x4 blocks, k from 0 to 15 are four successive levels in zigzag order each, and
+    16 is their first levels, as chroma DC."""
+    z = B.levels4(spark, d).select("id", F.transform("intra", lambda v: v.cast("int")).alias("a")).select("id", X.zigzag("a", 4).alias("z"))
+    rows = z.groupBy(F.expr("id div 4").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct((C("id") % 4).alias("k"), "z"))), lambda e: e["z"]).alias("b"))
+    flat = rows.select("id", F.flatten("b").alias("z"))
+    fours = [F.slice("z", 4 * k + 1, 4) for k in range(16)] + [F.array(*[F.get("z", F.lit(16 * k)) for k in range(4)])]
+    return flat.select("id", F.posexplode(F.array(*fours)).alias("k", "z"))
+
+
 def text(spark, d):
     """Text of every block, and the bits of its parts."""
     return _bits(cavlc.encode(_levels(spark, d)), ["id", "nc"])
 
 
 def chroma_text(spark, d):
-    """Chroma DC of every block."""
-    return _bits(cavlc.encode(_chroma(spark, d), keep=["id"], chroma=True), ["id"])
+    """All levels of every block by fours, in the form of chroma DC; k = 16 is chroma DC itself."""
+    return _bits(cavlc.encode(_fours(spark, d), keep=["id", "k"], chroma=True), ["id", "k"])
 
 
 def _bits(df, keep):
@@ -77,6 +87,8 @@ CONTEXTS = f"""{LEVELS}, grid AS (SELECT id, {T.GRID_OF}, n FROM (SELECT id, cou
 ids AS (SELECT g.*, CAST(CASE WHEN l.n IS NOT NULL AND t.n IS NOT NULL THEN (l.n + t.n + 1) >> 1 ELSE coalesce(l.n, t.n, 0) END AS INT) AS nc FROM grid g LEFT JOIN grid l ON l.plane = g.plane AND l.gy = g.gy AND l.gx = g.gx - 1 LEFT JOIN grid t ON t.plane = g.plane AND t.gx = g.gx AND t.gy = g.gy - 1)"""
 CHROMA = f"{LEVELS.replace('z AS (', 'z4 AS (')}, z AS (SELECT id // 4 AS id, id % 4 AS pos, v FROM z4 WHERE pos = 0), ids AS (SELECT DISTINCT id, -1 AS nc FROM z)"
 
+FOURS = f"""{LEVELS.replace('z AS (', 'z4 AS (')}, z AS (SELECT id // 4 * 17 + id % 4 * 4 + pos // 4 AS id, pos % 4 AS pos, v FROM z4 UNION ALL SELECT id // 4 * 17 + 16 AS id, id % 4 AS pos, v FROM z4 WHERE pos = 0), ids AS (SELECT DISTINCT id, -1 AS nc FROM z)"""
+
 
 def _values(name, rows):
     return f"{name}(a, b, w) AS (VALUES " + ", ".join(f"({a}, {b}, '{w}')" for a, row in enumerate(rows) for b, w in enumerate(row)) + ")"
@@ -105,6 +117,12 @@ SELECT id, {'' if chroma else 'nc, '}CAST(total AS INT) AS total, CAST(ones AS I
  CAST(length(zw) AS INT) AS bits_zero_word, CAST(length(r) AS INT) AS bits_runs, t || sg || l || zw || r AS text FROM parts"""
 
 
+def _fours_sql():
+    """All seventeen fours of a block, whose numbers go with the block's."""
+    head, cut, tail = _sql(True).replace(CHROMA, FOURS).rpartition("SELECT id, ")
+    return f"{head}SELECT id // 17 AS id, CAST(id % 17 AS INT) AS k, {tail}"
+
+
 def _back(chroma):
     """The levels themselves, and the bits of their text."""
     head, cut, tail = _sql(chroma).rpartition("SELECT id, ")
@@ -113,4 +131,4 @@ def _back(chroma):
 
 PATTERN = f"""WITH {CONTEXTS} SELECT plane * 16 + gy // 4 * 4 + gx // 4 AS mb, CAST(bit_or(CASE WHEN n > 0 THEN 1 << (gy // 2 % 2 * 2 + gx // 2 % 2) ELSE 0 END) AS INT) AS pattern, CAST(count_if(n <> 4 AND nc NOT BETWEEN 4 AND 7) AS BIGINT) AS encodable FROM ids GROUP BY 1"""
 
-QUERIES = {"h264_cavlc": (text, _sql(False)), "h264_cavlc_chroma": (chroma_text, _sql(True)), "h264_cavlc_back": (back, _back(False)), "h264_cavlc_chroma_back": (chroma_back, _back(True)), "h264_coded_pattern": (pattern, PATTERN)}
+QUERIES = {"h264_cavlc": (text, _sql(False)), "h264_cavlc_chroma": (chroma_text, _fours_sql()), "h264_cavlc_back": (back, _back(False)), "h264_cavlc_chroma_back": (chroma_back, _back(True)), "h264_coded_pattern": (pattern, PATTERN)}

@@ -64,3 +64,15 @@ def test_guard(spark):
 def test_pattern(spark):
     df = spark.createDataFrame([(1, 0, 0), (1, 1, 3), (1, 3, 1), (2, 0, 0)], "mb int, part int, n int")
     assert dict(cavlc.coded_pattern(df, ["mb"], "part", "n").collect()) == {1: 10, 2: 0}
+
+
+def test_chroma_text_covers_all_levels(spark):
+    """Sixteen fours and the chroma DC of every block: no level is left out."""
+    from lumenflow.plans import blocks, entropy
+
+    d = "/root/testdata/sf0.001"
+    texts = entropy.chroma_text(spark, d).collect()
+    levels = {r.id: r.intra for r in blocks.levels4(spark, d).select("id", "intra").collect()}
+    assert len(texts) == 17 * len(levels) // 4 and {t.k for t in texts} == set(range(17))
+    assert sum(t.total for t in texts if t.k < 16) == sum(v != 0 for z in levels.values() for v in z)
+    assert sum(t.total for t in texts if t.k == 16) == sum(z[0] != 0 for z in levels.values())
