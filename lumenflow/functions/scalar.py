@@ -133,8 +133,7 @@ def from_se(k: Column) -> Column:
 
 def ue_value(text: Column) -> Column:
     """Value of the Exp-Golomb code that a text of bits begins with; null if it ends too early."""
-    zeros = F.length(F.regexp_extract(text, "^0*", 0))
-    code = F.substring(text, 1, 1)  # keeps the type of the column
+    zeros = F.length(text) - F.length(F.ltrim(text, F.lit("0")))
     code = F.call_function("substring", text, zeros + 1, zeros + 1)
     return F.when(F.length(code) == zeros + 1, F.conv(code, 2, 10).cast("long") - 1)
 

@@ -34,9 +34,10 @@ REFUSED = {"sps": "profile_idc >= 100 or poc_type = 1", "pps": "slice_groups_min
 
 def bits_of(content: Column) -> Column:
     """Bytes as a text of zeros and ones."""
-    nibbles = F.array(*[F.lit(f"{i:04b}") for i in range(16)])
-    digits = F.filter(F.split(F.hex(content), ""), lambda c: c != "")
-    return F.array_join(F.transform(digits, lambda c: F.get(nibbles, F.conv(c, 16, 10).cast("int"))), "")
+    out = F.translate(F.hex(content), "0123456789ABCDEF", "abcdefghijklmnop")
+    for i in range(16):  # letters, so that no digit is replaced twice
+        out = F.replace(out, F.lit("abcdefghijklmnop"[i]), F.lit(f"{i:04b}"))
+    return out
 
 
 def _width(kind: str) -> Column:
@@ -50,7 +51,7 @@ def read(rows: DataFrame, bits: str, fields: list[Field], refused: str = "false"
     for name, kind, condition in fields:
         rest, on = F.col("rest"), F.coalesce(F.expr(condition), F.lit(False)) if condition else F.lit(True)
         if kind in ("ue", "se"):
-            zeros = F.length(F.regexp_extract(rest, "^0*", 0))
+            zeros = F.length(rest) - F.length(F.ltrim(rest, F.lit("0")))
             value, used = S.ue_value(rest), 2 * zeros + 1
             value = S.from_se(value) if kind == "se" else value
         else:

@@ -188,3 +188,15 @@ def test_blocks_without_shuffle(spark, name):
 
     plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_bits_are_named_once(spark):
+    """Packing evaluates what makes the bits once, whatever their length, and gives what plain packing gives."""
+    bits = F.concat(F.lit("1"), F.bin(F.col("id")))
+    plan = spark.range(1).select(B.bits_to_bytes(bits).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bin(id") == 1 and "lambda" not in plan
+    rows = spark.range(70000).select("id", B.bits_to_bytes(F.bin("id"), "0").alias("a"), B.bits_to_bytes(F.bin("id")).alias("b"), B.bits_to_bytes(F.repeat(F.bin("id"), 7)).alias("c"))
+    for r in rows.filter("id % 97 = 0 or id < 300").collect():
+        for got, t, pad in ((r.a, f"{r.id:b}", "0"), (r.b, f"{r.id:b}", "1"), (r.c, 7 * f"{r.id:b}", "1")):
+            t += pad * (-len(t) % 8)
+            assert bytes(got) == int(t, 2).to_bytes(len(t) // 8, "big")
