@@ -60,7 +60,7 @@ def blocks(pictures: DataFrame, sub: int | tuple[int, int] = 2) -> DataFrame:
     h, v = sampling(sub)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in containers.slices(batches):
             for path, width, height, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 planes = _planes(data, width, height, h, v)
                 wide, per = planes[0].shape[1] // (8 * h), h * v + 2
@@ -90,7 +90,7 @@ def transform(rows: DataFrame, quality: int) -> DataFrame:
     steps = np.array([s["luma"], s["chroma"], s["chroma"]], float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in containers.slices(batches, 1024):
             if batch.num_rows:
                 comp = batch.column(1).to_numpy()
                 c = BASIS @ (_matrix(batch.column(3)).reshape(-1, 8, 8) - 128.0) @ BASIS.T
@@ -181,7 +181,7 @@ def _listed(heads: DataFrame, column: str, step, schema: str) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in containers.slices(batches):
             out = [(p, k, *r) for p, k, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in step(b)]
             if out:
                 p, k, *rest = zip(*out, strict=True)
@@ -290,7 +290,7 @@ def coefficients(heads: DataFrame) -> DataFrame:
     seg = seg.select("path", "sof", "sos", "huff", "restart", "width", "height", "k", B.unstuff(B.raw(F.col("s"))).alias("data")).repartition("path", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in containers.slices(batches):
             for path, sof, sos, huff, restart, width, height, k, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 comps = [(sof[6 + 3 * i], sof[7 + 3 * i] >> 4, sof[7 + 3 * i] & 15) for i in range(sof[5])]
                 use = {sos[1 + 2 * i]: sos[2 + 2 * i] for i in range(sos[0])}
@@ -326,7 +326,7 @@ def pictures(heads: DataFrame) -> DataFrame:
     each = rows.groupBy("path").agg(F.collect_list(F.when(F.col("z").isNotNull(), F.struct("pos", "comp", "z"))).alias("b"), F.first("error", ignorenulls=True).alias("bad"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in containers.slices(batches):
             out = []
             for sof, quant, width, height, b in zip(*(c.to_pylist() for c in batch.columns[1:6]), strict=True):
                 out.append(_picture(sof, quant, width, height, b))
@@ -395,7 +395,7 @@ def psnr(a: DataFrame, b: DataFrame) -> DataFrame:
     """(path, psnr) of pictures of equal names, over all samples; infinite for equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in containers.slices(batches):
             pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
             mse = [float(np.mean((np.frombuffer(x, np.uint8).astype(float) - np.frombuffer(y, np.uint8)) ** 2)) for x, y in pairs]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([10 * math.log10(65025 / m) if m else math.inf for m in mse])], ["path", "psnr"])

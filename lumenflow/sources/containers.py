@@ -39,13 +39,24 @@ def annexb(streams: DataFrame) -> DataFrame:
     return out.join(F.broadcast(named), "type_id", "left").withColumn("name", F.coalesce("name", F.format_string("TYPE%d", "type_id")))
 
 
+#: Rows whose Python objects a task holds at a time.
+ROWS = 64
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut into short ones, which share their memory."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _walk(files_: DataFrame, step: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
     """(path, ...) rows that a small generator finds in each file's bytes."""
     types = [f.split()[1] for f in schema.split(", ")]
     arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "map<string,string>": pa.map_(pa.string(), pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = [(path, *r) for r in step(content or b"")]
                 if rows:

@@ -1,6 +1,7 @@
 """Pictures through the JPEG encoder and decoder, and bad files."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,14 @@ def test_packed_bits(spark):
         text += "1" * (-len(text) % 8)
         want = b"".join(bytes([v]) + b"\0" * (v == 255) for v in (int(text[i : i + 8], 2) for i in range(0, len(text), 8)))
         assert got[p] == want
+
+
+def test_tables_are_read_in_short_batches(spark, monkeypatch):
+    """What a task holds of a long batch is bounded: rows come out in short batches, and none is lost."""
+    heads = spark.range(1000).coalesce(1).selectExpr("cast(id as string) AS path", "array(unhex(concat('00', repeat('07', 64))), unhex(concat('01', repeat('0a', 64)))) AS quant")
+    held = []
+    monkeypatch.setattr(type(heads), "mapInArrow", lambda df, run, schema: held.append((df, run)))
+    jpeg.quant_tables(heads)
+    df, run = held[0]
+    out = list(run(iter([pa.RecordBatch.from_pandas(df.toPandas())])))
+    assert sum(b.num_rows for b in out) == 2000 * 64 and max(b.num_rows for b in out) <= 64 * 64
