@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of the caches of one Python worker; a full cache starts anew.
 WORDS, PAIRS = 250_000, 250_000
+#: Texts that a task holds as Python objects at a time.
+ROWS = 64
 #: Positions of a pre-token whose matches are listed at a time.
 SPAN = 4096
 
@@ -201,8 +203,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            ids = [c.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.binary())], ["id", "ids", "decoded"])
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                ids = [c.encode(t) if t else b"" for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.binary())], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, ids binary, decoded binary")
@@ -214,14 +218,17 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
+        pa.default_memory_pool().release_unused()  # of what this worker did before
         for batch in batches:
-            n, first, second = [], [], []
-            for t in batch.column(1).to_pylist():
-                ids = c.encode(t) if t else b""
-                n.append(len(ids) // 4)
-                first.append(hashlib.sha256(ids).hexdigest())
-                second.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first), pa.array(second), *batch.columns[2:]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *place])
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                n, first, second = [], [], []
+                for t in part.column(1).to_pylist():
+                    ids = c.encode(t) if t else b""
+                    n.append(len(ids) // 4)
+                    first.append(hashlib.sha256(ids).hexdigest())
+                    second.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(first), pa.array(second), *part.columns[2:]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *place])
         c.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
