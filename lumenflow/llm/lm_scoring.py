@@ -32,6 +32,8 @@ FREQUENT, WORDS = 400_000, 1_000_000
 FLUSH = 400_000
 #: Keys that a task holds before it passes on their counts.
 KEYS = 2_000_000
+#: Ids whose keys are made at a time.
+PIECE = 500_000
 END = b"\n"  # the token after the last word; no word has white space
 
 
@@ -112,11 +114,13 @@ def tally(coded: DataFrame):
                 return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int64))], ["k", "c"])
 
             for batch in batches:
-                held.append(keys(*_lists(batch.column(0)), *shared.value))
-                n += len(held[-1])
-                if n >= KEYS:
-                    yield rows()
-                    held, n = [], 0
+                ids, at = _lists(batch.column(0))
+                for i, j in pieces(at, PIECE):  # keys are several times their ids
+                    held.append(keys(ids[at[i] : at[j]], at[i : j + 1] - at[i], *shared.value))
+                    n += len(held[-1])
+                    if n >= KEYS:
+                        yield rows()
+                        held, n = [], 0
             if n:
                 yield rows()
 

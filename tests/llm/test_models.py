@@ -260,3 +260,20 @@ def test_interactions_are_learned():
 def test_toxic_edges(spark, small, edges, none):
     m = toxicity.fit_labels(small, spark.read.parquet(f"{DIR}/labels.parquet"), "toxic")
     assert toxicity.score(edges, m).count() == edges.count() and toxicity.score(none, m).count() == 0
+
+
+def test_keys_are_made_by_pieces(spark, monkeypatch):
+    """Counting neighbours holds the keys of a piece of a batch, never of all its texts, and counts the same."""
+    texts = [np.arange(k % 7 + 1) % 5 for k in range(400)]
+    table = spark.createDataFrame([(t.tolist(),) for t in texts], "ids array<int>").coalesce(1)
+    place = np.arange(5)
+
+    def keys(ids, at, place):
+        if len(ids) > 60:
+            raise ValueError(f"{len(ids)} ids at once")
+        return attention.neighbour_keys(ids, at, place)
+
+    monkeypatch.setattr(lm_scoring, "PIECE", 60)
+    got = dict(zip(*(x.tolist() for x in lm_scoring.tally(table)(keys, place)), strict=True))
+    want = dict(zip(*(x.tolist() for x in attention.tally(texts)(attention.neighbour_keys, place)), strict=True))
+    assert got == want
