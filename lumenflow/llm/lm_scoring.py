@@ -107,6 +107,7 @@ def tally(coded: DataFrame):
         shared = coded.sparkSession.sparkContext.broadcast(args)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _forget()  # the ids are made
             held, n = [], 0
 
             def rows() -> pa.RecordBatch:
@@ -192,6 +193,10 @@ class _Words(dict):
 _held: dict[str, _Words] = {}
 
 
+def _forget() -> None:
+    _held.clear()
+
+
 def _cache(name: str, path: str | None, hashes: np.ndarray, counts: np.ndarray) -> _Words:
     if name not in _held:
         _held.clear()
