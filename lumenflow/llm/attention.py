@@ -7,6 +7,7 @@ token's frozen share of the member. Frequent tokens are members of their own; to
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,9 @@ WIDTH = 16
 GROUPS, MEMBERS, SINGLE = 32, 32, 30
 KNOWN = 4096  # tokens that the tables tell apart as input
 STEPS, BATCH, RATE, SKIP_RATE = 800, 96, 0.02, 0.5
+#: Windows of a step of the pass over all texts, and its rates for tables of rows and for the rest.
+PASS_BATCH, ROW_RATE, PASS_RATE = 256, 0.05, 0.002
+TABLES = ("skip", "skip2", "inner_skip", "inner_skip2")
 TOP = 256  # frequent ids that tell groups apart by their neighbourhood
 
 
@@ -60,6 +64,7 @@ class Attention:
         group, member = (x.astype(np.uint8)[ids] for x in np.divmod(self.cls, MEMBERS))  # bytes sort fast
         see = np.tril(np.ones((WINDOW, WINDOW), np.float32))[back:]
         ones = np.ones((len(self.v), 1), np.float32)
+        one = np.ones(MEMBERS, np.float32)
         v = np.concatenate([self.v, ones], 1)  # the last column sums the weights
         safe = np.linalg.norm(self.q, axis=1).max(initial=0) + np.linalg.norm(self.pq, axis=1).max()
         safe *= np.linalg.norm(self.k, axis=1).max(initial=0) + np.linalg.norm(self.pk, axis=1).max()
@@ -93,7 +98,7 @@ class Attention:
                     inner[part] += h[part] @ self.inner[k]
                 each = np.arange(len(mine))
                 hit = outer[each, g] + inner[each, member[mine]]
-                z[mine] = hit - np.log(np.exp(outer, out=outer).sum(1) * np.exp(inner, out=inner).sum(1))
+                z[mine] = hit - np.log((np.exp(outer, out=outer) @ one) * (np.exp(inner, out=inner) @ one))
         return z + self.share[ids]
 
 
@@ -157,9 +162,137 @@ def classes(near: np.ndarray, order: np.ndarray, rounds: int = 10) -> np.ndarray
     return cls
 
 
-def train(texts: list[np.ndarray], vocabulary: int, steps: int | None = None, seed: int = 2, counted=None) -> Attention:
-    """Learns by Adam on random windows of the ids of a bounded sample of texts. ``vocabulary`` counts all ids. ``counted`` gives
-    the counts of all texts, as ``tally`` does; without it the sample is all there is."""
+def _softmax(x: np.ndarray, see: np.ndarray | None = None) -> np.ndarray:
+    """Along the last axis and in place; ``see`` weighs what is seen."""
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    if see is not None:
+        x *= see
+    x /= (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], np.float32)).reshape(*x.shape[:-1], 1) + np.float32(1e-30)
+    return x
+
+
+_causal = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+
+
+def slopes(p: dict[str, np.ndarray], token: np.ndarray, before: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Slopes of the mean loss of windows: of the parameters that all tokens share, and of the TABLES as (row of the flat table, slope)
+    for each target. A target of -1 is none; ``before`` has the token before each."""
+    flat = p["e"][token.reshape(-1)]
+    q, k, v = ((flat @ p[x]).reshape(*token.shape, WIDTH) for x in ("wq", "wk", "wv"))
+    q += p["pq"]
+    k += p["pk"]
+    a = _softmax(q @ k.transpose(0, 2, 1), _causal)
+    full = a @ v
+    at = np.flatnonzero(target.reshape(-1) >= 0)  # only these positions have a target
+    tg, tm = np.divmod(target.reshape(-1)[at], MEMBERS)
+    order = np.argsort(tg.astype(np.uint8), kind="stable")  # members of a group are computed together
+    at, tg, tm = at[order], tg[order], tm[order]
+    h, last, prior = full.reshape(-1, WIDTH)[at], token.reshape(-1)[at].astype(np.int64), before.reshape(-1)[at].astype(np.int64)
+    each, n = np.arange(len(h)), len(h)
+    inner_skip, inner_skip2 = (p[x].reshape(-1, MEMBERS) for x in TABLES[2:])
+    one, two = last * GROUPS + tg, prior * GROUPS + tg
+    d = h @ p["out"]
+    d += p["skip"][last]
+    d += p["skip2"][prior]
+    di = inner_skip[one]
+    di += inner_skip2[two]
+    cut = np.searchsorted(tg, np.arange(GROUPS + 1))
+    held = [(c, slice(cut[c], cut[c + 1])) for c in np.flatnonzero(np.diff(cut))]
+    for c, part in held:
+        di[part] += h[part] @ p["inner"][c]
+    d, di = _softmax(d), _softmax(di)
+    d[each, tg] -= 1
+    di[each, tm] -= 1
+    d /= n
+    di /= n
+    g = {"inner": np.zeros_like(p["inner"]), "out": h.T @ d}
+    dh = d @ p["out"].T
+    for c, part in held:
+        g["inner"][c] = h[part].T @ di[part]
+        dh[part] += di[part] @ p["inner"][c].T
+    whole = np.zeros_like(full)
+    whole.reshape(-1, WIDTH)[at] = dh
+    da = whole @ v.transpose(0, 2, 1)
+    da -= np.einsum("bwd,bwd->bw", whole, full)[:, :, None]
+    da *= a
+    dq, dk, dv = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ whole
+    g["pq"], g["pk"] = dq.sum(0), dk.sum(0)
+    de = np.zeros_like(flat)
+    for name, dx in (("wq", dq), ("wk", dk), ("wv", dv)):
+        dx = dx.reshape(-1, WIDTH)
+        g[name] = flat.T @ dx
+        de += dx @ p[name].T
+    rows, sums = by_row(token.reshape(-1), de)
+    g["e"] = np.zeros_like(p["e"])
+    g["e"][rows] = sums
+    return g, {"skip": (last, d), "skip2": (prior, d), "inner_skip": (one, di), "inner_skip2": (two, di)}
+
+
+def by_row(row: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, and the sums of ``x`` for each."""
+    n, width = x.shape
+    bits = n.bit_length()
+    both = np.sort(row.astype(np.int64) << bits | np.arange(n))  # faster than argsort
+    order, row = both & (1 << bits) - 1, both >> bits
+    new = np.concatenate(([True], row[1:] != row[:-1]))
+    nth = np.empty(n, np.int64)
+    nth[order] = np.cumsum(new) - 1
+    row = row[new]
+    cells = (nth * width)[:, None] + np.arange(width)
+    return row, np.bincount(cells.reshape(-1), x.reshape(-1), len(row) * width).reshape(-1, width).astype(np.float32)
+
+
+def whole_windows(ids: np.ndarray, at: np.ndarray, known: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, before, target) of windows that lie side by side: each token of the texts between offsets is a target once."""
+    n = np.diff(at)
+    row = np.ones(len(ids), np.int32)
+    row[1:] = known[ids[:-1]]
+    row[at[:-1][n > 0]] = 1
+    ahead = np.zeros(len(ids), np.int32)
+    ahead[1:] = row[:-1]
+    ahead[at[:-1][n > 0]] = 0
+    per = -(-n // WINDOW)
+    place = np.arange(len(ids)) + np.repeat((np.cumsum(per) - per) * WINDOW - at[:-1], n)
+    token, before, target = (np.full(int(per.sum()) * WINDOW, x, np.int32) for x in (0, 0, -1))
+    token[place], before[place], target[place] = row, ahead, cls[ids]
+    return tuple(x.reshape(-1, WINDOW) for x in (token, before, target))
+
+
+def walk(p: dict[str, np.ndarray], parts: Iterator[tuple[np.ndarray, np.ndarray]], known: np.ndarray, cls: np.ndarray) -> int:
+    """Steps from ``p``, in place, over all texts of ``parts`` (ids, offsets); says how many tokens they have. Rows of the tables move
+    by the slopes that they have met so far (Adagrad), what all tokens share by Adam."""
+    rng = np.random.default_rng(3)
+    flat = {x: p[x].reshape(-1, p[x].shape[-1]) for x in TABLES}
+    met = {x: np.full(len(v), 1e-8, np.float32) for x, v in flat.items()}
+    mean, square = ({k: np.zeros_like(v) for k, v in p.items() if k not in TABLES} for _ in range(2))
+    tokens = step = 0
+    for ids, at in parts:
+        if not len(ids):
+            continue
+        tokens += len(ids)
+        token, before, target = whole_windows(ids, at, known, cls)
+        order = rng.permutation(len(token))
+        for some in np.array_split(order, -(-len(order) // PASS_BATCH)):
+            step += 1
+            g, sparse = slopes(p, token[some], before[some], target[some])
+            for name, (row, d) in sparse.items():
+                row, d = by_row(row, d)
+                met[name][row] += np.einsum("nd,nd->n", d, d) / d.shape[1]
+                flat[name][row] -= (ROW_RATE / np.sqrt(met[name][row]))[:, None] * d
+            for name, m in mean.items():
+                m *= 0.9
+                m += 0.1 * g[name]
+                square[name] *= 0.99
+                square[name] += 0.01 * g[name] ** 2
+                p[name] -= PASS_RATE / (1 - 0.9**step) * m / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-6)
+    return tokens
+
+
+def train(texts: list[np.ndarray], vocabulary: int, steps: int | None = None, seed: int = 2, counted=None, passed: Callable | None = None) -> Attention:
+    """Learns by Adam on random windows of the ids of ``texts``, from where ``passed`` goes on: it is given the parameters, ``known``,
+    ``cls`` and the number of all tokens, and gives the parameters after steps over all texts. ``vocabulary`` counts all ids. ``counted`` gives the counts of all
+    texts, as ``tally`` does. Without these two ``texts`` are all there is."""
     rng = np.random.default_rng(seed)
     counted = tally(texts) if counted is None else counted
     keys, c = counted(token_keys)
@@ -196,13 +329,8 @@ def train(texts: list[np.ndarray], vocabulary: int, steps: int | None = None, se
     mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     long = [t for t in texts if len(t)]
     lengths = np.cumsum([float(len(t)) for t in long]) / max(1, sum(map(len, texts)))
-    causal = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), 0, -1e9).astype(np.float32)
     steps = STEPS if steps is None else steps
 
-    def softmax(x: np.ndarray) -> np.ndarray:
-        x = np.exp(x - x.max(-1, keepdims=True))
-        return x / x.sum(-1, keepdims=True)
-
     for step in range(1, steps * bool(long) + 1):
         pick = np.minimum(np.searchsorted(lengths, rng.random(BATCH)), len(long) - 1)
         token, target = np.zeros((BATCH, WINDOW), np.int32), np.full((BATCH, WINDOW), -1)
@@ -213,41 +341,11 @@ def train(texts: list[np.ndarray], vocabulary: int, steps: int | None = None, se
             token[b, : len(part)] = known[t[s - 1 : s - 1 + len(part)]] if s else np.concatenate(([1], known[part[:-1]]))
             target[b, : len(part)] = cls[part]
         before = np.concatenate([np.zeros((BATCH, 1), np.int32), token[:, :-1]], 1)
-        e = p["e"][token]
-        q, k, v = e @ p["wq"] + p["pq"], e @ p["wk"] + p["pk"], e @ p["wv"]
-        a = softmax(q @ k.transpose(0, 2, 1) + causal)
-        full = a @ v
-        ok = target >= 0  # only these positions have a target
-        h, last, prior = full[ok], token[ok], before[ok]
-        tg, tm = np.divmod(target[ok], MEMBERS)
-        each, n = np.arange(len(h)), len(h)
-        d = softmax(h @ p["out"] + p["skip"][last] + p["skip2"][prior])
-        w = p["inner"][tg]
-        di = softmax(np.einsum("nd,ndm->nm", h, w) + p["inner_skip"][last, tg] + p["inner_skip2"][prior, tg])
-        d[each, tg] -= 1
-        di[each, tm] -= 1
-        d, di = d / n, di / n
-        g = {x: np.zeros_like(p[x]) for x in ("skip", "skip2", "inner_skip", "inner_skip2", "inner", "e")}
-        g["out"] = h.T @ d
-        for c in np.unique(tg):
-            g["inner"][c] = h[tg == c].T @ di[tg == c]
-        np.add.at(g["skip"], last, d)
-        np.add.at(g["skip2"], prior, d)
-        np.add.at(g["inner_skip"], (last, tg), di)
-        np.add.at(g["inner_skip2"], (prior, tg), di)
-        dh = np.zeros_like(full)
-        dh[ok] = d @ p["out"].T + np.einsum("nm,ndm->nd", di, w)
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-        g["pq"], g["pk"] = dq.sum(0), dk.sum(0)
-        flat = e.reshape(-1, WIDTH)
-        de = np.zeros_like(flat)
-        for name, dx in (("wq", dq), ("wk", dk), ("wv", dv)):
-            dx = dx.reshape(-1, WIDTH)
-            g[name] = flat.T @ dx
-            de += dx @ p[name].T
-        np.add.at(g["e"], token.reshape(-1), de)
+        g, sparse = slopes(p, token, before, target)
+        for name, (row, d) in sparse.items():
+            row, d = by_row(row, d)
+            g[name] = np.zeros_like(p[name])
+            g[name].reshape(-1, d.shape[1])[row] = d
         rate = RATE * min(1, step / 20) * (1 - step / (steps + 1))
         for name, x in p.items():
             mean[name] *= 0.9
@@ -256,4 +354,7 @@ def train(texts: list[np.ndarray], vocabulary: int, steps: int | None = None, se
             square[name] += 0.01 * g[name] ** 2
             r = rate * (SKIP_RATE if "skip" in name else 1) / (1 - 0.9**step)
             x -= r * mean[name] / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-6)
+    del mean, square
+    if passed and steps:
+        p = passed(p, known, cls, int(count.sum()))
     return Attention(known, cls, share, p["e"] @ p["wq"], p["e"] @ p["wk"], p["e"] @ p["wv"], p["pq"], p["pk"], p["out"], p["skip"], p["skip2"], p["inner"], p["inner_skip"], p["inner_skip2"])

@@ -1,7 +1,8 @@
 """Operator 2: language-model scoring of whole texts by a causal self-attention model on subword ids.
 
-The model (see ``attention``) takes its counts of tokens, neighbours and class bigrams from all training texts; its gradient steps
-run in numpy on a bounded sample of them. It scores every text in overlapping windows, each token once. Beside it stands a base score from word counts over all training texts. The counts of frequent words, a
+The model (see ``attention``) takes its counts of tokens, neighbours and class bigrams from all training texts. Its gradient steps begin
+on a bounded sample of them and go on over all: tasks take steps over their texts, each token once, and the parameters that they end
+with are averaged by tokens. It scores every text in overlapping windows, each token once. Beside it stands a base score from word counts over all training texts. The counts of frequent words, a
 bounded number, travel to every task; the others meet the texts' rare words in a join, so that nothing unbounded is broadcast.
 """
 
@@ -24,7 +25,7 @@ from lumenflow.llm.bpe import codec
 from lumenflow.llm.common import bounded_sample, fold, pieces, raw_texts, row_sums, stored, table, utf8
 from lumenflow.llm.shingles import words
 
-#: Training texts of the gradient steps, about, chosen by a hash of their id.
+#: Training texts of the first gradient steps, about, chosen by a hash of their id; the steps after these are over all texts.
 SAMPLE = 2000
 #: Words whose counts are broadcast, at most; and entries of a worker's cache of words.
 FREQUENT, WORDS = 400_000, 1_000_000
@@ -34,6 +35,8 @@ FLUSH = 400_000
 KEYS = 2_000_000
 #: Ids whose keys are made at a time.
 PIECE = 500_000
+#: Tokens whose steps a task takes, about, once there are two tasks for each core; parameters of a row while they are averaged.
+WALK, CHUNK = 50_000_000, 1 << 12
 END = b"\n"  # the token after the last word; no word has white space
 
 
@@ -132,14 +135,63 @@ def tally(coded: DataFrame):
     return counted
 
 
+def passed(coded: DataFrame):
+    """What ``attention.train`` needs for steps over all rows (ids) of a stored table. Tasks start from the same parameters; what they
+    add is summed by chunks of the parameters, so that the driver gets one set of them."""
+
+    def go_on(p: dict[str, np.ndarray], known: np.ndarray, cls: np.ndarray, tokens: int) -> dict[str, np.ndarray]:
+        spark = coded.sparkSession
+        names = sorted(p)
+        shared = spark.sparkContext.broadcast((p, known, cls))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _forget()
+            start, *maps = shared.value
+            own = {k: v.copy() for k, v in start.items()}
+
+            def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for batch in batches:
+                    ids, at = _lists(batch.column(0))
+                    for i, j in pieces(at, PIECE):
+                        yield ids[at[i] : at[j]], at[i : j + 1] - at[i]
+
+            n = attention.walk(own, parts(), *maps)
+            more = np.concatenate([(own[k] - start[k]).reshape(-1) for k in names])
+            for i in range(0, len(more) if n else 0, CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), pa.array([n], pa.int64()), pa.array([more[i : i + CHUNK].tobytes()], pa.binary())], ["chunk", "n", "more"])
+
+        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            weight: Counter[int] = Counter()
+            for batch in batches:
+                for k, n, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    x = np.frombuffer(more, np.float32) * float(n)
+                    total[k] = total[k] + x if k in total else x
+                    weight[k] += n
+            for k, x in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(x / weight[k]).astype(np.float32).tobytes()], pa.binary())], ["chunk", "more"])
+
+        tasks = max(2 * spark.sparkContext.defaultParallelism, -(-tokens // WALK))
+        each = stored(coded.select("ids").coalesce(tasks).mapInArrow(run, "chunk int, n long, more binary"))
+        got = stored(each.repartition("chunk").mapInArrow(mean, "chunk int, more binary")).toArrow().sort_by("chunk")  # few rows a batch
+        shared.unpersist()
+        if not len(got):
+            return p
+        more = np.concatenate([np.frombuffer(x, np.float32) for x in got["more"].to_pylist()])
+        ends = np.cumsum([p[k].size for k in names])
+        return {k: p[k] + more[e - p[k].size : e].reshape(p[k].shape) for k, e in zip(names, ends.tolist(), strict=True)}
+
+    return go_on
+
+
 def fit(texts: DataFrame, sample: int = SAMPLE, path: str | None = None) -> attention.Attention:
-    """Counts tokens, their neighbours and class bigrams over all texts (doc_id, text); the gradient steps use a bounded sample of
-    whole texts, whose subword ids come to the driver."""
+    """Counts tokens, their neighbours and class bigrams over all texts (doc_id, text); the first gradient steps use a bounded
+    sample of whole texts, whose subword ids come to the driver, and those that follow use all texts where they are."""
     coded = stored(token_ids(texts, path))
     got = bounded_sample(coded, "doc_id", sample).select("u", "ids").toArrow()
     order = np.argsort(got["u"].to_numpy(), kind="stable")  # the same model on each run
     flat, at = _lists(got["ids"]) if len(got) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-    return attention.train([flat[at[i] : at[i + 1]] for i in order], len(codec(path).tokens) + 1, counted=tally(coded))
+    return attention.train([flat[at[i] : at[i + 1]] for i in order], len(codec(path).tokens) + 1, counted=tally(coded), passed=passed(coded))
 
 
 class _Column:

@@ -277,3 +277,78 @@ def test_keys_are_made_by_pieces(spark, monkeypatch):
     got = dict(zip(*(x.tolist() for x in lm_scoring.tally(table)(keys, place)), strict=True))
     want = dict(zip(*(x.tolist() for x in attention.tally(texts)(attention.neighbour_keys, place)), strict=True))
     assert got == want
+
+
+def test_steps_cover_all_texts(spark, monkeypatch):
+    """Texts that the first steps do not see change what the model learns, beyond their counts, and it comes to know them better."""
+    rng = np.random.default_rng(5)
+    order = [rng.permutation(40) for _ in range(2)]
+    texts = [np.concatenate([order[k % 2][(np.arange(60) * 7 + k) % 40], [299]]) for k in range(120)]
+    table = spark.createDataFrame([(t.tolist(),) for t in texts], "ids array<int>").repartition(3)
+    counted = attention.tally(texts)
+    first = attention.train(texts[:2], 300, steps=20, counted=counted)
+    whole = attention.train(texts[:2], 300, steps=20, counted=counted, passed=lm_scoring.passed(table))
+    ids, at = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    assert whole.log_probs(ids, at).mean() > first.log_probs(ids, at).mean() + 0.1
+    assert not np.array_equal(first.inner, whole.inner) and not np.array_equal(first.q, whole.q)
+
+
+def test_fit_steps_over_all_texts(spark, small, monkeypatch):
+    """Every token of every training text is a target of a step, however few texts the first steps take."""
+    seen = []
+    real = lm_scoring.passed
+
+    def watched(coded):
+        def go_on(p, known, cls, tokens):
+            total = sum(len(r.ids) for r in coded.select("ids").collect())
+            seen.append((tokens, total, coded.count()))
+            return real(coded)(p, known, cls, tokens)
+
+        return go_on
+
+    monkeypatch.setattr(lm_scoring, "passed", watched)
+    monkeypatch.setattr(attention, "STEPS", 2)
+    lm_scoring.fit(small, sample=3)
+    assert [(n, k) for n, _, k in seen] == [(seen[0][1], small.count())]
+
+
+def test_windows_of_a_step():
+    """Side by side: each token is a target once, after what stands before it."""
+    rng = np.random.default_rng(6)
+    known, cls = rng.integers(0, 50, 90).astype(np.int32), rng.integers(0, 1024, 90).astype(np.int32)
+    texts = [rng.integers(0, 90, n) for n in (0, 1, 31, 32, 33, 0, 70)]
+    got = attention.whole_windows(np.concatenate(texts), np.cumsum([0, *map(len, texts)]), known, cls)
+    want = [(known[t[i - 1]] if i else 1, (known[t[i - 2]] if i > 1 else 1) if i else 0, cls[t[i]]) for t in texts for i in range(len(t))]
+    real = got[2] >= 0
+    assert list(zip(*(x[real].tolist() for x in got), strict=True)) == want
+
+
+def test_slopes():
+    """Against differences of the loss."""
+    rng = np.random.default_rng(7)
+    g, m, w = attention.GROUPS, attention.MEMBERS, attention.WIDTH
+    shapes = {"skip": (6, g), "skip2": (6, g), "inner_skip": (6, g, m), "inner_skip2": (6, g, m), "e": (6, w), "wq": (w, w), "wk": (w, w), "wv": (w, w), "pq": (attention.WINDOW, w), "pk": (attention.WINDOW, w), "out": (w, g), "inner": (g, w, m)}
+    p = {k: rng.normal(0, 0.3, s) for k, s in shapes.items()}
+    token, before = rng.integers(0, 6, (2, 3, attention.WINDOW))
+    target = rng.integers(-1, g * m, (3, attention.WINDOW))
+
+    def loss(p):
+        e = p["e"][token]
+        a = np.exp((e @ p["wq"] + p["pq"]) @ (e @ p["wk"] + p["pk"]).transpose(0, 2, 1)) * np.tril(np.ones((attention.WINDOW, attention.WINDOW)))
+        h = a / a.sum(2, keepdims=True) @ (e @ p["wv"])
+        ok = target >= 0
+        tg, tm = np.divmod(target[ok], m)
+        d = h[ok] @ p["out"] + p["skip"][token[ok]] + p["skip2"][before[ok]]
+        di = np.einsum("nd,ndm->nm", h[ok], p["inner"][tg]) + p["inner_skip"][token[ok], tg] + p["inner_skip2"][before[ok], tg]
+        each = np.arange(len(d))
+        return -(d[each, tg] - np.log(np.exp(d).sum(1)) + di[each, tm] - np.log(np.exp(di).sum(1))).mean()
+
+    dense, rows = attention.slopes({k: v.astype(np.float32) for k, v in p.items()}, token, before, target)
+    for k, (row, d) in rows.items():
+        dense[k] = np.zeros(shapes[k], np.float32)
+        row, d = attention.by_row(row, d)
+        dense[k].reshape(-1, d.shape[1])[row] = d
+    for k, s in shapes.items():
+        step = rng.normal(0, 1, s) * 1e-4
+        up, down = (loss(p | {k: p[k] + x}) for x in (step, -step))
+        assert (dense[k] * step).sum() == pytest.approx((up - down) / 2, rel=2e-2, abs=1e-8)
