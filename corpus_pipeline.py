@@ -1,4 +1,6 @@
-"""Corpus pipeline: language, exact copies, near copies, mix, token ids. Each stage takes (spark, docs, sf_dir)."""
+"""Corpus pipeline: language, exact copies, near copies, mix, token ids. Each stage takes (spark, docs, sf_dir).
+
+Stages whose tasks read whole texts in Python store their result themselves: whoever writes it, texts come in small batches."""
 
 from __future__ import annotations
 
@@ -10,7 +12,7 @@ from lumenflow.llm.common import stored
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, and those that no known language codes better than noise, go."""
-    return language_id.accepted(docs, language_id.fit(docs))
+    return stored(language_id.accepted(docs, language_id.fit(docs)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids, and the place in the mix that the order of the files gives."""
-    return bpe.digests(mixing.placed(docs, "doc_id", "text"))
+    return stored(bpe.digests(mixing.placed(docs, "doc_id", "text")))
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("byte_bpe", tokens)]

@@ -1,6 +1,7 @@
 """The corpus pipeline against plain versions of its stages, and its registry."""
 
 import hashlib
+import sys
 from collections import Counter
 
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lumenflow.llm import bpe, mixing, registry
+from lumenflow.llm import bpe, language_id, mixing, registry
+from lumenflow.llm.common import BATCH_ROWS
 from tests.llm.test_dedup import plain_components, plain_groups
 
 DIR = "/root/testdata/sf0.001"
@@ -41,6 +43,38 @@ def test_edges(spark, edges, none):
             docs = spark.createDataFrame(stage(spark, docs, DIR).collect(), docs.schema if name != "byte_bpe" else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def test_texts_come_in_small_batches(spark, table, monkeypatch, tmp_path):
+    """Whoever writes what a stage returns, its Python tasks hold few texts at a time."""
+    most = BATCH_ROWS
+    real = language_id.utf8
+
+    def utf8(column):
+        if len(column) > most:
+            raise ValueError(f"{len(column)} texts at once")
+        return real(column)
+
+    class Watched:
+        def __init__(self):
+            plain = bpe.codec()  # in a worker, which has the module as it is
+            self.plain, self.decode, self.forget = plain, plain.decode, plain.forget
+
+        def encode(self, text):
+            if (n := sys._getframe(1).f_locals["batch"].num_rows) > most:
+                raise ValueError(f"{n} texts at once")
+            return self.plain.encode(text)
+
+    docs = table([f"the house by the sea {k}" for k in range(2500)]).coalesce(1)
+    model = language_id.fit(docs)  # of a bounded number of texts
+    monkeypatch.setattr(language_id, "fit", lambda docs: model)
+    monkeypatch.setattr(language_id, "utf8", utf8)
+    monkeypatch.setattr(bpe, "codec", lambda path=None: Watched())
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("language", "byte_bpe"):
+            stage(spark, docs, DIR).write.parquet(str(tmp_path / name))
+            assert spark.read.parquet(str(tmp_path / name)).count() == 2500
+
+
 def test_names():
     names = registry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
