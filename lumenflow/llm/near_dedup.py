@@ -35,6 +35,8 @@ NODE = 32  # documents that a node compares exhaustively
 #: Share of a large node's documents that resemble its first one, from which on the node is finished exactly and not branched.
 COHERENT = 0.875
 SALTS = 16
+#: Documents of a block, about. Those of a block that are in one node are one row: a large node is a few rows of each block.
+DOCUMENTS = 1024
 #: Equal tokens that a candidate needs: of 64, a pair of similarity 0.75 has 34 or more with probability over 0.9999.
 MATCHES = 34
 
@@ -106,66 +108,90 @@ def _picks(node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, second, ((x >> np.uint64(32)) % np.uint64(1000) < np.uint64(round(1000 * SECOND))) & (first != second)
 
 
-def roots(tokens: DataFrame) -> DataFrame:
-    """(node, id): the children of each tree's root that a document is in."""
+def _packed(node: np.ndarray, ids: np.ndarray, block: int) -> pa.Table:
+    """(node, block, ids): the documents of each node, a row for each node."""
+    order = np.argsort(node, kind="stable")
+    node = node[order]
+    new = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(node)), pa.int32()), _ids(ids[order]))
+    return pa.table([_ids(node[new]), pa.array(np.full(len(new), block), pa.int64()), lists], ["node", "block", "ids"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, nodes = batch.column(0).to_numpy(), _root_nodes(_tokens(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([_ids(nodes.reshape(-1)), _ids(np.repeat(ids, nodes.shape[1]))], ["node", "id"])
 
-    return tokens.select("id", "sketch").mapInArrow(run, "node long, id long")
+PACKS = "node long, block long, ids array<long>"
 
 
-def _sketched(large: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(id, pivot, nodes, sketch) of (node, id, pivot): the nodes of a document that have the same first document are one row."""
-    met = large.repartition("id").groupBy("id", "pivot").agg(F.collect_list("node").alias("nodes"))  # as many as there are ways down, at most
-    return met.join(tokens, "id").select("id", "pivot", "nodes", "sketch")
+def blocks(tokens: DataFrame) -> DataFrame:
+    """(block, id, sketch): documents dealt by a hash of the id to blocks of about DOCUMENTS."""
+    many = max(1, -(-tokens.count() // DOCUMENTS))
+    return tokens.select(F.pmod(F.xxhash64("id"), F.lit(many)).alias("block"), "id", "sketch")
 
 
-def likenesses(large: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Two kinds of rows out of (node, id, pivot): (id, pivot) of the documents that have MATCHES tokens of a first document before them,
-    and (node, likes, n), how many of the n documents of a node have so many, itself included.
+def roots(dealt: DataFrame) -> DataFrame:
+    """(node, block, ids): the documents of each block that are in each child of the trees' roots."""
 
-    A document meets the same first document in many nodes: they are compared once. Nodes are counted by each batch before any row is
-    made: a large node is a few rows, and who is in it is known already."""
+    def run(docs: pa.Table) -> pa.Table:
+        nodes = _root_nodes(_tokens(docs["sketch"]))
+        return _packed(nodes.reshape(-1), np.repeat(docs["id"].to_numpy(), nodes.shape[1]), docs["block"][0].as_py())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("pivot", pa.int64()), ("node", pa.int64()), ("likes", pa.int64()), ("n", pa.int64())])
-        for batch in batches:
-            ids, pivots = (c.to_numpy() for c in batch.columns[:2])
-            like = (_tokens(batch.column(3)) == _tokens(batch.column(4))).sum(1) >= MATCHES
-            lists = batch.column(2)
-            of = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
-            node, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-            likes, n = np.bincount(place, like[of], len(node)).astype(np.int64), np.bincount(place, minlength=len(node))
-            star = like & (ids > pivots)
-            none = lambda k: pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([_ids(ids[star]), _ids(pivots[star]), *[none(int(star.sum()))] * 3], schema=schema)
-            yield pa.RecordBatch.from_arrays([*[none(len(node))] * 2, _ids(node), _ids(likes), _ids(n)], schema=schema)
-
-    # A third of all documents can have one first document: its sketch is repeated for SALTS parts of them.
-    firsts = tokens.join(large.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("sketch").alias("first"))
+    return dealt.groupBy("block").applyInArrow(run, PACKS)
+
+
+def _entries(docs: pa.Table, packs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a block's documents; and for each document of each of the block's packs, its place among the former and the pack."""
+    order = np.argsort(docs["id"].to_numpy())
+    lists = packs["ids"].combine_chunks()
+    place = order[np.searchsorted(docs["id"].to_numpy()[order], lists.flatten().to_numpy())] if len(packs) else np.zeros(0, np.int64)
+    return _tokens(docs["sketch"]), place, np.repeat(np.arange(len(packs)), np.diff(lists.offsets.to_numpy()))
+
+
+def likenesses(large: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Two kinds of rows out of packs (node, block, ids, pivot): (id, pivot) of the documents that have MATCHES tokens of a first document
+    before them, and (node, likes, n), how many of the n documents of a pack have so many, itself included.
+
+    The packs of a block meet its documents as one group. A document meets the same first document in many nodes: they are compared
+    once. Who is in a node is nowhere written as a row for each."""
+    schema = pa.schema([("id", pa.int64()), ("pivot", pa.int64()), ("node", pa.int64()), ("likes", pa.int64()), ("n", pa.int64())])
+
+    def run(docs: pa.Table, packs: pa.Table) -> pa.Table:
+        if not len(packs):
+            return schema.empty_table()
+        t, place, of = _entries(docs, packs)
+        pivots, which = np.unique(packs["pivot"].to_numpy(), return_inverse=True)
+        first = np.zeros((len(pivots), POSITIONS), np.uint32)
+        first[which] = _tokens(packs["first"])
+        met, back = np.unique(which[of] * len(t) + place, return_inverse=True)
+        pivot, doc = np.divmod(met, len(t))
+        same = lambda i: (t[doc[i : i + 16384]] == first[pivot[i : i + 16384]]).sum(1) >= MATCHES
+        like = np.concatenate([same(i) for i in range(0, len(met), 16384)])
+        ids, pivot = docs["id"].to_numpy()[doc], pivots[pivot]
+        star = like & (ids > pivot)
+        n = np.bincount(of, minlength=len(packs))
+        none = lambda k: pa.nulls(k, pa.int64())
+        pairs = pa.table([_ids(ids[star]), _ids(pivot[star]), *[none(int(star.sum()))] * 3], schema=schema)
+        counts = pa.table([*[none(len(n))] * 2, packs["node"], _ids(np.bincount(of, like[back], len(n))), _ids(n)], schema=schema)
+        return pa.concat_tables([pairs, counts])
+
+    # A third of all documents can have one first document: its sketch is repeated for SALTS parts of the blocks.
+    firsts = dealt.join(large.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("sketch").alias("first"))
     firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = _sketched(large, tokens).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(firsts, ["pivot", "salt"])
-    return rows.select("id", "pivot", "nodes", "sketch", "first").mapInArrow(run, "id long, pivot long, node long, likes long, n long")
+    packs = large.withColumn("salt", F.pmod("block", F.lit(SALTS)).cast("int")).join(firsts, ["pivot", "salt"]).select("block", "node", "ids", "pivot", "first")
+    return dealt.groupBy("block").cogroup(packs.groupBy("block")).applyInArrow(run, "id long, pivot long, node long, likes long, n long")
 
 
-def branches(large: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(node, id): the one or two children that each document of a node (node, id, pivot) goes on to."""
+def branches(large: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(node, block, ids): the one or two children that each document of packs (node, block, ids) goes on to."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t, lists = _tokens(batch.column(3)), batch.column(2)
-            of = np.repeat(np.arange(len(t)), np.diff(lists.offsets.to_numpy()))
-            node = lists.flatten().to_numpy().view(np.uint64)
-            first, second, two = _picks(node)
-            both = np.stack([_child(node, p, t[of, p]) for p in (first, second)], 1)
-            taken = np.stack([np.ones(len(node), bool), two], 1)
-            ids = np.repeat(batch.column(0).to_numpy()[of], taken.sum(1))
-            yield pa.RecordBatch.from_arrays([_ids(both[taken]), _ids(ids)], ["node", "id"])
+    def run(docs: pa.Table, packs: pa.Table) -> pa.Table:
+        if not len(packs):
+            return _packed(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
+        t, place, of = _entries(docs, packs)
+        node = packs["node"].to_numpy().view(np.uint64)[of]
+        first, second, two = _picks(node)
+        ids = docs["id"].to_numpy()[place]
+        child = np.concatenate([_child(node, first, t[place, first]), _child(node[two], second[two], t[place[two], second[two]])])
+        return _packed(child, np.concatenate([ids, ids[two]]), docs["block"][0].as_py())
 
-    return _sketched(large, tokens).mapInArrow(run, "node long, id long")
+    return dealt.groupBy("block").cogroup(large.select("block", "node", "ids").groupBy("block")).applyInArrow(run, PACKS)
 
 
 def node_pairs(rows: DataFrame) -> DataFrame:
@@ -207,27 +233,29 @@ def _then_none(batches: Iterator) -> Iterator:
 
 def candidates(tokens: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Candidate pairs (a, b) of documents with different sets, and (node, id) of the large nodes that are left to be finished."""
-    frontier, few, stars, rest = roots(tokens), [], [], []
+    dealt = blocks(tokens)
+    frontier, few, stars, rest = stored(roots(dealt), even=True), [], [], []
     for level in range(LEVELS):
-        size = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).filter("n > 1")
+        size = frontier.groupBy("node").agg(F.sum(F.size("ids")).alias("n"), F.min(F.array_min("ids")).alias("pivot")).filter("n > 1")
         rows = stored(frontier.join(size, "node"), even=True)
-        few.append(rows.filter(f"n <= {NODE}").select("node", "id"))
+        few.append(rows.filter(f"n <= {NODE}").select("node", "ids"))
         large = rows.filter(f"n > {NODE}")
         if large.isEmpty():
             break
-        met = stored(likenesses(large, tokens))
+        met = stored(likenesses(large, dealt), even=True)
         stars.append(met.filter("node is null").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         if level < LEVELS - 1:
             alike = stored(met.filter("node is not null").groupBy("node").agg((F.sum("likes") / F.sum("n")).alias("share")), even=True)
             mixed = alike.filter(f"share < {COHERENT}").select("node")
-            rest.append(large.join(alike.filter(f"share >= {COHERENT}").select("node"), "node").select("node", "id"))
+            rest.append(large.join(alike.filter(f"share >= {COHERENT}").select("node"), "node").select("node", "ids"))
             if mixed.isEmpty():
                 break
-            frontier = stored(branches(large.join(mixed, "node"), tokens))
+            frontier = stored(branches(large.join(mixed, "node"), dealt), even=True)
         else:
-            rest.append(large.select("node", "id"))
-    pairs = node_pairs(_all(few).join(tokens, "id"))
-    return stored(_all([pairs, *stars]).distinct(), even=True), _all(rest) if rest else None
+            rest.append(large.select("node", "ids"))
+    each = lambda packs: _all(packs).select("node", F.explode("ids").alias("id"))
+    pairs = node_pairs(each(few).join(tokens, "id"))
+    return stored(_all([pairs, *stars]).distinct(), even=True), each(rest) if rest else None
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -295,7 +323,7 @@ def _across(pairs: DataFrame, roots_: DataFrame) -> DataFrame:
 
 def _mixed(rest: DataFrame, roots_: DataFrame) -> DataFrame:
     """(node, id, root) of the nodes that hold more than one component."""
-    held = rest.join(roots_, "id", "left").select("node", "id", F.coalesce("root", "id").alias("root"))
+    held = stored(rest.join(roots_, "id", "left").select("node", "id", F.coalesce("root", "id").alias("root")), even=True)
     several = held.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
     return stored(held.join(stored(several.select("node"), even=True), "node"), even=True)
 
@@ -353,8 +381,8 @@ def _block_pairs(known: DataFrame) -> DataFrame:
         a, b = i[u[here], 0], j[0, v[here]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema({"a": pa.int64(), "b": pa.int64()}))
 
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    size = known.groupBy("node").agg(blocks(F.count(F.lit(1))).alias("many"), blocks(F.count_if(F.col("root") != F.col("main"))).alias("few")).filter("few > 0")
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    size = known.groupBy("node").agg(parts(F.count(F.lit(1))).alias("many"), parts(F.count_if(F.col("root") != F.col("main"))).alias("few")).filter("few > 0")
     dealt = known.join(stored(size, even=True), "node")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -169,3 +169,34 @@ def test_recall_near_the_bound(spark):
     got = {x.doc_id: x.component_id for x in near_dedup.near_components(docs).collect()}
     assert len(links) > 1500 and sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)
     assert all(got[i] != got[i + 1] for i in range(0, len(texts), 2) if (i, i + 1) not in links)
+
+
+@pytest.mark.parametrize("node, levels, documents", [(4, 3, 16), (32, 4, 64)])
+def test_blocks_of_documents(spark, table, family, monkeypatch, node, levels, documents):
+    """Links are found whatever blocks the documents are dealt to."""
+    monkeypatch.setattr(near_dedup, "NODE", node)
+    monkeypatch.setattr(near_dedup, "LEVELS", levels)
+    monkeypatch.setattr(near_dedup, "DOCUMENTS", documents)
+    docs = table(family)
+    check(docs, docs.collect())
+
+
+def test_large_nodes_are_few_rows(spark, monkeypatch):
+    """A large group of near copies is a few rows of each of its nodes, not one for each document and node."""
+    r, seen, real = random.Random(4), [], near_dedup.stored
+
+    def stored(df, even=False):
+        out = real(df, even)
+        if {"node", "n", "pivot"} <= set(out.columns) and "main" not in out.columns:
+            seen.append(out.filter(f"n > {near_dedup.NODE}").count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", stored)
+    base = [f"w{r.randrange(4000)}" for _ in range(150)]
+    texts = []
+    for _ in range(600):
+        t = list(base)
+        t[r.randrange(len(t))] = f"x{r.randrange(10**9)}"
+        texts.append(" ".join(t))
+    got = near_dedup.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.component_id for x in got} == {0} and seen and 0 < sum(seen) < 600
