@@ -22,6 +22,7 @@ STEPS, BATCH, RATE, SKIP_RATE = 800, 96, 0.02, 0.5
 #: Windows of a step of the pass over all texts, and its rates for tables of rows and for the rest.
 PASS_BATCH, ROW_RATE, PASS_RATE = 256, 0.05, 0.002
 TABLES = ("skip", "skip2", "inner_skip", "inner_skip2")
+ADAM = 1 << 14  # parameters that a step moves at a time: they stay in the cache
 TOP = 256  # frequent ids that tell groups apart by their neighbourhood
 
 
@@ -59,13 +60,12 @@ class Attention:
         back = WINDOW - STRIDE
         at = first[:, None] + np.arange(-back, STRIDE)
         real = (at >= offsets[:-1][text][:, None]) & (at < offsets[1:][text][:, None])
-        token = np.where(real, rows[np.clip(at, 0, max(0, len(ids) - 1))], 0)
+        token = rows.take(at, mode="clip") if len(ids) else np.zeros(at.shape, np.int32)
+        token *= real
         z = np.empty(len(ids), np.float32)
-        group, member = (x.astype(np.uint8)[ids] for x in np.divmod(self.cls, MEMBERS))  # bytes sort fast
+        group, member = (x.astype(np.uint8).take(ids) for x in np.divmod(self.cls, MEMBERS))  # bytes sort fast
         see = np.tril(np.ones((WINDOW, WINDOW), np.float32))[back:]
-        ones = np.ones((len(self.v), 1), np.float32)
-        one = np.ones(MEMBERS, np.float32)
-        v = np.concatenate([self.v, ones], 1)  # the last column sums the weights
+        ones = np.ones(WINDOW, np.float32)
         safe = np.linalg.norm(self.q, axis=1).max(initial=0) + np.linalg.norm(self.pq, axis=1).max()
         safe *= np.linalg.norm(self.k, axis=1).max(initial=0) + np.linalg.norm(self.pk, axis=1).max()
         inner_skip, inner_skip2 = (x.reshape(-1, MEMBERS) for x in (self.inner_skip, self.inner_skip2))
@@ -75,31 +75,38 @@ class Attention:
             for i in range(0, len(some), batch):
                 w = some[i : i + batch]
                 t, r = token[w], real[w]
-                a = (self.q[t[:, back:]] + self.pq[back:]) @ (self.k[t] + self.pk).transpose(0, 2, 1)
+                # ``take`` moves rows several times faster than an index does.
+                q, k, v = self.q.take(t[:, back:], 0), self.k.take(t, 0), self.v.take(t, 0)
+                q += self.pq[back:]
+                k += self.pk
+                a = q @ k.transpose(0, 2, 1)
                 if safe > 80:
                     np.minimum(a, 40, out=a)
                 np.exp(a, out=a)
                 a *= see if full else see * r[:, None]
-                h = a @ v[t]
+                h = a @ v
+                h *= (1 / (a.reshape(-1, WINDOW) @ ones + np.float32(1e-20))).reshape(*a.shape[:2], 1)
                 mine, last, before = at[w, back:], t[:, back:], t[:, back - 1 : -1]
                 h, mine, last, before = (x.reshape(-1, *x.shape[2:]) if full else x[r[:, back:]] for x in (h, mine, last, before))
-                h = h[:, :-1] / (h[:, -1:] + np.float32(1e-20))
-                g = group[mine]
+                g = group.take(mine)
                 order = np.argsort(g, kind="stable")  # members of a group are computed together
-                h, mine, last, before, g = h[order], mine[order], last[order], before[order], g[order].astype(np.int32)
+                h, mine, last, before, g = (x.take(order, 0) for x in (h, mine, last, before, g))
+                g = g.astype(np.int32)
                 outer = h @ self.out
-                outer += self.skip[last]
-                outer += self.skip2[before]
-                inner = inner_skip[last * GROUPS + g]
-                inner += inner_skip2[before * GROUPS + g]
+                outer += self.skip.take(last, 0)
+                outer += self.skip2.take(before, 0)
+                inner = np.empty((len(g), MEMBERS), np.float32)
                 cut = np.searchsorted(g, np.arange(GROUPS + 1))
-                for k in np.flatnonzero(np.diff(cut)):
-                    part = slice(cut[k], cut[k + 1])
-                    inner[part] += h[part] @ self.inner[k]
-                each = np.arange(len(mine))
-                hit = outer[each, g] + inner[each, member[mine]]
-                z[mine] = hit - np.log((np.exp(outer, out=outer) @ one) * (np.exp(inner, out=inner) @ one))
-        return z + self.share[ids]
+                for c in np.flatnonzero(np.diff(cut)):
+                    part = slice(cut[c], cut[c + 1])
+                    np.matmul(h[part], self.inner[c], out=inner[part])
+                inner += inner_skip.take(last * GROUPS + g, 0)
+                inner += inner_skip2.take(before * GROUPS + g, 0)
+                each = np.arange(len(mine)) * MEMBERS
+                hit = outer.take(np.arange(len(mine)) * GROUPS + g)
+                hit += inner.take(each + member.take(mine))
+                z[mine] = hit - np.log((np.exp(outer, out=outer) @ ones[:GROUPS]) * (np.exp(inner, out=inner) @ ones[:MEMBERS]))
+        return z + self.share.take(ids)
 
 
 def token_keys(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -162,13 +169,14 @@ def classes(near: np.ndarray, order: np.ndarray, rounds: int = 10) -> np.ndarray
     return cls
 
 
-def _softmax(x: np.ndarray, see: np.ndarray | None = None) -> np.ndarray:
-    """Along the last axis and in place; ``see`` weighs what is seen."""
-    np.minimum(x, 60, out=x)
+def _softmax(x: np.ndarray, see: np.ndarray | None = None, weight: np.float32 = np.float32(1)) -> np.ndarray:
+    """Along the last axis and in place; ``see`` weighs what is seen, ``weight`` is the sum."""
+    if x.max(initial=0) > 60:
+        np.minimum(x, 60, out=x)
     np.exp(x, out=x)
     if see is not None:
         x *= see
-    x /= (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], np.float32)).reshape(*x.shape[:-1], 1) + np.float32(1e-30)
+    x *= (weight / (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], np.float32) + np.float32(1e-30))).reshape(*x.shape[:-1], 1)
     return x
 
 
@@ -178,69 +186,76 @@ _causal = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 def slopes(p: dict[str, np.ndarray], token: np.ndarray, before: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
     """Slopes of the mean loss of windows: of the parameters that all tokens share, and of the TABLES as (row of the flat table, slope)
     for each target. A target of -1 is none; ``before`` has the token before each."""
-    flat = p["e"][token.reshape(-1)]
-    q, k, v = ((flat @ p[x]).reshape(*token.shape, WIDTH) for x in ("wq", "wk", "wv"))
+    token, before = token.reshape(-1).astype(np.int64), before.reshape(-1).astype(np.int64)
+    shape = (*target.shape, WIDTH)
+    q, k, v = ((p["e"] @ p[x]).take(token, 0).reshape(shape) for x in ("wq", "wk", "wv"))
     q += p["pq"]
     k += p["pk"]
     a = _softmax(q @ k.transpose(0, 2, 1), _causal)
     full = a @ v
     at = np.flatnonzero(target.reshape(-1) >= 0)  # only these positions have a target
-    tg, tm = np.divmod(target.reshape(-1)[at], MEMBERS)
+    tg, tm = np.divmod(target.reshape(-1).take(at), MEMBERS)
     order = np.argsort(tg.astype(np.uint8), kind="stable")  # members of a group are computed together
-    at, tg, tm = at[order], tg[order], tm[order]
-    h, last, prior = full.reshape(-1, WIDTH)[at], token.reshape(-1)[at].astype(np.int64), before.reshape(-1)[at].astype(np.int64)
-    each, n = np.arange(len(h)), len(h)
+    at, tg, tm = at.take(order), tg.take(order), tm.take(order)
+    h, last, prior = full.reshape(-1, WIDTH).take(at, 0), token.take(at), before.take(at)
+    n = len(h)
     inner_skip, inner_skip2 = (p[x].reshape(-1, MEMBERS) for x in TABLES[2:])
     one, two = last * GROUPS + tg, prior * GROUPS + tg
     d = h @ p["out"]
-    d += p["skip"][last]
-    d += p["skip2"][prior]
-    di = inner_skip[one]
-    di += inner_skip2[two]
+    d += p["skip"].take(last, 0)
+    d += p["skip2"].take(prior, 0)
     cut = np.searchsorted(tg, np.arange(GROUPS + 1))
     held = [(c, slice(cut[c], cut[c + 1])) for c in np.flatnonzero(np.diff(cut))]
+    di, dh_inner = np.empty((n, MEMBERS), np.float32), np.empty((n, WIDTH), np.float32)
     for c, part in held:
-        di[part] += h[part] @ p["inner"][c]
-    d, di = _softmax(d), _softmax(di)
-    d[each, tg] -= 1
-    di[each, tm] -= 1
-    d /= n
-    di /= n
+        np.matmul(h[part], p["inner"][c], out=di[part])
+    di += inner_skip.take(one, 0)
+    di += inner_skip2.take(two, 0)
+    each, part_of_all = np.arange(n), np.float32(1 / max(1, n))
+    for x, width, hit in ((d, GROUPS, tg), (di, MEMBERS, tm)):
+        _softmax(x, weight=part_of_all).reshape(-1)[each * width + hit] -= part_of_all
     g = {"inner": np.zeros_like(p["inner"]), "out": h.T @ d}
-    dh = d @ p["out"].T
     for c, part in held:
-        g["inner"][c] = h[part].T @ di[part]
-        dh[part] += di[part] @ p["inner"][c].T
+        np.matmul(h[part].T, di[part], out=g["inner"][c])
+        np.matmul(di[part], p["inner"][c].T, out=dh_inner[part])
+    dh_inner += d @ p["out"].T
     whole = np.zeros_like(full)
-    whole.reshape(-1, WIDTH)[at] = dh
+    whole.reshape(-1, WIDTH)[at] = dh_inner
     da = whole @ v.transpose(0, 2, 1)
     da -= np.einsum("bwd,bwd->bw", whole, full)[:, :, None]
     da *= a
     dq, dk, dv = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ whole
     g["pq"], g["pk"] = dq.sum(0), dk.sum(0)
-    de = np.zeros_like(flat)
-    for name, dx in (("wq", dq), ("wk", dk), ("wv", dv)):
-        dx = dx.reshape(-1, WIDTH)
-        g[name] = flat.T @ dx
-        de += dx @ p[name].T
-    rows, sums = by_row(token.reshape(-1), de)
+    # By row of the table first: it has fewer rows than there are tokens.
     g["e"] = np.zeros_like(p["e"])
-    g["e"][rows] = sums
+    places = cells(token, WIDTH)
+    for name, dx in (("wq", dq), ("wk", dk), ("wv", dv)):
+        dx = by_cell(places, dx.reshape(-1, WIDTH), len(p["e"]))
+        g[name] = p["e"].T @ dx
+        g["e"] += dx @ p[name].T
     return g, {"skip": (last, d), "skip2": (prior, d), "inner_skip": (one, di), "inner_skip2": (two, di)}
 
 
+def cells(row: np.ndarray, width: int) -> np.ndarray:
+    """Where ``by_cell`` adds the columns of each row, two of them as one complex number."""
+    return ((row * (width // 2))[:, None] + np.arange(width // 2)).reshape(-1)
+
+
+def by_cell(places: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of ``x`` for each of ``rows`` rows, by ``cells``."""
+    out = np.zeros((rows, x.shape[1]), np.float32)
+    np.add.at(out.view(np.complex64).reshape(-1), places, np.ascontiguousarray(x, np.float32).view(np.complex64).reshape(-1))
+    return out
+
+
 def by_row(row: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows, and the sums of ``x`` for each."""
-    n, width = x.shape
-    bits = n.bit_length()
-    both = np.sort(row.astype(np.int64) << bits | np.arange(n))  # faster than argsort
-    order, row = both & (1 << bits) - 1, both >> bits
-    new = np.concatenate(([True], row[1:] != row[:-1]))
-    nth = np.empty(n, np.int64)
-    nth[order] = np.cumsum(new) - 1
-    row = row[new]
-    cells = (nth * width)[:, None] + np.arange(width)
-    return row, np.bincount(cells.reshape(-1), x.reshape(-1), len(row) * width).reshape(-1, width).astype(np.float32)
+    seen = np.zeros(int(row.max(initial=-1)) + 1, bool)
+    seen[row] = True
+    rows = np.flatnonzero(seen)
+    nth = np.empty(len(seen), np.int64)
+    nth[rows] = np.arange(len(rows))
+    return rows, by_cell(cells(nth.take(row), x.shape[1]), x, len(rows))
 
 
 def whole_windows(ids: np.ndarray, at: np.ndarray, known: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,8 +293,11 @@ def walk(p: dict[str, np.ndarray], parts: Iterator[tuple[np.ndarray, np.ndarray]
             g, sparse = slopes(p, token[some], before[some], target[some])
             for name, (row, d) in sparse.items():
                 row, d = by_row(row, d)
-                met[name][row] += np.einsum("nd,nd->n", d, d) / d.shape[1]
-                flat[name][row] -= (ROW_RATE / np.sqrt(met[name][row]))[:, None] * d
+                far = met[name].take(row)
+                far += np.einsum("nd,nd->n", d, d) / d.shape[1]
+                met[name][row] = far
+                d *= (ROW_RATE / np.sqrt(far))[:, None]
+                flat[name][row] = np.subtract(flat[name].take(row, 0), d, out=d)
             for name, m in mean.items():
                 m *= 0.9
                 m += 0.1 * g[name]
@@ -331,6 +349,13 @@ def train(texts: list[np.ndarray], vocabulary: int, steps: int | None = None, se
     lengths = np.cumsum([float(len(t)) for t in long]) / max(1, sum(map(len, texts)))
     steps = STEPS if steps is None else steps
 
+    def add(name: str, row: np.ndarray | slice, slope: np.ndarray) -> None:
+        """Slopes enter the means before these fade, all in one pass over the parameters; rows without a slope only fade."""
+        for means, part, x in ((mean, 0.1 / 0.9, slope), (square, 0.01 / 0.99, slope * slope)):
+            x = x * np.float32(part)
+            flat = means[name].reshape(-1, means[name].shape[-1])
+            flat[row] += x.reshape(-1, flat.shape[1])
+
     for step in range(1, steps * bool(long) + 1):
         pick = np.minimum(np.searchsorted(lengths, rng.random(BATCH)), len(long) - 1)
         token, target = np.zeros((BATCH, WINDOW), np.int32), np.full((BATCH, WINDOW), -1)
@@ -344,16 +369,18 @@ def train(texts: list[np.ndarray], vocabulary: int, steps: int | None = None, se
         g, sparse = slopes(p, token, before, target)
         for name, (row, d) in sparse.items():
             row, d = by_row(row, d)
-            g[name] = np.zeros_like(p[name])
-            g[name].reshape(-1, d.shape[1])[row] = d
+            add(name, row, d)
+        for name, x in g.items():
+            add(name, slice(None), x)
         rate = RATE * min(1, step / 20) * (1 - step / (steps + 1))
-        for name, x in p.items():
-            mean[name] *= 0.9
-            mean[name] += 0.1 * g[name]
-            square[name] *= 0.99
-            square[name] += 0.01 * g[name] ** 2
+        for name in p:
             r = rate * (SKIP_RATE if "skip" in name else 1) / (1 - 0.9**step)
-            x -= r * mean[name] / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-6)
+            for x, m, v in zip(*(np.array_split(y[name].reshape(-1), -(-p[name].size // ADAM)) for y in (p, mean, square)), strict=True):
+                m *= 0.9
+                v *= 0.99
+                far = np.sqrt(v * (1 / (1 - 0.99**step)))
+                far += 1e-6
+                x -= np.divide(m, far, out=far) * r
     del mean, square
     if passed and steps:
         p = passed(p, known, cls, int(count.sum()))

@@ -3,7 +3,8 @@
 Bytes are mapped to Latin-1 so that an Aho-Corasick automaton over the vocabulary lists, in one pass, all tokens that start at each
 position. The encoder takes the longest and goes back to shorter ones where two adjacent tokens could not stand side by side after
 the merges; whether they can is memoised. A position that led nowhere is never tried again, so the work is linear in the
-pre-token's length. Long pre-tokens are passed piece by piece, so that the lists of matches stay short.
+pre-token's length. Long pre-tokens are passed piece by piece, so that the lists of matches stay short. Where many short pre-tokens
+are at hand together, all of them are merged at once, one merge of each a round.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 from struct import pack
 
 import ahocorasick
@@ -27,6 +29,10 @@ WORDS, PAIRS = 250_000, 250_000
 ROWS = 64
 #: Positions of a pre-token whose matches are listed at a time.
 SPAN = 4096
+#: Longest pre-tokens that are merged many at a time.
+SHORT = 64
+#: What stands for no token.
+NONE = (1 << 20) - 1
 
 
 def vocabulary(path: str | None = None) -> list[bytes]:
@@ -40,6 +46,10 @@ def vocabulary(path: str | None = None) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
+def _slot(key: np.ndarray, slots: int) -> np.ndarray:
+    return (key * 0x9E3779B97F4A7C1 >> 40) % slots
+
+
 class _Words(dict):
     """Pre-tokens to their ids as little-endian 32-bit integers; a bounded cache, filled on demand."""
 
@@ -174,6 +184,84 @@ class Codec:
                 last = out[-1] if out else -1
         return out
 
+    @cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of single bytes (NONE where there is none), merges of two bytes, and a hash table of all merges: pairs and tokens."""
+        single = np.array([self.ids.get(bytes([b]), NONE) for b in range(256)])
+        key, token = (np.fromiter(x, np.int64, len(self.merges)) for x in (self.merges.keys(), self.merges.values()))
+        slots = 4 << len(key).bit_length()
+        held, made = np.full(slots, -1), np.full(slots, NONE)
+        slot = _slot(key, slots)
+        while len(key):  # one of those that want a slot takes it, the others try the next one
+            free = held[slot] < 0
+            held[slot[free]] = key[free]
+            mine = held[slot] == key
+            made[slot[mine]] = token[mine]
+            key, token, slot = key[~mine], token[~mine], (slot[~mine] + 1) % slots
+        both = np.array([[self.merges.get(int(a) << 20 | int(b), NONE) for b in single] for a in single])
+        return single, both, held, made
+
+    def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that each pair makes, or NONE."""
+        _, _, held, made = self._pairs
+        key = left << 20 | right
+        out, on, slot = np.full(len(key), NONE), np.arange(len(key)), _slot(key, len(held))
+        while len(on):
+            there = held.take(slot)
+            mine = there == key
+            out[on[mine]] = made.take(slot[mine])
+            more = np.flatnonzero(~mine & (there >= 0))
+            on, key, slot = on.take(more), key.take(more), (slot.take(more) + 1) % len(held)
+        return out
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_piece`` for many pre-tokens: ids end to end, and how many there are of each."""
+        out = [None if 1 < len(x) <= SHORT and x not in self.ids else self.encode_piece(x) for x in pieces]
+        single, both, _, _ = self._pairs
+        some = [i for i, x in enumerate(out) if x is None]
+        if some and (single == NONE).any():
+            for i in some:
+                out[i] = self.encode_piece(pieces[i])
+            some = []
+        n = np.fromiter((0 if x is None else len(x) for x in out), np.int64, len(out))
+        if not some:
+            return np.fromiter(chain.from_iterable(out), np.int32, int(n.sum())), n
+        # Slots of all bytes, a bar before, between and after the pieces; a merge leaves its left slot and takes the right one out.
+        text = np.frombuffer(b"".join(pieces[i] for i in some), np.uint8)
+        size = np.fromiter((len(pieces[i]) for i in some), np.int64, len(some))
+        first = np.cumsum(size + 1) - size
+        at = np.arange(len(text)) + np.repeat(first - (np.cumsum(size) - size), size)
+        token = np.full(len(text) + len(some) + 1, NONE)
+        token[at] = single[text]
+        there = token != NONE
+        after, before = np.arange(1, len(token) + 1), np.arange(-1, len(token) - 1)
+        inner = np.ones(len(text), bool)
+        inner[np.cumsum(size) - 1] = False
+        inner = np.flatnonzero(inner)
+        # A pair's rank is the token that it makes; with its slot, the least is a piece's next merge, the leftmost of equal ones.
+        bits = len(token).bit_length()
+        rank = np.full(len(token), NONE << bits)
+        rank[at[inner]] = both[text[inner], text[inner + 1]] << bits | at[inner]
+        while True:
+            least = np.minimum.reduceat(rank, first)
+            least = least[least < NONE << bits]
+            if not len(least):
+                break
+            slot, made = least & (1 << bits) - 1, least >> bits
+            gone = after.take(slot)
+            right, left = after.take(gone), before.take(slot)
+            token[slot], there[gone], rank[gone] = made, False, NONE << bits
+            after[slot], before[right] = right, slot
+            rank[slot] = self._merged(made, token.take(right)) << bits | slot
+            rank[left] = self._merged(token.take(left), made) << bits | left
+        n[some] = np.add.reduceat(there, first, dtype=np.int64)
+        ids, mine = np.empty(int(n.sum()), np.int32), np.zeros(len(out), bool)
+        mine[some] = True
+        mine = np.repeat(mine, n)
+        ids[mine] = token[there]
+        ids[~mine] = np.fromiter(chain.from_iterable(x for x in out if x is not None), np.int32)
+        return ids, n
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         words = self.words

@@ -11,7 +11,6 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,11 +82,11 @@ def token_ids(texts: DataFrame, path: str | None = None) -> DataFrame:
                     ws.append(END)
                     flat += map(known.__getitem__, ws)
                     sizes.append(len(ws))
-                slot = np.array(flat)
+                slot = np.fromiter(flat, np.int64, len(flat))
                 _, _, start, length, pool = known.arrays()
-                n = length[slot].astype(np.int64)
+                n = length.take(slot).astype(np.int64)
                 ends = np.cumsum(n)
-                ids = pool[np.arange(ends[-1]) + np.repeat(start[slot] - (ends - n), n)]
+                ids = pool.take(np.arange(ends[-1]) + np.repeat(start.take(slot) - (ends - n), n))
                 cut = np.concatenate(([0], ends[np.cumsum(sizes) - 1]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids))], ["doc_id", "u", "ids"])
 
@@ -231,11 +230,12 @@ class _Words(dict):
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, self.new), np.uint64, len(self.new)).view(np.int64)
             at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
             count = np.where(self.hashes[at] == h, self.counts[at], -1) if len(self.hashes) else np.full(len(h), -1)
-            encode, end = self.codec.encode_piece, [len(self.codec.tokens)]
-            ids = [end if w == END else encode(b" " + w) for w in self.new]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, n = self.codec.encode_pieces([b"" if w == END else b" " + w for w in self.new])
+            if END in self.new:
+                i = self.new.index(END)
+                ids, n[i] = np.insert(ids, int(n[:i].sum()), len(self.codec.tokens)), 1
             self.start.add(self.ids.n + np.cumsum(n) - n)
-            for column, values in ((self.h, h), (self.count, count), (self.length, n), (self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())))):
+            for column, values in ((self.h, h), (self.count, count), (self.length, n), (self.ids, ids)):
                 column.add(values)
             self.new = []
         return self.h.data, self.count.data, self.start.data, self.length.data, self.ids.data
@@ -294,15 +294,15 @@ def score(docs: DataFrame, counts: DataFrame, model: attention.Attention, id_col
                     ws.append(END)
                     flat += map(get, ws)
                     sizes.append(len(ws))
-                slot, of = np.array(flat), np.concatenate(([0], np.cumsum(sizes)))
+                slot, of = np.fromiter(flat, np.int64, len(flat)), np.concatenate(([0], np.cumsum(sizes)))
                 h, count, start, length, pool = known.arrays()
-                c = count[slot]
+                c = count.take(slot)
                 base = row_sums(np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.5) - norm, 0.0), of)
                 n_known = row_sums((c > 0).astype(np.float64), of)
                 # Subword ids of all texts, end to end.
-                n = length[slot]
-                ends = np.cumsum(n)
-                ids = pool[np.arange(ends[-1]) + np.repeat(start[slot] - (ends - n), n)]
+                n = length.take(slot)
+                ends = np.cumsum(n, dtype=np.int64)
+                ids = pool.take(np.arange(ends[-1]) + np.repeat(start.take(slot) - (ends - n), n))
                 cut = np.concatenate(([0], ends[of[1:] - 1]))
                 p = row_sums(m.log_probs(ids, cut).astype(np.float64), cut) / np.log(10)
                 rare = c < 0

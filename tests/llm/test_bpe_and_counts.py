@@ -39,6 +39,23 @@ def test_full_caches(reference, monkeypatch):
     assert np.frombuffer(c.encode(t), "<u4").tolist() == reference.encode_ordinary(t)
 
 
+def test_pieces_together(small, monkeypatch):
+    """Many pre-tokens at once have the ids that each has alone, and short words of more than one token never go one by one."""
+    r, c = random.Random(3), bpe.codec()
+    words = sorted({w for d in small.collect() for w in (d.text or "").encode().split()})
+    pieces = [b" " + w for w in words] + [bytes(r.choice(b"aab \xc3\xa9\xff\x00") for _ in range(r.randrange(70))) for _ in range(3000)]
+    pieces += [b"", b"a", b"a" * 64, b"a" * 65, b"ab" * 300, *c.tokens[:2000]]
+    want = [c.encode_piece(p) for p in pieces]
+    alone, real = [], c.encode_piece
+    monkeypatch.setattr(c, "encode_piece", lambda p: alone.append(p) or real(p))
+    ids, n = c.encode_pieces(pieces)
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert all(len(p) < 2 or p in c.ids or len(p) > bpe.SHORT for p in alone)
+    assert [x.tolist() for x in c.encode_pieces([])] == [[], []] and [x.tolist() for x in c.encode_pieces([b" the"])] == [real(b" the"), [1]]
+    few = bpe.Codec([b"a", b"b", b"ab", b"aab"])  # not all bytes are tokens
+    assert few.encode_pieces([b"abaab", b"b"])[0].tolist() == [*few.encode_piece(b"abaab"), 1]
+
+
 def test_digests(spark, small, edges, none, reference):
     for docs in (small, edges, none):
         got = sorted(map(tuple, bpe.digests(docs).collect()), key=str)

@@ -323,6 +323,31 @@ def test_windows_of_a_step():
     assert list(zip(*(x[real].tolist() for x in got), strict=True)) == want
 
 
+def test_sums_by_row():
+    """Also with rows that many tokens share, and with none."""
+    rng = np.random.default_rng(9)
+    row, x = rng.integers(0, 50, 2000) ** 2, rng.normal(size=(2000, 16)).astype(np.float32)
+    rows, sums = attention.by_row(row, x)
+    assert rows.tolist() == sorted(set(row.tolist()))
+    assert np.allclose(sums, [x[row == r].astype(float).sum(0) for r in rows], atol=1e-4)
+    assert np.array_equal(attention.by_cell(attention.cells(row, 16), x, 2402)[rows], sums)
+    assert [len(v) for v in attention.by_row(row[:0], x[:0])] == [0, 0]
+
+
+def test_new_words_together(monkeypatch):
+    """A worker's cache encodes the words that it does not know yet all at once."""
+    c = codec()
+    many, calls = c.encode_pieces, []
+    monkeypatch.setattr(c, "encode_pieces", lambda p: calls.append(len(p)) or many(p))
+    known = lm_scoring._Words(c, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for part in (["quzzlewump", "the", None, "flonkerdaisy"], ["the", "brimblefoo", None]):
+        slot = np.array([known[lm_scoring.END if w is None else w.encode()] for w in part])
+        _, _, start, length, pool = known.arrays()
+        want = [[len(c.tokens)] if w is None else c.encode_piece(b" " + w.encode()) for w in part]
+        assert [pool[start[s] : start[s] + length[s]].tolist() for s in slot] == want
+    assert calls == [4, 1]
+
+
 def test_slopes():
     """Against differences of the loss."""
     rng = np.random.default_rng(7)
