@@ -29,8 +29,8 @@ WORDS, PAIRS = 250_000, 250_000
 ROWS = 64
 #: Positions of a pre-token whose matches are listed at a time.
 SPAN = 4096
-#: Longest pre-tokens that are merged many at a time.
-SHORT = 64
+#: Longest pre-tokens that are merged many at a time, and how many at most.
+SHORT, TOGETHER = 64, 1 << 16
 #: What stands for no token.
 NONE = (1 << 20) - 1
 
@@ -216,6 +216,9 @@ class Codec:
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode_piece`` for many pre-tokens: ids end to end, and how many there are of each."""
+        if len(pieces) > TOGETHER:
+            parts = [self.encode_pieces(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)]
+            return np.concatenate([ids for ids, _ in parts]), np.concatenate([n for _, n in parts])
         out = [None if 1 < len(x) <= SHORT and x not in self.ids else self.encode_piece(x) for x in pieces]
         single, both, _, _ = self._pairs
         some = [i for i, x in enumerate(out) if x is None]

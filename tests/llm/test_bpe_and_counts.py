@@ -51,6 +51,11 @@ def test_pieces_together(small, monkeypatch):
     ids, n = c.encode_pieces(pieces)
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
     assert all(len(p) < 2 or p in c.ids or len(p) > bpe.SHORT for p in alone)
+    held, merged = [], c._merged
+    monkeypatch.setattr(c, "_merged", lambda a, b: held.append(len(a)) or merged(a, b))
+    monkeypatch.setattr(bpe, "TOGETHER", 100)  # however many new words a long text has
+    again = c.encode_pieces(pieces)
+    assert all(np.array_equal(a, b) for a, b in zip(again, (ids, n), strict=True)) and max(held) <= 100
     assert [x.tolist() for x in c.encode_pieces([])] == [[], []] and [x.tolist() for x in c.encode_pieces([b" the"])] == [real(b" the"), [1]]
     few = bpe.Codec([b"a", b"b", b"ab", b"aab"])  # not all bytes are tokens
     assert few.encode_pieces([b"abaab", b"b"])[0].tolist() == [*few.encode_piece(b"abaab"), 1]
